@@ -62,17 +62,18 @@ def expand_grid(df: DataFrame, keys: list[str], xs: Column, ys: Column, zs: Colu
     )
 
 
-def param_grid(spark: SparkSession, params: Params) -> DataFrame:
-    """Parameter sets ``combo_id, x, y, z``; with dynamic lookback ``y`` is the longest window."""
+def axes(params: Params) -> list[Column]:
+    """The three axes as array columns, ascending; with dynamic lookback ``y`` is the longest window."""
     ys = (params.y_max_s,) if params.dynamic_y else params.ys
-    axis = lambda values, kind: F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
-    return expand_grid(
-        spark.range(1),
-        [],
-        axis(sorted(params.xs), "double"),
-        axis(sorted(ys), "bigint"),
-        axis(sorted(params.zs), "double"),
-    )
+    return [
+        F.array(*[F.lit(v) for v in sorted(values)]).cast(f"array<{kind}>")
+        for values, kind in ((params.xs, "double"), (ys, "bigint"), (params.zs, "double"))
+    ]
+
+
+def param_grid(spark: SparkSession, params: Params) -> DataFrame:
+    """Parameter sets ``combo_id, x, y, z``."""
+    return expand_grid(spark.range(1), [], *axes(params))
 
 
 def grid_size(sets: DataFrame, keys: list[str]) -> DataFrame:

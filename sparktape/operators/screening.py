@@ -104,8 +104,11 @@ def rank_by_score(derived: DataFrame, keys: list[str], top_n: int) -> DataFrame:
 
 
 def top_by_profit(metrics: DataFrame, keys: list[str], direction: str, top_n: int) -> DataFrame:
-    """Sets with trades first, then by profit; numbered from 1 per key."""
-    profit = F.col("total_pnl_percent" if direction == "signal-only" else "total_pnl")
+    """Sets with trades first, then by profit; numbered from 1 per key.
+
+    Profits are compared at six places, so that sets with the same trades tie whatever order their sums ran in.
+    """
+    profit = F.round("total_pnl_percent" if direction == "signal-only" else "total_pnl", 6)
     order = Window.partitionBy(*keys).orderBy(F.desc(F.col("total_trades") > 0), F.desc(profit), "combo_id")
     return metrics.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top_n)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktape.operators.grid import param_grid
+from sparktape.operators.grid import axes, expand_grid
 from sparktape.operators.metrics import advanced_metrics, trade_metrics
 from sparktape.operators.screening import apply_thresholds, derive, passes, rank_by_score, screen, verdict
 from sparktape.operators.splits import train_val_split
@@ -15,9 +15,7 @@ from sparktape.schema import Params
 
 def symbol_sets(candles: DataFrame, params: Params) -> DataFrame:
     """Every parameter set of every symbol: ``symbol, combo_id, x, y, z``."""
-    sets = param_grid(candles.sparkSession, params).withColumn("_all", F.lit(1))
-    symbols = candles.select("symbol").distinct().withColumn("_all", F.lit(1))
-    return symbols.join(sets, "_all").drop("_all")
+    return expand_grid(candles.select("symbol").distinct(), ["symbol"], *axes(params))
 
 
 def screen_grid(candles: DataFrame, params: Params) -> DataFrame:
