@@ -24,6 +24,7 @@ from sparktape.operators import (
     trades as trade_ops,
 )
 from sparktape.plans import runs
+from sparktape.plans.lineage import saved
 from sparktape.plans.bindings import DEFAULTS, candles, order_trades, table, tlog, trades
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,7 +139,7 @@ def slippage_pnl(spark, sf):
             .select("symbol", "epoch_ms", entry.alias("entry_price"), leave.alias("exit_price"))
             .select("*", F.lit(direction).alias("direction"), fees.alias("fees"), pnl.alias("pnl"), pct.alias("pct"))
         )
-    return rounded(tape.merge_days(*parts), 4)
+    return tape.merge_days(*parts)
 
 
 def mae_mfe(spark, sf):
@@ -152,7 +153,7 @@ def mae_mfe(spark, sf):
     parts = [
         posthoc.with_excursions(rows, d).withColumn("direction", F.lit(d)) for d in ("long", "short")
     ]
-    return rounded(tape.merge_days(*parts), 4)
+    return tape.merge_days(*parts)
 
 
 def symbol_list(spark, sf):
@@ -239,7 +240,7 @@ def nonoverlap_select(spark, sf):
     # One interval per lane and start, the longest, so that the walk has no ties to break.
     spans = spans.groupBy("symbol", "lane", "open_ms").agg(F.max("close_ms").alias("close_ms"))
     return nonoverlap.select_nonoverlapping(
-        spans, ["symbol"], "lane", "open_ms", "close_ms", 90 * timeops.DAY_MS, spans=(16,)
+        spans, ["symbol"], "lane", "open_ms", "close_ms", 365 * timeops.DAY_MS, lanes_together=4096, spans=()
     )
 
 
@@ -280,6 +281,11 @@ def grid_size(spark, sf):
     return grid.grid_size(_line_grid(spark, sf), ["l_orderkey", "l_linenumber"])
 
 
+def saved_log(spark, sf):
+    """The trade log as a table, for studies that read it more than once."""
+    return saved(tlog(spark, sf))
+
+
 def log_query(params) -> Query:
     return lambda spark, sf: rounded(tlog(spark, sf, params))
 
@@ -288,7 +294,7 @@ def trade_metrics(params) -> Query:
     def run(spark, sf):
         c = candles(spark, sf)
         sets = runs.symbol_sets(c, params).select("symbol", "combo_id")
-        log = trade_ops.trade_log(c, params)
+        log = saved(trade_ops.trade_log(c, params))
         return rounded(metrics.trade_metrics(log, COMBO, params.direction, params.capital, params.chunk_ms, sets), 4)
 
     return run
@@ -297,12 +303,12 @@ def trade_metrics(params) -> Query:
 def summary_rows(spark, sf):
     c = candles(spark, sf)
     all_sets = runs.symbol_sets(c, P)
-    rows = metrics.trade_metrics(trade_ops.trade_log(c, P), COMBO, P.direction, P.capital, P.chunk_ms, all_sets.select(*COMBO))
+    rows = metrics.trade_metrics(saved(trade_ops.trade_log(c, P)), COMBO, P.direction, P.capital, P.chunk_ms, all_sets.select(*COMBO))
     return screening.summary_rows(rows, grid.param_grid(spark, P))
 
 
 def topk_by_pnl(spark, sf):
-    log = tlog(spark, sf)
+    log = saved_log(spark, sf)
     rows = metrics.trade_metrics(log, COMBO, P.direction, P.capital, P.chunk_ms)
     top = screening.top_by_profit(rows, ["symbol"], P.direction, 3)
     return rounded(top.select("symbol", "rank", "combo_id", "total_trades", "total_pnl"), 4)
@@ -310,7 +316,7 @@ def topk_by_pnl(spark, sf):
 
 def top_set_trades(spark, sf):
     """Trade log of the best sets only."""
-    log = tlog(spark, sf)
+    log = saved_log(spark, sf)
     rows = metrics.trade_metrics(log, COMBO, P.direction, P.capital, P.chunk_ms)
     top = screening.top_by_profit(rows, ["symbol"], P.direction, 3).select(*COMBO)
     kept = log.join(top, COMBO, "left_semi")
@@ -318,11 +324,11 @@ def top_set_trades(spark, sf):
 
 
 def posthoc_metrics(spark, sf):
-    return rounded(metrics.posthoc_metrics(tlog(spark, sf), COMBO, "pnl", P.capital, P.chunk_ms), 4)
+    return rounded(metrics.posthoc_metrics(saved_log(spark, sf), COMBO, "pnl", P.capital, P.chunk_ms), 4)
 
 
 def break_even(spark, sf):
-    m = metrics.posthoc_metrics(tlog(spark, sf), COMBO, "pnl", P.capital, P.chunk_ms)
+    m = metrics.posthoc_metrics(saved_log(spark, sf), COMBO, "pnl", P.capital, P.chunk_ms)
     return rounded(
         metrics.break_even(m, P.size).select(
             *COMBO, "loss_win_ratio", "break_even_wr", "gap", "losing", "worst_pct_of_size"
@@ -365,11 +371,11 @@ def screen_ranked(spark, sf):
 
 
 def advanced_metrics(spark, sf):
-    return rounded(metrics.advanced_metrics(tlog(spark, sf), COMBO, P.direction, P.chunk_ms), 4)
+    return rounded(metrics.advanced_metrics(saved_log(spark, sf), COMBO, P.direction, P.chunk_ms), 4)
 
 
 def equity_curve(spark, sf):
-    rows = metrics.equity_curve(tlog(spark, sf), COMBO, P.capital, P.chunk_ms)
+    rows = metrics.equity_curve(saved_log(spark, sf), COMBO, P.capital, P.chunk_ms)
     return rounded(rows.select(*COMBO, "entry_ms", "equity", "peak", "drawdown"), 4)
 
 
@@ -378,7 +384,7 @@ def max_drawdown(spark, sf):
 
 
 def loss_streak(spark, sf):
-    return metrics.loss_streak(tlog(spark, sf), COMBO, F.col("pnl"), P.chunk_ms)
+    return metrics.loss_streak(saved_log(spark, sf), COMBO, F.col("pnl"), P.chunk_ms)
 
 
 def sliding_argmin(spark, sf):
@@ -424,19 +430,18 @@ def kfold_split(spark, sf):
 
 
 def train_val_compare(spark, sf):
-    rows = runs.screen_and_validate(candles(spark, sf), LOOSE)
-    return rounded(rows, 4)
+    _, compared = runs.screen_and_validate(candles(spark, sf), LOOSE)
+    return rounded(compared, 4)
 
 
 def verdict(spark, sf):
-    rows = runs.screen_and_validate(candles(spark, sf), LOOSE)
-    return rows.select("symbol", "combo_id", "rank", "verdict")
+    _, compared = runs.screen_and_validate(candles(spark, sf), LOOSE)
+    return compared.select("symbol", "combo_id", "rank", "verdict")
 
 
 def verdict_counts(spark, sf):
-    c = candles(spark, sf)
-    train = _parts(spark, sf).where("part = 'train'").drop("part")
-    return runs.verdict_counts(runs.screen_grid(train, LOOSE), LOOSE, runs.screen_and_validate(c, LOOSE))
+    screened, compared = runs.screen_and_validate(candles(spark, sf), LOOSE)
+    return runs.verdict_counts(screened, compared, LOOSE)
 
 
 def stoploss_apply(spark, sf):
@@ -446,7 +451,7 @@ def stoploss_apply(spark, sf):
 
 def stoploss_impact(direction: str) -> Query:
     def run(spark, sf):
-        rows = posthoc.stoploss_impact(tlog(spark, sf), COMBO, posthoc.STOP_LEVELS, P, direction)
+        rows = posthoc.stoploss_impact(saved_log(spark, sf), COMBO, posthoc.STOP_LEVELS, P, direction)
         return rounded(
             rows.select(
                 *COMBO, "level", "triggered", "cut_winners", "saved_losers", "wr", "total", "d_pnl", "avg_w", "avg_l",
@@ -459,7 +464,7 @@ def stoploss_impact(direction: str) -> Query:
 
 
 def stoploss_best(spark, sf):
-    rows = posthoc.stoploss_impact(tlog(spark, sf), COMBO, posthoc.STOP_LEVELS, P, "long")
+    rows = posthoc.stoploss_impact(saved_log(spark, sf), COMBO, posthoc.STOP_LEVELS, P, "long")
     return rounded(posthoc.stoploss_best(rows, COMBO), 4)
 
 
@@ -480,7 +485,7 @@ def excursion_by_reason(spark, sf):
 
 
 def maxhold_percentiles(spark, sf):
-    return rounded(posthoc.maxhold_percentiles(_profiled(spark, sf), COMBO), 4)
+    return rounded(posthoc.maxhold_percentiles(posthoc.with_excursions(saved_log(spark, sf), "long"), COMBO), 4)
 
 
 def quality_band(spark, sf):
@@ -489,7 +494,7 @@ def quality_band(spark, sf):
 
 def _held(spark, sf):
     c = candles(spark, sf)
-    return posthoc.extended_hold(trade_ops.trade_log(c, P), c, posthoc.HOLD_LENGTHS, P, "short")
+    return posthoc.extended_hold(saved(trade_ops.trade_log(c, P)), c, posthoc.HOLD_LENGTHS, P, "short")
 
 
 def extended_hold(spark, sf):
@@ -507,7 +512,7 @@ def extended_hold_summary(spark, sf):
 def _timed(spark, sf):
     c = candles(spark, sf)
     return asof.time_to_target(
-        trade_ops.trade_log(c, P), c, posthoc.TARGETS, posthoc.LOOK_AHEAD_MS, "short", P.chunk_ms
+        saved(trade_ops.trade_log(c, P)), c, posthoc.TARGETS, posthoc.LOOK_AHEAD_MS, "short", P.chunk_ms
     )
 
 
@@ -516,7 +521,7 @@ def time_to_target(spark, sf):
 
 
 def time_to_target_stats(spark, sf):
-    return rounded(posthoc.time_to_target_stats(_timed(spark, sf), COMBO), 4)
+    return rounded(posthoc.time_to_target_stats(saved(_timed(spark, sf)), COMBO), 4)
 
 
 def queries() -> dict[str, Query]:

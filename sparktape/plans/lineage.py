@@ -1,0 +1,23 @@
+"""Saved intermediate tables for results that several steps read."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's checkpoint folder and read it back.
+
+    Later steps then start from files that outlive lost executors, and their plans stay small. Only a session without
+    ``spark.checkpoint.dir``, as in tests, gets a folder of its own.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="sparktape-")
+    path = f"{folder.rstrip('/')}/sparktape-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

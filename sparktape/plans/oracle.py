@@ -7,11 +7,11 @@ from sparktape.plans.catalogue import DYNAMIC, LOOSE, RANGE, SEARCH, SHORT, SIGN
 from sparktape.schema import Params
 
 TR = (
-    "tr as (select event_type symbol, event_id a, epoch_ms(ts) t, value p, "
+    "tr as (select event_type symbol, event_id a, epoch_us(ts) // 1000 t, value p, "
     "cast(json_extract_string(props, '$.k') as double) q from events)"
 )
 TR2 = (
-    "tr2 as (select o_orderpriority symbol, o_orderkey a, epoch_ms(o_orderdate) t, o_totalprice p, "
+    "tr2 as (select o_orderpriority symbol, o_orderkey a, epoch_us(o_orderdate) // 1000 t, o_totalprice p, "
     "cast(1 as double) q from orders)"
 )
 
@@ -142,7 +142,7 @@ def log_ctes(
         f"ca{tag} as (select {ek}, s.combo_id, s.x, s.y, s.z, e.epoch_ms, e.ep, e.exit_ms, e.raw_exit, e.max_price, "
         f"e.min_price, e.reason, m.ya from mv{tag} m join sets{tag} s on m.y = s.y and m.move >= s.x{limit} "
         f"join ex{tag} e on {both('m', 'e', keys)} and m.epoch_ms = e.epoch_ms and e.z = s.z)",
-        f"nx{tag} as (select {', '.join(f'a.{x}' for x in lane)}, a.epoch_ms, b.epoch_ms next_ms from ca{tag} a "
+        f"nx{tag} as materialized (select {', '.join(f'a.{x}' for x in lane)}, a.epoch_ms, b.epoch_ms next_ms from ca{tag} a "
         f"asof left join ca{tag} b on {both('a', 'b', lane)} and a.exit_ms < b.epoch_ms)",
         f"wk{tag} as (select {k}, combo_id, min(epoch_ms) epoch_ms from ca{tag} group by all union all "
         f"select {', '.join(f'n.{x}' for x in lane)}, n.next_ms from wk{tag} w join nx{tag} n on {both('w', 'n', lane)} "
@@ -325,7 +325,8 @@ def validate_ctes() -> list[str]:
         *log_ctes(LOOSE, "pt", ["symbol", "part"], "b", "tp"),
         *metric_ctes(LOOSE, "tlb", keys),
         *advanced_ctes(LOOSE, "tlb", keys),
-        f"vc0 as (select t.symbol, t.combo_id, t.x, t.y, t.z, t.score, t.rank, {', '.join(sides)} from tp t "
+        "tq as (select symbol, combo_id, x, y, z, score, rank from tp)",
+        f"vc0 as (select t.symbol, t.combo_id, t.x, t.y, t.z, t.score, t.rank, {', '.join(sides)} from tq t "
         f"left join (select * from tm join am using ({keys})) d on t.symbol = d.symbol and t.combo_id = d.combo_id "
         "group by all)",
         "vc as (select *, case when train_total_pnl <= 0 then 'WEAK' when validation_total_pnl > 0 then 'ROBUST' "
@@ -414,7 +415,7 @@ TIMED = [
 ]
 
 SPANS = (
-    f"us as (select user_id, (epoch_ms(min(ts)) // {DAY}) * {DAY} start_ms, epoch_ms(max(ts)) + 1 end_ms "
+    f"us as (select user_id, (epoch_us(min(ts)) // 1000 // {DAY}) * {DAY} start_ms, epoch_us(max(ts)) // 1000 + 1 end_ms "
     "from events group by 1)"
 )
 USER_DAYS = (
@@ -488,7 +489,7 @@ def oracle_sql() -> dict[str, str]:
         "day_coverage": sql(
             [SPANS, USER_DAYS],
             "select user_id, day_start day_ms, exists(select 1 from events e where e.user_id = ud.user_id and "
-            f"epoch_ms(e.ts) >= day_start and epoch_ms(e.ts) < day_start + {DAY}) present from ud",
+            f"epoch_us(e.ts) // 1000 >= day_start and epoch_us(e.ts) // 1000 < day_start + {DAY}) present from ud",
         ),
         "split_days": sql(
             [SPANS, USER_DAYS], f"select user_id, day_start, least(day_start + {DAY}, end_ms) day_end from ud"
@@ -527,7 +528,7 @@ def oracle_sql() -> dict[str, str]:
                 "case direction when 'signal-only' then 0.0::double else 0.2::double end fees, pnl, "
                 "case direction when 'signal-only' then (xp - ep) / ep * 100.0 else pnl / 100.0 * 100.0 end pct from e)",
             ],
-            f"select symbol, epoch_ms, direction, {r4('entry_price', 'exit_price', 'fees', 'pnl', 'pct')} from f",
+            "select symbol, epoch_ms, direction, entry_price, exit_price, fees, pnl, pct from f",
         ),
         "mae_mfe": sql(
             [
@@ -541,9 +542,7 @@ def oracle_sql() -> dict[str, str]:
                 "v as (select *, mfe_pct > mae_pct mfe_gt_mae, "
                 "case when mfe_pct + mae_pct > 0 then mfe_pct / (mfe_pct + mae_pct) else 0.5 end quality from m)",
             ],
-            "select symbol, epoch_ms, direction, mfe_gt_mae, "
-            + r4("entry_price", "max_price_during_trade", "min_price_during_trade", "mae_pct", "mfe_pct", "quality")
-            + " from v",
+            "select * from v",
         ),
         "symbol_list": (
             "select symbol, count(*) n, count(distinct user_id) users from (select user_id, "
@@ -610,8 +609,9 @@ def oracle_sql() -> dict[str, str]:
             "where y <= l_linenumber group by 1, 2"
         ),
         "grid_size": (
-            "select l_orderkey, l_linenumber, 2::bigint n_x, l_linenumber::bigint n_y, 2::bigint n_z, "
-            "(4 * l_linenumber)::bigint total, 4 * l_linenumber > 10000 as large from lineitem group by all"
+            "select l_orderkey, l_linenumber, n_x, n_y, n_z, n_x * n_y * n_z total, n_x * n_y * n_z > 10000 as large from ("
+            "select l_orderkey, l_linenumber, count(distinct l_discount + i) n_x, l_linenumber::bigint n_y, "
+            "count(distinct round(l_tax, 2) + i) n_z from lineitem, (values (0), (1)) v(i) group by all)"
         ),
         "exit_search": sql(
             [*BASE, *sets(SEARCH), *moves(SEARCH), *exit_ctes(SEARCH)],
@@ -625,7 +625,7 @@ def oracle_sql() -> dict[str, str]:
                 "iv as (select o_orderpriority symbol, o_custkey lane, epoch_ms(o_orderdate) open_ms, "
                 "max(greatest(epoch_ms(o_orderdate), ship_ms)) close_ms from orders join li on o_orderkey = l_orderkey "
                 "group by 1, 2, 3)",
-                "nx as (select a.*, b.open_ms next_ms from iv a asof left join iv b on a.symbol = b.symbol and "
+                "nx as materialized (select a.*, b.open_ms next_ms from iv a asof left join iv b on a.symbol = b.symbol and "
                 "a.lane = b.lane and a.close_ms < b.open_ms)",
                 "wk as (select symbol, lane, min(open_ms) open_ms from iv group by 1, 2 union all select n.symbol, n.lane, "
                 "n.next_ms from wk w join nx n on w.symbol = n.symbol and w.lane = n.lane and w.open_ms = n.open_ms "

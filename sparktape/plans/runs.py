@@ -10,6 +10,7 @@ from sparktape.operators.metrics import advanced_metrics, trade_metrics
 from sparktape.operators.screening import apply_thresholds, derive, passes, rank_by_score, screen, verdict
 from sparktape.operators.splits import train_val_split
 from sparktape.operators.trades import trade_log
+from sparktape.plans.lineage import saved
 from sparktape.schema import Params
 
 
@@ -32,20 +33,23 @@ def screen_and_rank(candles: DataFrame, params: Params) -> DataFrame:
 def evaluate_parts(parts: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
     """Full metrics of the given sets on every part; nothing crosses a part."""
     keys = ["symbol", "part", "combo_id"]
-    log = trade_log(parts, params, ("symbol", "part"), sets)
+    log = saved(trade_log(parts, params, ("symbol", "part"), sets))
     return trade_metrics(log, keys, params.direction, params.capital, params.chunk_ms).join(
         advanced_metrics(log, keys, params.direction, params.chunk_ms), keys
     )
 
 
-def screen_and_validate(candles: DataFrame, params: Params) -> DataFrame:
+def screen_and_validate(candles: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
     """Screen on the train part, rank, then compare the best sets on train and validation.
 
-    One row per ranked set with ``train_`` and ``validation_`` metrics (zero without trades) and a verdict.
+    Returns the screened sets, and one row per ranked set with ``train_`` and ``validation_`` metrics (zero without
+    trades) and a verdict.
     """
-    parts = train_val_split(candles, params.train_ratio)
-    train = parts.where(F.col("part") == "train").drop("part")
-    top = screen_and_rank(train, params).select("symbol", "combo_id", "x", "y", "z", "score", "rank")
+    parts = saved(train_val_split(candles, params.train_ratio))
+    screened = saved(screen_grid(parts.where(F.col("part") == "train").drop("part"), params))
+    top = rank_by_score(apply_thresholds(screened, params), ["symbol"], params.top_n).select(
+        "symbol", "combo_id", "x", "y", "z", "score", "rank"
+    )
     detail = evaluate_parts(parts, top.select("symbol", "combo_id", "x", "y", "z"), params)
     measures = [c for c in detail.columns if c not in ("symbol", "part", "combo_id")]
     sides = detail.groupBy("symbol", "combo_id").agg(
@@ -56,14 +60,15 @@ def screen_and_validate(candles: DataFrame, params: Params) -> DataFrame:
         ]
     )
     profit = "total_pnl_percent" if params.direction == "signal-only" else "total_pnl"
-    return (
+    compared = (
         top.join(sides, ["symbol", "combo_id"], "left")
         .fillna(0)
         .withColumn("verdict", verdict(F.col(f"train_{profit}"), F.col(f"validation_{profit}")))
     )
+    return screened, compared
 
 
-def verdict_counts(screened: DataFrame, params: Params, compared: DataFrame) -> DataFrame:
+def verdict_counts(screened: DataFrame, compared: DataFrame, params: Params) -> DataFrame:
     """Per symbol: sets screened, kept by the thresholds, validated, and how they held up (money plus percent)."""
     train = F.col("train_total_pnl") + F.col("train_total_pnl_percent")
     later = F.col("validation_total_pnl") + F.col("validation_total_pnl_percent")
@@ -71,7 +76,7 @@ def verdict_counts(screened: DataFrame, params: Params, compared: DataFrame) ->
         F.count(F.lit(1)).alias("validated"),
         F.count_if((train > 0) & (later > 0)).alias("robust"),
         F.count_if((train > 0) & (later <= 0)).alias("overfit"),
-        F.count_if(~(train > 0)).alias("weak"),
+        F.count_if(train <= 0).alias("weak"),
     )
     seen = screened.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("screened"), F.count_if(passes(params)).alias("filtered")
