@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from sparktape.functions.positions import block_table, first_hit, span_fold
 from sparktape.functions.pricing import entry_price
-from sparktape.operators.scans import chunk_with_halo
 from sparktape.schema import EXIT_REASONS
 
 EXIT_FIELDS = [
@@ -71,25 +70,17 @@ def _chunk_exits(pdf: pd.DataFrame, zs: list[float], hold_ms: int, kept: list[st
     return pd.concat(parts, ignore_index=True)
 
 
-def exits(
-    candles: DataFrame,
-    zs: list[float],
-    hold_ms: int,
-    slip: float,
-    direction: str,
-    chunk_ms: int,
-    keys: tuple[str, ...] = ("symbol",),
-) -> DataFrame:
-    """Add ``z, exit_ms, raw_exit, max_price, min_price, reason`` per entry and z.
+def exits(rows: DataFrame, keys: list[str], zs: list[float], hold_ms: int, slip: float, direction: str) -> DataFrame:
+    """Add ``entry_price, z, exit_ms, raw_exit, max_price, min_price, reason`` per entry and z.
 
-    Entries are the candles with ``is_entry``; other candles only serve as the path. Prices must not be negative. A
-    task holds one key's chunk plus one hold, so at most ``(chunk + hold) / bucket`` candles.
+    ``rows`` are chunked candles that come with at least ``hold_ms`` and the first candle after it. Entries are the
+    core candles with ``is_entry``; other candles only serve as the path. Prices must not be negative. A task holds
+    one chunk and its halo, so at most ``span / bucket`` candles.
     """
-    priced = candles.withColumn("entry_price", entry_price(F.col("close"), slip, direction))
-    rows = chunk_with_halo(priced, list(keys), "epoch_ms", chunk_ms, after_ms=hold_ms, first_after=True)
-    kept = [c for c in priced.columns if c not in ("high", "low", "is_entry")]
+    priced = rows.withColumn("entry_price", entry_price(F.col("close"), slip, direction))
+    kept = [c for c in priced.columns if c not in ("high", "low", "is_entry", "_chunk", "_core")]
     schema = T.StructType([priced.schema[c] for c in kept] + EXIT_FIELDS)
     levels = [float(z) for z in zs]
-    return rows.groupBy(*keys, "_chunk").applyInPandas(
+    return priced.groupBy(*keys, "_chunk").applyInPandas(
         lambda pdf: _chunk_exits(pdf, levels, int(hold_ms), kept), schema
     )

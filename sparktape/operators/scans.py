@@ -107,34 +107,29 @@ def chunk_with_halo(
         .withColumn("_core", F.col("_chunk") == F.col("_own"))
         .drop("_own")
     )
+    if not (last_before or first_after):
+        return rows
     row = F.struct(*[F.col(c) for c in df.columns])
+    sides = []
+    if last_before:
+        sides.append((F.max_by, offset < width - before_ms, -1))
+    if first_after:
+        sides.append((F.min_by, offset > after_ms, 1))
+    edges = own.groupBy(*keys, "_own").agg(
+        *[
+            pick(row, order).alias(f"{name}{step}")
+            for pick, inside, step in sides
+            for name, order in (("_near", F.when(inside, t)), ("_any", t))
+        ]
+    )
     by_chunk = Window.partitionBy(*keys).orderBy("_own")
-    for wanted, pick, inside, step in (
-        (last_before, F.max_by, offset < width - before_ms, -1),
-        (first_after, F.min_by, offset > after_ms, 1),
-    ):
-        if not wanted:
-            continue
-        edges = own.groupBy(*keys, "_own").agg(
-            pick(row, F.when(inside, t)).alias("_near"), pick(row, t).alias("_any")
-        )
-        reach = F.lag if step < 0 else F.lead
-        seeds = edges.select(
-            *keys,
-            "_own",
-            reach(F.struct("_own", "_near", "_any"), 1).over(by_chunk).alias("_n1"),
-            reach("_any", 2).over(by_chunk).alias("_n2"),
-        ).select(
-            "_own",
-            F.when(
-                F.col("_n1._own") == F.col("_own") + step * width, F.coalesce("_n1._near", "_n2")
-            )
-            .otherwise(F.col("_n1._any"))
-            .alias("_row"),
-        )
-        rows = rows.unionByName(
-            seeds.where(F.col("_row").isNotNull()).select(
-                "_row.*", F.col("_own").alias("_chunk"), F.lit(False).alias("_core")
-            )
-        )
-    return rows
+    seeds = []
+    for _, _, step in sides:
+        near, far = F.col(f"_near{step}"), F.col(f"_any{step}")
+        at = lambda c, steps, step=step: F.lead(c, steps * step).over(by_chunk)
+        adjacent = at(F.col("_own"), 1) == F.col("_own") + step * width
+        seeds.append(F.when(adjacent, F.coalesce(at(near, 1), at(far, 2))).otherwise(at(far, 1)))
+    outer = edges.select(F.col("_own").alias("_chunk"), F.array(*seeds).alias("_rows")).select(
+        "_chunk", F.explode(F.array_compact("_rows")).alias("_row")
+    )
+    return rows.unionByName(outer.select("_row.*", "_chunk", F.lit(False).alias("_core")))

@@ -10,38 +10,29 @@ from sparktape.operators.scans import chunk_with_halo
 from sparktape.functions.timeops import floor_to
 
 
-def lookback_closes(
-    candles: DataFrame, lookbacks_ms: list[int], chunk_ms: int, keys: tuple[str, ...] = ("symbol",)
-) -> DataFrame:
-    """Add ``past_<i>``: the close of the last candle at least ``lookbacks_ms[i]`` earlier, NULL if none.
-
-    All lookbacks share one shuffle and one sort.
-    """
-    rows = chunk_with_halo(candles, list(keys), "epoch_ms", chunk_ms, before_ms=max(lookbacks_ms), last_before=True)
+def _past_closes(rows: DataFrame, keys: list[str], lookbacks_ms: list[int]) -> DataFrame:
+    """Add ``past_<i>`` on chunked rows; right for core rows."""
     w = Window.partitionBy(*keys, "_chunk").orderBy("epoch_ms")
-    past = {
-        f"past_{i}": F.last("close").over(w.rangeBetween(Window.unboundedPreceding, -int(y)))
-        for i, y in enumerate(lookbacks_ms)
-    }
-    return rows.withColumns(past).where("_core").drop("_chunk", "_core")
+    return rows.withColumns(
+        {
+            f"past_{i}": F.last("close").over(w.rangeBetween(Window.unboundedPreceding, -int(y)))
+            for i, y in enumerate(lookbacks_ms)
+        }
+    )
 
 
-def window_lows(candles: DataFrame, window_ms: int, chunk_ms: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Add ``low_close, low_ms``: lowest close in ``[now - window, now)``, earliest on ties, if below the current one.
+def _lows(rows: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
+    """Add ``low_close, low_ms`` on chunked rows; right for core rows.
 
     A window meets at most two blocks of its own length: a prefix of the block of ``now`` and a suffix of the one
-    before. Both are running minima, so the cost does not grow with the window, and all of it uses one shuffle.
+    before. Both are running minima, so the cost does not grow with the window, and nothing is shuffled again.
     """
-    keys = list(keys)
-    rest = [c for c in candles.columns if c not in keys]
-    rows = chunk_with_halo(candles, keys, "epoch_ms", chunk_ms, before_ms=window_ms)
+    columns = rows.columns
     here = F.struct(F.lit(0).alias("probe"), F.col("epoch_ms").alias("pos"))
     back = F.struct(F.lit(1).alias("probe"), (F.col("epoch_ms") - window_ms).alias("pos"))
     rows = rows.withColumn("_at", F.explode(F.when(F.col("_core"), F.array(here, back)).otherwise(F.array(here))))
     rows = rows.select(
-        *candles.columns,
-        "_chunk",
-        "_core",
+        *columns,
         F.col("_at.probe").alias("_probe"),
         F.col("_at.pos").alias("_pos"),
         floor_to(F.col("_at.pos"), window_ms).alias("_block"),
@@ -53,31 +44,53 @@ def window_lows(candles: DataFrame, window_ms: int, chunk_ms: int, keys: tuple[s
     rows = rows.withColumn("_seen", prefix).withColumn(
         "_seen", F.when(F.col("_probe") == 0, F.col("_seen")).otherwise(suffix)
     )
-    low = (
-        rows.where("_core")
-        .groupBy(*keys, "_chunk", "epoch_ms")
-        .agg(*[F.first(c).alias(c) for c in rest if c != "epoch_ms"], F.min("_seen").alias("_low"))
+    group = [*keys, "_chunk", "epoch_ms"]
+    low = rows.groupBy(*group).agg(
+        *[F.first(c).alias(c) for c in columns if c not in group], F.min("_seen").alias("_low")
     )
     below = F.col("_low.close") < F.col("close")
     return low.select(
-        *candles.columns,
+        *columns,
         F.when(below, F.col("_low.close")).alias("low_close"),
         F.when(below, F.col("_low.epoch_ms")).alias("low_ms"),
     )
 
 
-def with_moves_fixed(candles: DataFrame, ys: list[int], chunk_ms: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Add ``move_<i>``: percent move over lookback ``ys[i]`` seconds, NULL where there is none."""
-    rows = lookback_closes(candles, [y * 1000 for y in ys], chunk_ms, keys)
-    moves = {f"move_{i}": percent_move(F.col("close"), F.col(f"past_{i}")) for i in range(len(ys))}
-    return rows.withColumns(moves).drop(*[f"past_{i}" for i in range(len(ys))])
+def _core(rows: DataFrame) -> DataFrame:
+    return rows.where("_core").drop("_chunk", "_core")
+
+
+def lookback_closes(
+    candles: DataFrame, lookbacks_ms: list[int], chunk_ms: int, keys: tuple[str, ...] = ("symbol",)
+) -> DataFrame:
+    """Add ``past_<i>``: the close of the last candle at least ``lookbacks_ms[i]`` earlier, NULL if none.
+
+    All lookbacks share one shuffle and one sort.
+    """
+    rows = chunk_with_halo(candles, list(keys), "epoch_ms", chunk_ms, before_ms=max(lookbacks_ms), last_before=True)
+    return _core(_past_closes(rows, list(keys), lookbacks_ms))
+
+
+def window_lows(
+    candles: DataFrame, window_ms: int, chunk_ms: int, keys: tuple[str, ...] = ("symbol",)
+) -> DataFrame:
+    """Add ``low_close, low_ms``: lowest close in ``[now - window, now)``, earliest on ties, if below the current one."""
+    rows = chunk_with_halo(candles, list(keys), "epoch_ms", chunk_ms, before_ms=window_ms)
+    return _core(_lows(rows, list(keys), window_ms))
+
+
+def moves_fixed(rows: DataFrame, keys: list[str], ys: list[int]) -> DataFrame:
+    """Add ``move_<i>`` on chunked rows: percent move over lookback ``ys[i]`` seconds, NULL where there is none."""
+    past = _past_closes(rows, keys, [y * 1000 for y in ys])
+    return past.select(
+        *rows.columns, *[percent_move(F.col("close"), F.col(f"past_{i}")).alias(f"move_{i}") for i in range(len(ys))]
+    )
 
 
-def with_moves_dynamic(candles: DataFrame, y_max_s: int, chunk_ms: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def moves_dynamic(rows: DataFrame, keys: list[str], y_max_s: int) -> DataFrame:
     """Add ``move_0`` over the lowest close of the window and ``y_actual_seconds``, the distance to it."""
-    rows = window_lows(candles, y_max_s * 1000, chunk_ms, keys)
-    return rows.select(
-        *candles.columns,
+    return _lows(rows, keys, y_max_s * 1000).select(
+        *rows.columns,
         percent_move(F.col("close"), F.col("low_close")).alias("move_0"),
         ((F.col("epoch_ms") - F.col("low_ms")) / F.lit(1000.0)).alias("y_actual_seconds"),
     )
@@ -95,16 +108,23 @@ def long_moves(rows: DataFrame, ys: list[int], kept: list[str]) -> DataFrame:
     )
 
 
-def signals_fixed(candles: DataFrame, xs: list[float], ys: list[int], chunk_ms: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def signals_fixed(
+    candles: DataFrame, xs: list[float], ys: list[int], chunk_ms: int, keys: tuple[str, ...] = ("symbol",)
+) -> DataFrame:
     """Candles that rose by at least ``x`` percent over ``y`` seconds, per (x, y)."""
-    moves = long_moves(with_moves_fixed(candles, ys, chunk_ms, keys), ys, [*keys, "epoch_ms", "close"])
-    return _reaching(moves, xs)
+    rows = chunk_with_halo(
+        candles, list(keys), "epoch_ms", chunk_ms, before_ms=max(ys) * 1000, last_before=True
+    )
+    moves = _core(moves_fixed(rows, list(keys), ys))
+    return _reaching(long_moves(moves, ys, [*keys, "epoch_ms", "close"]), xs)
 
 
-def signals_dynamic(candles: DataFrame, xs: list[float], y_max_s: int, chunk_ms: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def signals_dynamic(
+    candles: DataFrame, xs: list[float], y_max_s: int, chunk_ms: int, keys: tuple[str, ...] = ("symbol",)
+) -> DataFrame:
     """Candles at least ``x`` percent above the lowest close of the window, with the lookback found."""
-    rows = with_moves_dynamic(candles, y_max_s, chunk_ms, keys)
-    moves = rows.select(*keys, "epoch_ms", "close", F.col("move_0").alias("move"), "y_actual_seconds")
+    rows = chunk_with_halo(candles, list(keys), "epoch_ms", chunk_ms, before_ms=y_max_s * 1000)
+    moves = _core(moves_dynamic(rows, list(keys), y_max_s)).select(*keys, "epoch_ms", "close", F.col("move_0").alias("move"), "y_actual_seconds")
     return _reaching(moves.where(F.col("move").isNotNull()), xs)
 
 

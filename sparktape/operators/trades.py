@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from sparktape.functions.pricing import excursions, exit_price, profit
 from sparktape.operators.exits import exits
 from sparktape.operators.grid import param_grid
 from sparktape.operators.nonoverlap import select_nonoverlapping
-from sparktape.operators.signals import long_moves, with_moves_dynamic, with_moves_fixed
+from sparktape.operators.scans import chunk_with_halo
+from sparktape.operators.signals import long_moves, moves_dynamic, moves_fixed
 from sparktape.schema import Params
 
 # Largest grid sent to every executor; a larger one is joined by shuffle.
@@ -26,16 +30,23 @@ def sized_broadcast(sets: DataFrame, count: int) -> DataFrame:
 
 def entry_exits(candles: DataFrame, params: Params, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Every possible entry with its lookbacks and, per z, its exit; shared by all x."""
-    path = candles.select(*keys, "epoch_ms", "high", "low", "close")
-    if params.dynamic_y:
-        moved = with_moves_dynamic(path, params.y_max_s, params.chunk_ms, keys)
-        moves = ["move_0"]
-    else:
-        moved = with_moves_fixed(path, list(params.ys), params.chunk_ms, keys)
-        moves = [f"move_{i}" for i in range(len(params.ys))]
-    best = F.greatest(*moves) if len(moves) > 1 else F.col(moves[0])
-    flagged = moved.withColumn("is_entry", F.coalesce(best >= min(params.xs), F.lit(False)))
-    return exits(flagged, list(params.zs), params.hold_ms, params.slip, params.direction, params.chunk_ms, keys)
+    keys = list(keys)
+    ys = [params.y_max_s] if params.dynamic_y else list(params.ys)
+    # One layout serves the lookback before an entry and the path after it.
+    rows = chunk_with_halo(
+        candles.select(*keys, "epoch_ms", "high", "low", "close"),
+        keys,
+        "epoch_ms",
+        params.chunk_ms,
+        before_ms=max(ys) * 1000,
+        after_ms=params.hold_ms,
+        last_before=not params.dynamic_y,
+        first_after=True,
+    )
+    moved = moves_dynamic(rows, keys, params.y_max_s) if params.dynamic_y else moves_fixed(rows, keys, ys)
+    reached = [F.coalesce(F.col(f"move_{i}") >= min(params.xs), F.lit(False)) for i in range(len(ys))]
+    flagged = moved.withColumn("is_entry", F.col("_core") & reduce(or_, reached))
+    return exits(flagged, keys, list(params.zs), params.hold_ms, params.slip, params.direction)
 
 
 def candidate_trades(

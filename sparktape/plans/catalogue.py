@@ -34,7 +34,7 @@ SIGNAL_ONLY = replace(P, direction="signal-only")
 SHORT = replace(P, direction="short")
 DYNAMIC = replace(P, dynamic_y=True)
 # Thresholds under which some sets of the test data pass and some do not.
-LOOSE = replace(P, min_trades=60, min_win_rate=20.0, min_profit_factor=0.5, max_drawdown=9.9)
+LOOSE = replace(P, min_trades=30, min_win_rate=11.0, min_profit_factor=0.25, max_drawdown=10.005)
 COMBO = ["symbol", "combo_id"]
 RANGE = (1_704_672_000_000, 1_705_881_600_000)  # 2024-01-08 to 2024-01-22
 SEARCH = replace(P, xs=(50.0,), ys=(7200,), zs=(90.0,))
