@@ -45,7 +45,7 @@ def uncovered_intervals(
     """Intervals overlapping ``[req_start, req_end)`` that no larger (or equal, earlier named) one covers.
 
     In the order (start, end descending, name) an interval is covered exactly when an earlier one reaches its end,
-    so one running maximum replaces the containment self-join. ``start``, ``end`` and ``name`` are numeric.
+    so one running maximum replaces the containment self-join. ``start`` and ``end`` are numeric.
     """
     hit = intervals.where((F.col(start) < req_end) & (F.col(end) > req_start)).withColumn("_neg_end", -F.col(end))
     seen = running(
