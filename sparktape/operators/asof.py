@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sparktape.functions.positions import block_table, first_hit
 from sparktape.functions.timeops import floor_to
-from sparktape.operators.scans import Run, chunk_with_halo, running
+from sparktape.operators.scans import Run, chunk_with_halo, running, spread
 
 
 def asof_forward(
@@ -87,7 +87,8 @@ def time_to_target(
     )
     levels, short = [float(t) for t in targets], direction == "short"
     found = (
-        path.groupBy(*keys, "_chunk")
+        spread(path, *keys, "_chunk")
+        .groupBy(*keys, "_chunk")
         .cogroup(entries.groupBy(*keys, "_chunk"))
         .applyInPandas(lambda p, e: _reach(p, e, levels, int(horizon_ms), short, keys), schema)
     )

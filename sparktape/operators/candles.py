@@ -12,9 +12,21 @@ from sparktape.functions.timeops import floor_to
 from sparktape.operators.scans import Run, running
 
 
+def _rank(order: list[str]) -> Column:
+    """One sortable number for one or two long columns, which must not be NULL.
+
+    A fixed-width number keeps the roll-up a hash aggregate; ordering by a struct would make it sort all trades.
+    """
+    if len(order) == 1:
+        return F.col(order[0])
+    first, second = (F.col(c).cast("decimal(19,0)") for c in order)
+    # More than the span of a long, so the second column never reaches into the first.
+    return first * F.expr("20000000000000000000BD") + second
+
+
 def ohlcv_columns(order: list[str]) -> list[Column]:
     """Open, high, low, close, volume and count; open and close follow ``order``."""
-    rank = F.struct(*order)
+    rank = _rank(order)
     return [
         F.round(F.min_by("p", rank), 8).alias("open"),
         F.round(F.max("p"), 8).alias("high"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktape.functions.timeops import floor_to
+from sparktape.operators.scans import spread
 
 
 def _links(pdf: pd.DataFrame, lane: str, start: str, end: str):
@@ -100,6 +101,7 @@ def select_nonoverlapping(
     rows = df.withColumns(
         {"_lanes": F.floor(F.col(lane) / lanes_together).cast("long"), "_span0": floor_to(F.col(start), int(chunk_ms))}
     )
+    rows = spread(rows, *group, "_span0")
     fields = [rows.schema[c] for c in (*keys, "_lanes", "_span0", lane, start, end)]
     step_schema = T.StructType(fields)
     wanted = [f.name for f in fields]

@@ -109,23 +109,30 @@ def chunk_with_halo(
     )
     if not (last_before or first_after):
         return rows
-    row = F.struct(*[F.col(c) for c in df.columns])
     sides = []
     if last_before:
         sides.append((F.max_by, offset < width - before_ms, -1))
     if first_after:
         sides.append((F.min_by, offset > after_ms, 1))
+    # Column by column rather than as one struct: plain numbers keep this a hash aggregate.
+    carried = [c for c in df.columns if c not in keys]
     edges = own.groupBy(*keys, "_own").agg(
         *[
-            pick(row, order).alias(f"{name}{step}")
+            pick(c, order).alias(f"_{name}{step}_{c}")
             for pick, inside, step in sides
-            for name, order in (("_near", F.when(inside, t)), ("_any", t))
+            for name, order in (("near", F.when(inside, t)), ("any", t))
+            for c in carried
         ]
     )
+
+    def edge(name: str, step: int) -> Column:
+        part = {c: F.col(f"_{name}{step}_{c}") for c in carried}
+        return F.when(part[time].isNotNull(), F.struct(*[part.get(c, F.col(c)).alias(c) for c in df.columns]))
+
     by_chunk = Window.partitionBy(*keys).orderBy("_own")
     seeds = []
     for _, _, step in sides:
-        near, far = F.col(f"_near{step}"), F.col(f"_any{step}")
+        near, far = edge("near", step), edge("any", step)
         at = lambda c, steps, step=step: F.lead(c, steps * step).over(by_chunk)
         adjacent = at(F.col("_own"), 1) == F.col("_own") + step * width
         seeds.append(F.when(adjacent, F.coalesce(at(near, 1), at(far, 2))).otherwise(at(far, 1)))
@@ -133,3 +140,11 @@ def chunk_with_halo(
         "_chunk", F.explode(F.array_compact("_rows")).alias("_row")
     )
     return rows.unionByName(outer.select("_row.*", "_chunk", F.lit(False).alias("_core")))
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash partitions in the session's full number.
+
+    For stages that run in Python: they cost far more per byte than Spark assumes when it merges small partitions.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -12,7 +12,7 @@ from sparktape.functions.pricing import excursions, exit_price, profit
 from sparktape.operators.exits import exits
 from sparktape.operators.grid import param_grid
 from sparktape.operators.nonoverlap import select_nonoverlapping
-from sparktape.operators.scans import chunk_with_halo
+from sparktape.operators.scans import chunk_with_halo, spread
 from sparktape.operators.signals import long_moves, moves_dynamic, moves_fixed
 from sparktape.schema import Params
 
@@ -43,6 +43,7 @@ def entry_exits(candles: DataFrame, params: Params, keys: tuple[str, ...] = ("sy
         last_before=not params.dynamic_y,
         first_after=True,
     )
+    rows = spread(rows, *keys, "_chunk")
     moved = moves_dynamic(rows, keys, params.y_max_s) if params.dynamic_y else moves_fixed(rows, keys, ys)
     reached = [F.coalesce(F.col(f"move_{i}") >= min(params.xs), F.lit(False)) for i in range(len(ys))]
     flagged = moved.withColumn("is_entry", F.col("_core") & reduce(or_, reached))
