@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from sparktape.schema import TapeError
+
 
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and read it back.
@@ -17,6 +19,8 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise TapeError("set spark.checkpoint.dir to a folder that every executor reaches")
         folder = tempfile.mkdtemp(prefix="sparktape-")
     path = f"{folder.rstrip('/')}/sparktape-{uuid.uuid4().hex}"
     df.write.parquet(path)

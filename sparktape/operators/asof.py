@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,25 +36,30 @@ def asof_forward(
     return found.where("_probe = 1").select("_row.*", F.col("_found").alias(value))
 
 
-def _reach(path: pd.DataFrame, entries: pd.DataFrame, targets: list[float], horizon_ms: int, short: bool, keys: list[str]) -> pd.DataFrame:
-    path = path.sort_values("epoch_ms")
+def _reach(path: pa.Table, entries: pa.Table, targets: list[float], horizon_ms: int, short: bool) -> pa.Table:
+    """Seconds from each entry to its targets, on one chunk of candles with the horizon after it."""
+    path = path.sort_by("epoch_ms")
     ms, close = path["epoch_ms"].to_numpy(), path["close"].to_numpy()
     price, start_ms = entries["entry_price"].to_numpy(), entries["entry_ms"].to_numpy()
-    kept = entries[[*keys, "entry_ms", "entry_price"]].reset_index(drop=True)
-    if not len(entries) or not len(path):
-        return kept.iloc[:0].assign(target=0.0, seconds=0.0)
     table = block_table(close, np.minimum if short else np.maximum)
     start = np.searchsorted(ms, start_ms, side="left")
     out = []
-    for target in targets:
+    for target in targets if len(ms) else []:
         if short:
             at = first_hit(table, start, lambda c, goal=price * (1 - target / 100.0): c <= goal)
         else:
             at = first_hit(table, start, lambda c, goal=price * (1 + target / 100.0): c >= goal)
         when = ms[np.minimum(at, len(ms) - 1)]
-        reached = (at < len(ms)) & (when <= start_ms + horizon_ms)
-        out.append(kept.assign(target=target, seconds=np.where(reached, (when - start_ms) / 1000.0, np.nan)))
-    return pd.concat(out, ignore_index=True)
+        late = (at == len(ms)) | (when > start_ms + horizon_ms)
+        out.append(
+            entries.append_column("target", pa.array(np.full(len(start), target))).append_column(
+                "seconds", pa.array((when - start_ms) / 1000.0, mask=late)
+            )
+        )
+    if not out:
+        empty = pa.array([], type=pa.float64())
+        return entries.slice(0, 0).append_column("target", empty).append_column("seconds", empty)
+    return pa.concat_tables(out)
 
 
 def time_to_target(
@@ -86,11 +91,11 @@ def time_to_target(
         ]
     )
     levels, short = [float(t) for t in targets], direction == "short"
+    kept = [*keys, "entry_ms", "entry_price"]
     found = (
         spread(path, *keys, "_chunk")
         .groupBy(*keys, "_chunk")
         .cogroup(entries.groupBy(*keys, "_chunk"))
-        .applyInPandas(lambda p, e: _reach(p, e, levels, int(horizon_ms), short, keys), schema)
+        .applyInArrow(lambda p, e: _reach(p, e.select(kept), levels, int(horizon_ms), short), schema)
     )
-    found = found.withColumn("seconds", F.nanvl("seconds", F.lit(None).cast("double")))
     return trades.join(found, [*keys, "entry_ms", "entry_price"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,23 +30,23 @@ def _drop_test(peak: np.ndarray, z: float):
     return hit
 
 
-def _chunk_exits(pdf: pd.DataFrame, zs: list[float], hold_ms: int, kept: list[str]) -> pd.DataFrame:
+def _chunk_exits(rows: pa.Table, zs: list[float], hold_ms: int, kept: list[str]) -> pa.Table:
     """Exits of one chunk's entries; the chunk comes with the candles of the hold after it.
 
     The running maximum passes the drop test at a candle when the entry price or some high since the entry does, so
     the exit is the earlier of two lookups: first close far enough below the entry price, and the earliest such close
     over the highs that follow the entry.
     """
-    pdf = pdf.sort_values("epoch_ms", ignore_index=True)
-    n = len(pdf)
-    ms, close = pdf["epoch_ms"].to_numpy(), pdf["close"].to_numpy()
-    entries = np.flatnonzero(pdf["_core"].to_numpy() & pdf["is_entry"].to_numpy())
+    rows = rows.sort_by("epoch_ms")
+    n = rows.num_rows
+    ms, close, price = (rows[c].to_numpy() for c in ("epoch_ms", "close", "entry_price"))
+    entries = np.flatnonzero(rows["is_entry"].to_numpy())
     lowest_close = block_table(close, np.minimum)
-    highs = block_table(pdf["high"].to_numpy(), np.maximum)
-    lows = block_table(pdf["low"].to_numpy(), np.minimum)
-    price = pdf["entry_price"].to_numpy()[entries]
+    highs = block_table(rows["high"].to_numpy(), np.maximum)
+    lows = block_table(rows["low"].to_numpy(), np.minimum)
+    price = price[entries]
     timeout = np.searchsorted(ms, ms[entries] + hold_ms, side="left")
-    payload = pdf.loc[entries, kept].reset_index(drop=True)
+    payload = rows.select(kept).take(pa.array(entries))
     parts = []
     for z in zs:
         from_entry = first_hit(lowest_close, entries + 1, _drop_test(price, z))
@@ -57,30 +57,33 @@ def _chunk_exits(pdf: pd.DataFrame, zs: list[float], hold_ms: int, kept: list[st
         leave = np.where(dropped, drop, np.minimum(timeout, n - 1))
         seen = np.minimum(entries + 1, leave)
         reason = np.where(dropped, 1, np.where(timeout < n, 2, 3))
-        parts.append(
-            payload.assign(
-                z=z,
-                exit_ms=ms[leave],
-                raw_exit=close[leave],
-                max_price=np.maximum(price, span_fold(highs, seen, leave, np.maximum)),
-                min_price=np.minimum(price, span_fold(lows, seen, leave, np.minimum)),
-                reason=pd.Series(reason).map(EXIT_REASONS),
-            )
-        )
-    return pd.concat(parts, ignore_index=True)
+        found = {
+            "z": np.full(len(entries), z),
+            "exit_ms": ms[leave],
+            "raw_exit": close[leave],
+            "max_price": np.maximum(price, span_fold(highs, seen, leave, np.maximum)),
+            "min_price": np.minimum(price, span_fold(lows, seen, leave, np.minimum)),
+            "reason": np.array(["", *EXIT_REASONS.values()], dtype=object)[reason],
+        }
+        part = payload
+        for field in EXIT_FIELDS:
+            kind = pa.string() if field.name == "reason" else None
+            part = part.append_column(field.name, pa.array(found[field.name], type=kind))
+        parts.append(part)
+    return pa.concat_tables(parts)
 
 
 def exits(rows: DataFrame, keys: list[str], zs: list[float], hold_ms: int, slip: float, direction: str) -> DataFrame:
     """Add ``entry_price, z, exit_ms, raw_exit, max_price, min_price, reason`` per entry and z.
 
     ``rows`` are chunked candles that come with at least ``hold_ms`` and the first candle after it. Entries are the
-    core candles with ``is_entry``; other candles only serve as the path. Prices must not be negative. A task holds
+    candles with ``is_entry``, core ones only; the others just serve as the path. Prices must not be negative. A task holds
     one chunk and its halo, so at most ``span / bucket`` candles.
     """
     priced = rows.withColumn("entry_price", entry_price(F.col("close"), slip, direction))
     kept = [c for c in priced.columns if c not in ("high", "low", "is_entry", "_chunk", "_core")]
     schema = T.StructType([priced.schema[c] for c in kept] + EXIT_FIELDS)
     levels = [float(z) for z in zs]
-    return priced.groupBy(*keys, "_chunk").applyInPandas(
-        lambda pdf: _chunk_exits(pdf, levels, int(hold_ms), kept), schema
+    return priced.groupBy(*keys, "_chunk").applyInArrow(
+        lambda group: _chunk_exits(group, levels, int(hold_ms), kept), schema
     )

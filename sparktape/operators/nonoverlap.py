@@ -9,7 +9,8 @@ walked in parallel.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,66 +19,62 @@ from sparktape.functions.timeops import floor_to
 from sparktape.operators.scans import spread
 
 
-def _links(pdf: pd.DataFrame, lane: str, start: str, end: str):
-    """Rows sorted by (lane, start), the position each row leads to (own position when none) and the lane starts."""
-    pdf = pdf.sort_values([lane, start, end], ignore_index=True)
-    lanes = pdf[lane].to_numpy()
+def _links(rows: pa.Table, lane: str, start: str, end: str):
+    """Rows by (lane, start), their ends, lane codes, and the position each row leads to (its own when none)."""
+    lanes, starts, ends = (rows[c].to_numpy() for c in (lane, start, end))
+    order = np.lexsort((ends, starts, lanes))
+    lanes, starts, ends = lanes[order], starts[order], ends[order]
     code = np.cumsum(np.append(False, lanes[1:] != lanes[:-1])).astype(np.int64)
-    starts, ends = pdf[start].to_numpy(), pdf[end].to_numpy()
     base = starts.min()
     stride = max(starts.max(), ends.max()) - base + 1
     line = code * stride + (starts - base)
     nxt = np.searchsorted(line, code * stride + (ends - base), side="right")
-    stays = (nxt == len(pdf)) | (code[np.minimum(nxt, len(pdf) - 1)] != code)
-    nxt = np.where(stays, np.arange(len(pdf)), nxt)
-    return pdf, code, line, nxt, (base, stride)
+    stays = (nxt == len(order)) | (code[np.minimum(nxt, len(order) - 1)] != code)
+    nxt = np.where(stays, np.arange(len(order)), nxt)
+    return rows.take(pa.array(order)), ends, code, line, nxt, (base, stride)
 
 
-def _steps(pdf: pd.DataFrame, lane: str, start: str, end: str) -> pd.DataFrame:
+def _steps(rows: pa.Table, lane: str, start: str, end: str) -> pa.Table:
     """Per first start of the walk, the end it leaves the chunk with; equal neighbours merged."""
-    pdf, code, _, nxt, _ = _links(pdf, lane, start, end)
+    rows, ends, code, _, nxt, _ = _links(rows, lane, start, end)
     while True:
         further = nxt[nxt]
         if np.array_equal(further, nxt):
             break
         nxt = further
-    left = pdf[end].to_numpy()[nxt]
+    left = ends[nxt]
     last = np.append((code[1:] != code[:-1]) | (left[1:] != left[:-1]), True)
-    return pdf.assign(**{end: left})[last]
+    rows = rows.set_column(rows.column_names.index(end), end, pa.array(left))
+    return rows.filter(pa.array(last))
 
 
-def _walk(pdf: pd.DataFrame, carried: pd.DataFrame | None, lane: str, start: str, end: str) -> pd.DataFrame:
+def _walk(rows: pa.Table, carried: pa.Table | None, lane: str, start: str, end: str) -> pa.Table:
     """Rows visited per lane, with ``_from``: the end carried into the row (NULL at the very start)."""
     if carried is not None:
-        pdf = pdf[pdf[lane].isin(carried[lane])]
-    if pdf.empty:
-        return pdf.assign(_from=pd.Series(dtype="Int64"))
-    pdf, code, line, nxt, (base, stride) = _links(pdf, lane, start, end)
-    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-    came = np.full(len(first), -1, dtype=np.int64)
-    known = np.zeros(len(first), dtype=bool)
+        rows = rows.filter(pc.is_in(rows[lane], value_set=carried[lane].combine_chunks()))
+    if rows.num_rows == 0:
+        return rows.append_column("_from", pa.array([], type=pa.int64()))
+    rows, ends, code, line, nxt, (base, stride) = _links(rows, lane, start, end)
+    here = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    came, known = np.full(len(here), -1, dtype=np.int64), np.zeros(len(here), dtype=bool)
     if carried is not None:
-        given = carried.set_index(lane)["_from"].reindex(pdf[lane].to_numpy()[first])
-        known = given.notna().to_numpy()
-        came = given.fillna(-1).to_numpy().astype(np.int64)
+        lanes = np.arange(len(here))
+        given = carried.take(pc.index_in(rows[lane].take(pa.array(here)), value_set=carried[lane].combine_chunks()))
+        known = given["_from"].is_valid().to_numpy()
+        came = given["_from"].fill_null(-1).to_numpy()
         shift = np.clip(np.where(known, came - base, -1), -1, stride - 1)
-        pos = np.searchsorted(line, np.arange(len(first)) * stride + shift, side="right")
-        alive = (pos < len(pdf)) & (code[np.minimum(pos, len(pdf) - 1)] == np.arange(len(first)))
-        first, came, known = pos[alive], came[alive], known[alive]
-    rows, ends_in, has_end = [], [], []
-    here = first
-    ends = pdf[end].to_numpy()
+        pos = np.searchsorted(line, lanes * stride + shift, side="right")
+        alive = (pos < len(line)) & (code[np.minimum(pos, len(line) - 1)] == lanes)
+        here, came, known = pos[alive], came[alive], known[alive]
+    visits = []
     while len(here):
-        rows.append(here)
-        ends_in.append(came)
-        has_end.append(known)
+        visits.append((here, came, known))
         go = nxt[here] != here
         came, known, here = ends[here][go], np.ones(go.sum(), dtype=bool), nxt[here][go]
-    if not rows:
-        return pdf.head(0).assign(_from=pd.Series(dtype="Int64"))
-    at = np.concatenate(rows)
-    came_in = pd.Series(np.concatenate(ends_in), dtype="Int64").mask(~np.concatenate(has_end))
-    return pdf.iloc[at].reset_index(drop=True).assign(_from=came_in)
+    if not visits:
+        return rows.slice(0, 0).append_column("_from", pa.array([], type=pa.int64()))
+    at, came, known = (np.concatenate(parts) for parts in zip(*visits))
+    return rows.take(pa.array(at)).append_column("_from", pa.array(came, mask=~known))
 
 
 def select_nonoverlapping(
@@ -94,7 +91,8 @@ def select_nonoverlapping(
 
     ``lane`` is an integer key, such as a parameter-set id; a task handles up to ``lanes_together`` of them so that
     large grids do not end in tiny groups. ``spans`` are the fan-ins of the spans above the chunks. ``start`` and
-    ``end`` are epoch ms, and every interval ends at or after its start.
+    ``end`` are epoch ms, and every interval ends at or after its start. Every column of ``df`` passes through Python
+    workers twice, so keep it narrow and join the rest to the result.
     """
     group = [*keys, "_lanes"]
     columns = df.columns
@@ -109,34 +107,35 @@ def select_nonoverlapping(
     widths = [int(chunk_ms)]
     for fan_in in spans:
         widths.append(widths[-1] * int(fan_in))
-    steps = [rows.groupBy(*group, "_span0").applyInPandas(
-        lambda pdf: _steps(pdf[wanted], lane, start, end), step_schema
+    steps = [rows.groupBy(*group, "_span0").applyInArrow(
+        lambda part: _steps(part.select(wanted), lane, start, end), step_schema
     )]
     for width in widths[1:]:
         lower = steps[-1].withColumn("_up", floor_to(F.col(start), width))
         steps.append(
-            lower.groupBy(*group, "_up").applyInPandas(
-                lambda pdf: _steps(pdf[wanted], lane, start, end).assign(_span0=pdf["_up"].iloc[0]), step_schema
-            )
+            lower.drop("_span0")
+            .withColumnRenamed("_up", "_span0")
+            .groupBy(*group, "_span0")
+            .applyInArrow(lambda part: _steps(part.select(wanted), lane, start, end), step_schema)
         )
 
     from_field = T.StructField("_from", T.LongType())
     carry_schema = T.StructType([*[rows.schema[c] for c in (*group, "_span0", lane)], from_field])
     carry_columns = [f.name for f in carry_schema]
-    carried = steps[-1].groupBy(*group).applyInPandas(
-        lambda pdf: _walk(pdf, None, lane, start, end)[carry_columns], carry_schema
+    carried = steps[-1].groupBy(*group).applyInArrow(
+        lambda part: _walk(part, None, lane, start, end).select(carry_columns), carry_schema
     )
     for level in range(len(spans), 0, -1):
         lower = steps[level - 1].withColumn("_up", floor_to(F.col(start), widths[level]))
         carried = (
             lower.groupBy(*group, "_up")
             .cogroup(carried.withColumnRenamed("_span0", "_up").groupBy(*group, "_up"))
-            .applyInPandas(
-                lambda pdf, given: _walk(pdf, given, lane, start, end)[carry_columns], carry_schema
+            .applyInArrow(
+                lambda part, given: _walk(part, given, lane, start, end).select(carry_columns), carry_schema
             )
         )
     return (
         rows.groupBy(*group, "_span0")
         .cogroup(carried.groupBy(*group, "_span0"))
-        .applyInPandas(lambda pdf, given: _walk(pdf, given, lane, start, end)[columns], df.schema)
+        .applyInArrow(lambda part, given: _walk(part, given, lane, start, end).select(columns), df.schema)
     )

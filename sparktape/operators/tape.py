@@ -44,18 +44,21 @@ def uncovered_intervals(
 ) -> DataFrame:
     """Intervals overlapping ``[req_start, req_end)`` that no larger (or equal, earlier named) one covers.
 
-    In the order (start, end descending, name) an interval is covered exactly when an earlier one reaches its end,
-    so one running maximum replaces the containment self-join. ``start`` and ``end`` are numeric.
+    Of intervals with one start only the longest can stay, so those are aggregated first; a chunk then holds at most
+    one interval per possible start. In start order an interval is covered exactly when an earlier one reaches its
+    end: one running maximum replaces the containment self-join. ``start`` and ``end`` are numeric.
     """
-    hit = intervals.where((F.col(start) < req_end) & (F.col(end) > req_start)).withColumn("_neg_end", -F.col(end))
+    s, e = F.col(start), F.col(end)
+    longest = (
+        intervals.where((s < req_end) & (e > req_start))
+        .groupBy(*keys, start)
+        .agg(F.min_by(F.struct(*intervals.columns), F.struct(-e, F.col(name))).alias("_row"))
+        .select("_row.*")
+    )
     seen = running(
-        hit,
-        keys,
-        [start, "_neg_end", name],
-        floor_to(F.col(start), chunk),
-        [Run("_reach", "max", F.col(end), inclusive=False)],
+        longest, keys, [start], floor_to(s, chunk), [Run("_reach", "max", e, inclusive=False)]
     )
-    return seen.where(F.col("_reach").isNull() | (F.col("_reach") < F.col(end))).drop("_reach", "_neg_end")
+    return seen.where(F.col("_reach").isNull() | (F.col("_reach") < e)).drop("_reach")
 
 
 def day_coverage(requested: DataFrame, trades: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktape.functions.pricing import excursions, exit_price, profit
+from sparktape.lineage import saved
 from sparktape.operators.exits import exits
 from sparktape.operators.grid import param_grid
 from sparktape.operators.nonoverlap import select_nonoverlapping
@@ -50,33 +51,17 @@ def entry_exits(candles: DataFrame, params: Params, keys: tuple[str, ...] = ("sy
     return exits(flagged, keys, list(params.zs), params.hold_ms, params.slip, params.direction)
 
 
-def candidate_trades(
-    candles: DataFrame, params: Params, keys: tuple[str, ...] = ("symbol",), sets: DataFrame | None = None
-) -> DataFrame:
-    """Entry and exit for every parameter set whose signal fires at the entry."""
-    ends = entry_exits(candles, params, keys)
+def taken_trades(found: DataFrame, sets: DataFrame, params: Params, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Entries and exits each parameter set really takes, of those it has a signal for.
+
+    Only ids and times enter the walk; prices are joined to the few trades that remain.
+    """
     ys = [params.y_max_s] if params.dynamic_y else list(params.ys)
-    extra = ["y_actual_seconds"] if params.dynamic_y else []
-    kept = [
-        *keys, "epoch_ms", "entry_price", "z", "exit_ms", "raw_exit", "max_price", "min_price", "reason", *extra
-    ]
-    rows = long_moves(ends, ys, kept).where(F.col("move") >= min(params.xs))
-    if sets is None:
-        sets = sized_broadcast(param_grid(candles.sparkSession, params), grid_size_of(params))
     scope = [c for c in keys if c in sets.columns]
-    return rows.alias("r").join(
-        sets.alias("s"),
-        [F.col(f"r.{c}") == F.col(f"s.{c}") for c in (*scope, "y", "z")] + [F.col("move") >= F.col("x")],
-    ).select(
-        *[f"r.{c}" for c in kept if c != "z"], "s.combo_id", "s.x", "s.y", "s.z"
-    )
-
-
-def taken_trades(
-    candles: DataFrame, params: Params, keys: tuple[str, ...] = ("symbol",), sets: DataFrame | None = None
-) -> DataFrame:
-    return select_nonoverlapping(
-        candidate_trades(candles, params, keys, sets),
+    rows = long_moves(found, ys, [*keys, "epoch_ms", "z", "exit_ms"]).where(F.col("move") >= min(params.xs))
+    fired = rows.join(sets, [*scope, "y", "z"]).where(F.col("move") >= F.col("x"))
+    taken = select_nonoverlapping(
+        fired.select(*keys, "combo_id", "epoch_ms", "exit_ms"),
         list(keys),
         "combo_id",
         "epoch_ms",
@@ -84,6 +69,7 @@ def taken_trades(
         params.chunk_ms,
         spans=params.spans,
     )
+    return taken.drop("exit_ms").join(sets, [*scope, "combo_id"]).join(found, [*keys, "epoch_ms", "z"])
 
 
 def trade_log(
@@ -92,9 +78,12 @@ def trade_log(
     """One row per trade and parameter set.
 
     ``keys`` may hold a split part besides the symbol; nothing then crosses a part. ``sets`` limits the run to some
-    parameter sets (``combo_id, x, y, z`` and optionally keys).
+    parameter sets (``combo_id, x, y, z`` and optionally keys). The exits of all possible entries are saved once: both
+    the walk and the join of prices start from them.
     """
-    taken = taken_trades(candles, params, keys, sets)
+    if sets is None:
+        sets = sized_broadcast(param_grid(candles.sparkSession, params), grid_size_of(params))
+    taken = taken_trades(saved(entry_exits(candles, params, keys)), sets, params, keys)
     leave = exit_price(F.col("raw_exit"), params.slip, params.direction)
     fees, pnl, pct = profit(F.col("entry_price"), F.col("exit_price"), params.size, params.fee, params.direction)
     mae, mfe = excursions(F.col("entry_price"), F.col("max_price"), F.col("min_price"), params.direction)

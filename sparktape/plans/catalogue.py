@@ -24,7 +24,7 @@ from sparktape.operators import (
     trades as trade_ops,
 )
 from sparktape.plans import runs
-from sparktape.plans.lineage import saved
+from sparktape.lineage import saved
 from sparktape.plans.bindings import DEFAULTS, candles, order_trades, table, tlog, trades
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,20 +177,17 @@ def range_counts(spark, sf):
 
 
 def trade_in_window(spark, sf):
-    """Per day and hourly window, trades inside; a trade on the hour belongs to two windows."""
-    t = trades(spark, sf).withColumn("t", timeops.floor_to(F.col("t"), 1_800_000))
-    day = timeops.floor_to(F.col("t"), timeops.DAY_MS)
-    windows = t.select(
-        "*",
-        day.alias("day_start"),
-        F.explode(timeops.hour_windows(day, day + timeops.DAY_MS)).alias("w"),
-    ).where(
-        (F.col("t") >= F.col("w.window_start"))
-        & timeops.in_window(F.col("t"), F.col("day_start"), F.col("day_start") + timeops.DAY_MS, F.col("w.window_end"))
-    )
-    return windows.groupBy("symbol", F.col("w.window_start").alias("window_start")).agg(
-        F.count(F.lit(1)).alias("n")
+    """Trades per hourly window of their day; a trade on the hour belongs to two windows."""
+    t, day, hour = F.col("t"), F.col("day_start"), F.col("window_start")
+    rows = (
+        trades(spark, sf)
+        .withColumn("t", timeops.floor_to(t, 1_800_000))
+        .withColumn("day_start", timeops.floor_to(t, timeops.DAY_MS))
     )
+    own = timeops.floor_to(t, timeops.HOUR_MS)
+    near = rows.withColumn("window_start", F.explode(F.array(own, own - timeops.HOUR_MS)))
+    inside = timeops.in_window(t, F.greatest(day, hour), day + timeops.DAY_MS, hour + timeops.HOUR_MS)
+    return near.where((hour >= day) & inside).groupBy("symbol", "window_start").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dedupe_trades(spark, sf):

@@ -10,7 +10,7 @@ from sparktape.operators.metrics import advanced_metrics, trade_metrics
 from sparktape.operators.screening import apply_thresholds, derive, passes, rank_by_score, screen, verdict
 from sparktape.operators.splits import train_val_split
 from sparktape.operators.trades import trade_log
-from sparktape.plans.lineage import saved
+from sparktape.lineage import saved
 from sparktape.schema import Params
 
 
