@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktape.lineage import saved
 from sparktape.operators.scans import Run, running
 
 
@@ -19,9 +20,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_cnt"))
     )
-    edges = counted.groupBy(*keys).agg(
-        F.percentile_approx("_v", [i / bins for i in range(1, bins)], 10_000).alias("_edges"),
-        F.sum("_cnt").alias("_n"),
+    # Saved, so that its known size lets Spark broadcast it instead of gathering a hot key for the join.
+    edges = saved(
+        counted.groupBy(*keys).agg(
+            F.percentile_approx("_v", [i / bins for i in range(1, bins)], 10_000).alias("_edges"),
+            F.sum("_cnt").alias("_n"),
+        )
     )
     binned = counted.join(edges, keys)
     binned = binned.withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col("_v")))).drop("_edges")

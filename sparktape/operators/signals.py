@@ -112,9 +112,8 @@ def signals_fixed(
     candles: DataFrame, xs: list[float], ys: list[int], chunk_ms: int, keys: tuple[str, ...] = ("symbol",)
 ) -> DataFrame:
     """Candles that rose by at least ``x`` percent over ``y`` seconds, per (x, y)."""
-    rows = chunk_with_halo(
-        candles, list(keys), "epoch_ms", chunk_ms, before_ms=max(ys) * 1000, last_before=True
-    )
+    path = candles.select(*keys, "epoch_ms", "close")
+    rows = chunk_with_halo(path, list(keys), "epoch_ms", chunk_ms, before_ms=max(ys) * 1000, last_before=True)
     moves = _core(moves_fixed(rows, list(keys), ys))
     return _reaching(long_moves(moves, ys, [*keys, "epoch_ms", "close"]), xs)
 
@@ -123,7 +122,8 @@ def signals_dynamic(
     candles: DataFrame, xs: list[float], y_max_s: int, chunk_ms: int, keys: tuple[str, ...] = ("symbol",)
 ) -> DataFrame:
     """Candles at least ``x`` percent above the lowest close of the window, with the lookback found."""
-    rows = chunk_with_halo(candles, list(keys), "epoch_ms", chunk_ms, before_ms=y_max_s * 1000)
+    path = candles.select(*keys, "epoch_ms", "close")
+    rows = chunk_with_halo(path, list(keys), "epoch_ms", chunk_ms, before_ms=y_max_s * 1000)
     moves = _core(moves_dynamic(rows, list(keys), y_max_s)).select(*keys, "epoch_ms", "close", F.col("move_0").alias("move"), "y_actual_seconds")
     return _reaching(moves.where(F.col("move").isNotNull()), xs)
 

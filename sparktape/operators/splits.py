@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktape.functions.timeops import DAY_MS, floor_to
+from sparktape.lineage import saved
 from sparktape.schema import TapeError
 
 # Bucket widths used to narrow a position down: day, minute, millisecond. Each bucket has a bounded number of parts.
@@ -18,7 +19,9 @@ def times_at(df: DataFrame, keys: list[str], time: str, positions: Callable[[Col
     """Time found at given positions of the sorted rows of each key.
 
     ``positions`` maps the row count to an array of positions from 0. Result: ``keys, n, first_ms, id, pos, at_ms``,
-    with ``at_ms`` NULL for a position outside the rows. Only counts per bucket are ever sorted.
+    with ``at_ms`` NULL for a position outside the rows. Only counts per bucket are ever sorted. Each level saves its
+    few rows, so that Spark knows their size and filters the next scan of ``df`` by broadcast instead of shuffling it;
+    pass a table rather than a long computation.
     """
     t = F.col(time)
     per_day = df.groupBy(*keys, floor_to(t, DAY_MS).alias("_b0")).agg(
@@ -65,6 +68,7 @@ def times_at(df: DataFrame, keys: list[str], time: str, positions: Callable[[Col
                 bucket,
             )
         )
+        found = saved(found)
     return found.select(*keys, "n", "first_ms", "id", "pos", F.col(f"_b{len(WIDTHS) - 1}").alias("at_ms"))
 
 

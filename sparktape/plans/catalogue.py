@@ -203,12 +203,13 @@ def merge_days(spark, sf):
 
 
 def asof_back(spark, sf):
-    rows = signals.lookback_closes(candles(spark, sf), [7_200_000, 21_600_000], P.chunk_ms)
+    closes = candles(spark, sf).select("symbol", "epoch_ms", "close")
+    rows = signals.lookback_closes(closes, [7_200_000, 21_600_000], P.chunk_ms)
     return rows.select("symbol", "epoch_ms", "close", "past_0", "past_1")
 
 
 def asof_forward(spark, sf):
-    c = candles(spark, sf)
+    c = candles(spark, sf).select("symbol", "epoch_ms", "close")
     left = c.select("symbol", "epoch_ms", (F.col("epoch_ms") + 7_200_000).alias("at_ms"))
     return asof.asof_forward(left, c, ["symbol"], "at_ms", "epoch_ms", "close", P.chunk_ms)
 
@@ -385,7 +386,8 @@ def loss_streak(spark, sf):
 
 
 def sliding_argmin(spark, sf):
-    rows = signals.window_lows(candles(spark, sf), 21_600_000, P.chunk_ms)
+    closes = candles(spark, sf).select("symbol", "epoch_ms", "close")
+    rows = signals.window_lows(closes, 21_600_000, P.chunk_ms)
     return rows.select("symbol", "epoch_ms", "close", "low_close", "low_ms")
 
 
@@ -400,7 +402,7 @@ def signal_dynamic(spark, sf):
 
 
 def _parts(spark, sf):
-    return splits.train_val_split(candles(spark, sf), 0.7)
+    return splits.train_val_split(saved(candles(spark, sf)), 0.7)
 
 
 def train_val_split(spark, sf):

@@ -45,7 +45,7 @@ def screen_and_validate(candles: DataFrame, params: Params) -> tuple[DataFrame,
     Returns the screened sets, and one row per ranked set with ``train_`` and ``validation_`` metrics (zero without
     trades) and a verdict.
     """
-    parts = saved(train_val_split(candles, params.train_ratio))
+    parts = train_val_split(saved(candles), params.train_ratio)
     screened = saved(screen_grid(parts.where(F.col("part") == "train").drop("part"), params))
     top = rank_by_score(apply_thresholds(screened, params), ["symbol"], params.top_n).select(
         "symbol", "combo_id", "x", "y", "z", "score", "rank"
