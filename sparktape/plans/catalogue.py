@@ -85,6 +85,13 @@ def split_days(spark, sf):
     ).select("user_id", "d.day_start", "d.day_end")
 
 
+def hour_windows(spark, sf):
+    """Hourly windows of every user's active days, and how many users need each."""
+    days = split_days(spark, sf)
+    windows = days.select(F.explode(timeops.hour_windows(F.col("day_start"), F.col("day_end"))).alias("w"))
+    return windows.groupBy("w.window_start", "w.window_end").agg(F.count(F.lit(1)).alias("users"))
+
+
 def normalize_ts(spark, sf):
     """The tape with every second source in microseconds, as two exchanges would deliver it."""
     t = trades(spark, sf)
@@ -475,6 +482,17 @@ def exit_reasons(spark, sf):
     return rounded(posthoc.exit_reasons(tlog(spark, sf), COMBO), 4)
 
 
+def reason_codes(spark, sf):
+    """Exit reasons as the numbers of compact logs, and back."""
+    code = pricing.reason_code(F.col("reason"))
+    return (
+        tlog(spark, sf)
+        .select("reason", code.alias("code"), pricing.reason_label(code).alias("label"))
+        .groupBy("reason", "code", "label")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def excursion_stats(spark, sf):
     return rounded(posthoc.excursion_stats(_profiled(spark, sf), COMBO), 4)
 
@@ -532,6 +550,7 @@ def queries() -> dict[str, Query]:
         "interval_cover": interval_cover,
         "day_coverage": day_coverage,
         "split_days": split_days,
+        "hour_windows": hour_windows,
         "merge_days": merge_days,
         "normalize_ts": normalize_ts,
         "floor_bucket": floor_bucket,
@@ -591,6 +610,7 @@ def queries() -> dict[str, Query]:
         "stoploss_impact_short": stoploss_impact("short"),
         "stoploss_best": stoploss_best,
         "exit_reasons": exit_reasons,
+        "reason_codes": reason_codes,
         "excursion_stats": excursion_stats,
         "excursion_by_reason": excursion_by_reason,
         "maxhold_percentiles": maxhold_percentiles,

@@ -494,6 +494,15 @@ def oracle_sql() -> dict[str, str]:
         "split_days": sql(
             [SPANS, USER_DAYS], f"select user_id, day_start, least(day_start + {DAY}, end_ms) day_end from ud"
         ),
+        "hour_windows": sql(
+            [
+                SPANS,
+                USER_DAYS,
+                f"dw as (select day_start, least(day_start + {DAY}, end_ms) day_end from ud)",
+                "hw as (select day_end, unnest(generate_series(day_start, day_end - 1, 3600000)) window_start from dw)",
+            ],
+            "select window_start, least(window_start + 3600000, day_end) window_end, count(*) users from hw group by 1, 2",
+        ),
         "merge_days": sql(
             [TR],
             f"select symbol, (t // {DAY}) * {DAY} day_ms, count(*) as rows, cast(sum(count(*)) over (partition by symbol "
@@ -810,6 +819,11 @@ def oracle_sql() -> dict[str, str]:
             ],
             f"select symbol, combo_id, reason, n, {r4('avg_pnl_percent', 'pct')} from h",
         ),
+        "reason_codes": sql(
+            LOG,
+            "select reason, case reason when 'drop-z' then 1 when 'max-hold' then 2 else 3 end code, reason as label, "
+            "count(*) n from tl group by 1",
+        ),
         "excursion_stats": sql(
             [
                 *PROFILE,

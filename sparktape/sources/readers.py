@@ -131,6 +131,7 @@ def raw_file_spans(files: DataFrame, path: str = "path") -> DataFrame:
 
     A single-day name spans that day. Plain and gzipped files both count.
     """
+    # The name formats of raw files.
     name = F.regexp_extract(F.col(path), r"([^/]+?)\.jsonl(?:\.gz)?$", 1)
     days = F.regexp_extract_all(name, F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1))
     return (
