@@ -2,26 +2,53 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from sparktape.schema import TapeError
+_scopes: list[list[str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one below the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sparktape-saved"
+    return folder.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder, removed at the end of the surrounding ``scratch`` scope, if there is one."""
+    path = f"{shared_folder(spark)}/sparktape-{kind}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it back.
+    """Write ``df`` to the shared folder and read it back.
 
-    Later steps then start from files that outlive lost executors, and their plans stay small. Only a session without
-    ``spark.checkpoint.dir``, as in tests, gets a folder of its own.
+    Later steps then start from files that outlive lost executors, and their plans stay small.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise TapeError("set spark.checkpoint.dir to a folder that every executor reaches")
-        folder = tempfile.mkdtemp(prefix="sparktape-")
-    path = f"{folder.rstrip('/')}/sparktape-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``saved`` writes inside the scope when it ends; write the run's result before leaving it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
