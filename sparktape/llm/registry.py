@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from sparktape.llm import mixing, simhash
+from sparktape.llm import decontaminate, mixing, simhash
 
 
 def queries() -> dict:
-    return {"op2_mix_sources": mixing.op2, "op5_simhash_near_dedup": simhash.op5}
+    return {
+        "op1_benchmark_decontamination": decontaminate.op1,
+        "op2_mix_sources": mixing.op2,
+        "op5_simhash_near_dedup": simhash.op5,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.OP2_SQL}
+    return {"op1_benchmark_decontamination": decontaminate.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL}
