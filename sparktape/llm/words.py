@@ -103,7 +103,7 @@ def runs(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np
     return mix(total[at]), out_bounds
 
 
-def pieces(texts: pa.Array, separators: np.ndarray = SPACES, fold: bool = False) -> Iterator[Piece]:
+def pieces(texts: pa.Array, separators: np.ndarray = SPACES, fold: bool = False, size: int = PIECE_BYTES) -> Iterator[Piece]:
     """Pieces of a text column; nulls count as empty. ``fold`` lower-cases A to Z, ``separators`` marks bytes between words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -115,8 +115,8 @@ def pieces(texts: pa.Array, separators: np.ndarray = SPACES, fold: bool = False)
     data = np.frombuffer(values, np.uint8) if values is not None else np.empty(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, "right")) - 1
-        last = min(max(last, first + 1), len(texts), first + PIECE_BYTES)
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
+        last = min(max(last, first + 1), len(texts), first + size)
         own = offsets[first : last + 1] - offsets[first]
         part = data[offsets[first] : offsets[last]]
         yield _piece(first, last, LOWER[part] if fold else part, own, separators)
