@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparktape.llm import decontaminate, mixing, perplexity, simhash
+from sparktape.llm import decontaminate, factorisation, mixing, perplexity, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_benchmark_decontamination": decontaminate.op1,
         "op2_mix_sources": mixing.op2,
         "op5_simhash_near_dedup": simhash.op5,
+        "op6_quality_classifier": factorisation.op6,
         "op7_quality_rules": perplexity.op7,
     }
 
