@@ -70,15 +70,21 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return levels.select("named", "source", "source_size", target.alias("target"))
 
 
-def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most=MOST) -> DataFrame:
-    """(doc, size, source_size, target, copies): every row of ``docs`` as a struct, and how often the mix takes it."""
+def copies(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most=MOST, carry: list[str] | None = None
+) -> DataFrame:
+    """(doc, size, source_size, target, copies): the carried columns of every row, all by default, and its copies.
+
+    Words are counted once, on the way to a saved table that all further steps read.
+    """
     rows = docs.select(
-        F.struct("*").alias("doc"),
+        F.struct(*[docs[c] for c in carry or docs.columns]).alias("doc"),
         F.col(source).cast("string").alias("source"),
         words(F.col(text)).alias("size"),
         F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("key"),
         F.xxhash64(text).alias("tie"),
     )
+    rows = saved(rows)
     rows = rows.withColumn("named", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))  # joins need no null
     rows = rows.withColumns({"class": size_class(F.col("size")), "hash": hashed(F.col("key"))})
     sizes = saved(rows.groupBy("named", "source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
@@ -112,7 +118,7 @@ def mix(docs: DataFrame, **names) -> DataFrame:
 def op2(spark, sf_dir: str) -> DataFrame:
     """Copies of all documents in a mix that weighs the sources 1, 2, 3, repeating."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    taken = copies(docs)
+    taken = copies(docs, carry=["doc_id"])
     return taken.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
