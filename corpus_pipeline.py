@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparktape.lineage import saved
-from sparktape.llm import mixing, simhash
+from sparktape.llm import decontaminate, factorisation, mixing, perplexity, simhash
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine scores below its cut go."""
+    machine = factorisation.quality_machine(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = factorisation.scored(docs, machine, metadata=["n_chars"])
+    return rows.where(F.col("score") >= factorisation.CUT).select("doc.*")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or whose perplexity lies outside their language's bands, go."""
+    return perplexity.passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,17 +26,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once per copy that the mix takes."""
     return mixing.mix(docs)
 
 
 STAGES = [
-    ("simhash_near_dedup", near_dedup),
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
     ("mix_sources", mix_sources),
 ]
 
-#: The stages hold trained models, near-duplicate classes and containment search, which SQL cannot express.
+#: The stages hold trained models and near-duplicate classes, which SQL cannot express.
 ORACLE_SQL = None
 
 

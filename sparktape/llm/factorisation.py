@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktape.lineage import saved
-from sparktape.llm.words import Piece, pieces
+from sparktape.llm.words import Piece, carried, pieces, texts_of
 
 BUCKETS = 1 << 13
 RANK = 8
@@ -140,9 +140,9 @@ def fit(places: list[np.ndarray], values: list[np.ndarray], dense: np.ndarray, l
     return machine
 
 
-def _inputs(docs: DataFrame, text: str, metadata: list[str]) -> list[Column]:
+def _numbers(metadata: list[str]) -> Column:
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in metadata]
-    return [F.col(text).alias("text"), F.array(*[F.log1p(F.greatest(n, F.lit(0.0))) for n in numbers]).cast("array<double>").alias("metadata")]
+    return F.array(*[F.log1p(F.greatest(n, F.lit(0.0))) for n in numbers]).cast("array<double>").alias("metadata")
 
 
 def _metadata(batch: pa.RecordBatch, count: int) -> np.ndarray:
@@ -154,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", t
     metadata = metadata or []
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
     chosen = saved(chosen.orderBy(F.xxhash64("key"), "key").limit(SAMPLE))
-    rows = docs.select(F.col(key).alias("key"), *_inputs(docs, text, metadata)).join(F.broadcast(chosen), "key")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _numbers(metadata)).join(F.broadcast(chosen), "key")
     dense_type = "array<double>"
 
     def of(batches):
@@ -180,19 +180,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", t
     return fit(*lists, dense, table.column("label").to_numpy().astype(float))
 
 
-def scored(docs: DataFrame, machine: Machine, text: str = "text", metadata: list[str] | None = None, name: str = "score") -> DataFrame:
-    """(doc, score): every row of ``docs`` as a struct."""
+def scored(docs: DataFrame, machine: Machine, text: str = "text", metadata: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """(doc, score): the carried columns of every row, all by default, and its score."""
     metadata = metadata or []
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = docs.select(F.struct("*").alias("doc"), *_inputs(docs, text, metadata))
+    rows = docs.select(*carried(docs, text, carry or docs.columns), _numbers(metadata))
 
     def of(batches):
         for batch in batches:
-            found = [sent.value.score(*f) for f in features(batch.column("text"), _metadata(batch, len(metadata)))]
+            found = [sent.value.score(*f) for f in features(texts_of(batch, text), _metadata(batch, len(metadata)))]
             scores = np.concatenate(found) if found else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(scores)], ["doc", name])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(scores)], ["doc", "score"])
 
-    return rows.mapInArrow(of, f"doc {rows.schema['doc'].dataType.simpleString()}, {name} double")
+    return rows.mapInArrow(of, f"doc {rows.schema['doc'].dataType.simpleString()}, score double")
 
 
 def held_out(key, parts: int, part: int):
@@ -208,6 +208,6 @@ def op6(spark, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     machine = quality_machine(docs, labels)
-    rows = scored(docs.select("doc_id", "text", "n_chars"), machine, metadata=["n_chars"])
+    rows = scored(docs, machine, metadata=["n_chars"], carry=["doc_id"])
     out = F.coalesce(held_out(F.col("doc.doc_id"), 4, 2), F.lit(False))
     return rows.select("doc.doc_id", out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 PIECE_BYTES = 1 << 20
 
@@ -134,3 +136,13 @@ def _piece(first: int, last: int, data: np.ndarray, offsets: np.ndarray, separat
     stops[tails] = inside[tails]
     starts = np.flatnonzero(begins)
     return Piece(first, last, data, offsets, starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets))
+
+
+def carried(docs: DataFrame, text: str, carry: list[str]) -> list[Column]:
+    """The carried columns as a struct ``doc``, so that no name clashes, and the text unless it is one of them."""
+    own = F.struct(*[docs[c] for c in carry]).alias("doc")
+    return [own] if text in carry else [own, docs[text].alias("text")]
+
+
+def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:
+    return batch.column("text") if "text" in batch.schema.names else batch.column("doc").field(text)
