@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparktape.llm import decontaminate, factorisation, mixing, perplexity, simhash
+from sparktape.llm import decontaminate, factorisation, mixing, perplexity, simhash, tokencount
 
 
 def queries() -> dict:
     return {
         "op1_benchmark_decontamination": decontaminate.op1,
         "op2_mix_sources": mixing.op2,
+        "op3_token_counts": tokencount.op3,
         "op5_simhash_near_dedup": simhash.op5,
         "op6_quality_classifier": factorisation.op6,
         "op7_quality_rules": perplexity.op7,
