@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparktape.llm import decontaminate, factorisation, mixing, perplexity, simhash, tokencount
+from sparktape.llm import decontaminate, factorisation, mixing, perplexity, simhash, tokencount, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_benchmark_decontamination": decontaminate.op1,
         "op2_mix_sources": mixing.op2,
         "op3_token_counts": tokencount.op3,
+        "op4_warc": warc.op4,
         "op5_simhash_near_dedup": simhash.op5,
         "op6_quality_classifier": factorisation.op6,
         "op7_quality_rules": perplexity.op7,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": decontaminate.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL}
+    return {"op1_benchmark_decontamination": decontaminate.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op4_warc": warc.OP4_SQL}
