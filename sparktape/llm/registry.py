@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparktape.llm import decontaminate, factorisation, mixing, perplexity, simhash, stringkernel, tokencount, warc
+from sparktape.llm import decontaminate, factorisation, licences, mixing, perplexity, simhash, stringkernel, tokencount, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_quality_classifier": factorisation.op6,
         "op7_quality_rules": perplexity.op7,
         "op9_language_id": stringkernel.op9,
+        "op10_license_scan": licences.op10,
     }
 
 
