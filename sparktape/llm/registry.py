@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparktape.llm import decontaminate, factorisation, licences, mixing, perplexity, simhash, stringkernel, tokencount, warc
+from sparktape.llm import decontaminate, factorisation, licences, mixing, perplexity, simhash, stringkernel, tokencount, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_simhash_near_dedup": simhash.op5,
         "op6_quality_classifier": factorisation.op6,
         "op7_quality_rules": perplexity.op7,
+        "op8_toxicity": toxicity.op8,
         "op9_language_id": stringkernel.op9,
         "op10_license_scan": licences.op10,
     }

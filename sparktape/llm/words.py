@@ -66,6 +66,7 @@ class Piece:
     starts: np.ndarray  # of the words in data
     ends: np.ndarray
     bounds: np.ndarray  # the words of text i are bounds[i] to bounds[i + 1]
+    _sums: np.ndarray | None = None  # running sums, once they are needed again
 
     @property
     def counts(self) -> np.ndarray:
@@ -85,6 +86,17 @@ class Piece:
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[: len(self.data)], out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * inverses[self.starts])
 
+    def heads(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of at least ``length`` bytes, and hashes of their first ``length`` bytes, as ``hashes`` makes them."""
+        long = np.flatnonzero(self.ends - self.starts >= length)
+        if not len(long):
+            return long, np.empty(0, np.uint64)
+        powers, inverses = _tables(len(self.data) + 1)
+        if self._sums is None:
+            self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[: len(self.data)])))
+        starts = self.starts[long]
+        return long, mix((self._sums[starts + length] - self._sums[starts]) * inverses[starts])
+
     def sums(self, per_byte: np.ndarray) -> np.ndarray:
         """Sum of a value per byte over each text."""
         total = np.concatenate(([0], np.cumsum(per_byte, dtype=np.int64)))
