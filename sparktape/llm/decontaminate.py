@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktape.llm.words import NOT_ALNUM, Piece, pieces, runs
+from sparktape.llm.words import NOT_ALNUM, Piece, carried, pieces, runs, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -188,18 +188,19 @@ def search(docs: DataFrame, items: DataFrame, key="doc_id", text="text", item_ke
 
 def clean(docs: DataFrame, items: DataFrame, text="text", item_key="item_id", item_text="text", threshold=THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that contain none of the items."""
-    at = docs.columns.index(text)
+    rows = docs.select(*carried(docs, text, docs.columns))
+    schema = rows.schema
     for index in blocks(items, item_key, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches, sent=sent):
             for batch in batches:
                 free = np.ones(batch.num_rows, bool)
-                free[[m[0] for m in matches(batch.column(at), sent.value, threshold)]] = False
+                free[[m[0] for m in matches(texts_of(batch, text), sent.value, threshold)]] = False
                 yield batch.filter(pa.array(free))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        rows = rows.mapInArrow(keep, schema)
+    return rows.select("doc.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktape.lineage import saved
-from sparktape.llm.words import Piece, carried, pieces, texts_of
+from sparktape.llm.words import Piece, carried, pieces, returning, texts_of
 
 BUCKETS = 1 << 13
 RANK = 8
@@ -192,7 +192,7 @@ def scored(docs: DataFrame, machine: Machine, text: str = "text", metadata: list
             scores = np.concatenate(found) if found else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(scores)], ["doc", "score"])
 
-    return rows.mapInArrow(of, f"doc {rows.schema['doc'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(of, returning(rows, "score double"))
 
 
 def held_out(key, parts: int, part: int):

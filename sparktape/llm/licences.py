@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktape.llm.words import NOT_ALNUM, Piece, carried, pieces, runs, texts_of
+from sparktape.llm.words import NOT_ALNUM, Piece, carried, pieces, returning, runs, texts_of
 
 LEAST = 4
 GAP = 8
@@ -273,7 +273,7 @@ def scanned(docs: DataFrame, text: str = "text", own: Scanner | None = None, car
             columns[-1] = [[dict(zip(("label", "cover", "first_word", "last_word"), s)) for s in row] for row in columns[-1]]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc", *names])
 
-    return rows.mapInArrow(of, f"doc {rows.schema['doc'].dataType.simpleString()}, {SCHEMA}")
+    return rows.mapInArrow(of, returning(rows, SCHEMA))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def copies(
     Words are counted once, on the way to a saved table that all further steps read.
     """
     rows = docs.select(
-        F.struct(*[docs[c] for c in carry or docs.columns]).alias("doc"),
+        F.struct(*[F.col(f"`{c}`").alias(c) for c in carry or docs.columns]).alias("doc"),
         F.col(source).cast("string").alias("source"),
         words(F.col(text)).alias("size"),
         F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("key"),

@@ -248,11 +248,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
         rows = rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates([key]))
     if not prints.where("key is null").isEmpty():
         bare = docs.where(F.col(key).isNull())
-        name = "fp" + "_" * max(map(len, docs.columns))  # no column has it
-        bare = with_fingerprint(bare.withColumn(name + "text", F.col(text)), name + "text", shingle, name)
-        alone = found.where("component_id is null").select(F.col("fp").alias(name))
-        rows = rows.unionByName(bare.join(alone, name, "left_semi").dropDuplicates([name]).drop(name))
-    return rows.select(*docs.columns)
+        bare = with_fingerprint(bare.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("doc"), F.col(text).alias("text")), "text", shingle)
+        alone = found.where("component_id is null").select("fp")
+        rows = rows.unionByName(bare.join(alone, "fp", "left_semi").dropDuplicates(["fp"]).select("doc.*"))
+    return rows.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktape.lineage import saved
-from sparktape.llm.words import NOT_ALNUM, carried, pieces, texts_of
+from sparktape.llm.words import NOT_ALNUM, carried, pieces, returning, texts_of
 
 BUCKETS = 1 << 14
 LENGTHS = (2, 3, 4)
@@ -149,7 +149,7 @@ def identified(docs: DataFrame, classifier: Classifier, text: str = "text", carr
             names[bare], scores[bare] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(names, pa.string()), pa.array(scores)], ["doc", "lang_pred", "score"])
 
-    return rows.mapInArrow(of, f"doc {rows.schema['doc'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(of, returning(rows, "lang_pred string, score double"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

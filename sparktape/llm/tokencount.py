@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktape.llm.words import carried, pieces, texts_of
+from sparktape.llm.words import carried, pieces, returning, texts_of
 
 TABLE = 1 << 16
 #: What each task hands in for the table, and how many words it counts at once: rarer ones are dropped beyond that.
@@ -158,7 +158,7 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text", carry: li
             sizes = pc.cast(pc.binary_length(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), sizes, pa.array(count(texts.to_pylist()), pa.int64())], ["doc", "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(of, f"doc {rows.schema['doc'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    return rows.mapInArrow(of, returning(rows, "n_bytes long, n_tokens long"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

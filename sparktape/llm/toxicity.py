@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktape.lineage import saved
-from sparktape.llm.words import NOT_ALNUM, carried, pieces, texts_of
+from sparktape.llm.words import NOT_ALNUM, carried, pieces, returning, texts_of
 
 SAMPLE = 20_000
 LEXICON = 20_000
@@ -206,7 +206,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", carry: list[st
                     totals[piece.first + row] = evidence(lower[piece.first + row].as_py(), own)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(totals), pa.array(score(totals))], ["doc", "evidence", "score"])
 
-    return rows.mapInArrow(of, f"doc {rows.schema['doc'].dataType.simpleString()}, evidence double, score double")
+    return rows.mapInArrow(of, returning(rows, "evidence double, score double"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             for key, url, payload, digest, size, first in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
-                    out = store.open_output_stream(f"{base}/{name}")
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
                     out.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw + packer.compress(info.format(uuid.uuid4()).encode()))
                     filled = written = 0
                 whole = record(key, url, payload, digest, size, first, date)
@@ -136,7 +136,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
 def records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Heads and blocks of the records of one file, its dictionary taken from the leading frame."""
     store, name = files(path)
-    with store.open_input_stream(name) as source:
+    with store.open_input_stream(name, compression=None) as source:
         mark, size = struct.unpack("<II", source.read(8))
         if mark != SKIPPABLE:
             raise ValueError(f"{path} does not start with a dictionary")

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PIECE_BYTES = 1 << 20
 
@@ -152,9 +153,14 @@ def _piece(first: int, last: int, data: np.ndarray, offsets: np.ndarray, separat
 
 def carried(docs: DataFrame, text: str, carry: list[str]) -> list[Column]:
     """The carried columns as a struct ``doc``, so that no name clashes, and the text unless it is one of them."""
-    own = F.struct(*[docs[c] for c in carry]).alias("doc")
-    return [own] if text in carry else [own, docs[text].alias("text")]
+    own = F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]).alias("doc")
+    return [own] if text in carry else [own, F.col(f"`{text}`").alias("text")]
 
 
 def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:
     return batch.column("text") if "text" in batch.schema.names else batch.column("doc").field(text)
+
+
+def returning(rows: DataFrame, more: str) -> T.StructType:
+    """Schema of the struct ``doc`` as it came in, and more columns."""
+    return T.StructType([rows.schema["doc"], *T.StructType.fromDDL(more).fields])
