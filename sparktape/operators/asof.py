@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sparktape.functions.positions import block_table, first_hit
 from sparktape.functions.timeops import floor_to
-from sparktape.operators.scans import Run, chunk_with_halo, running, spread
+from sparktape.operators.scans import Run, chunk_with_halo, join_on, running, spread, with_close
 
 
 def asof_forward(
@@ -71,13 +71,13 @@ def time_to_target(
     chunk_ms: int,
     keys: tuple[str, ...] = ("symbol",),
 ) -> DataFrame:
-    """Add ``target, seconds``: time from entry to the first close ``target`` percent in favour, NULL beyond the horizon.
+    """Add ``target, seconds``: time from entry to the first close ``target`` percent in favour, NULL if not in the horizon.
 
-    Looked up once per distinct entry; a task holds one chunk of candles plus the horizon.
+    Every trade keeps one row per target, also where there are no candles. Looked up once per distinct entry; a task holds one chunk of candles plus the horizon.
     """
     keys = list(keys)
     width = max(int(chunk_ms), int(horizon_ms))
-    path = chunk_with_halo(candles.select(*keys, "epoch_ms", "close"), keys, "epoch_ms", width, after_ms=horizon_ms)
+    path = chunk_with_halo(with_close(candles.select(*keys, "epoch_ms", "close")), keys, "epoch_ms", width, after_ms=horizon_ms)
     entries = (
         trades.select(*keys, "entry_ms", "entry_price")
         .distinct()
@@ -98,4 +98,5 @@ def time_to_target(
         .cogroup(entries.groupBy(*keys, "_chunk"))
         .applyInArrow(lambda p, e: _reach(p, e.select(kept), levels, int(horizon_ms), short), schema)
     )
-    return trades.join(found, [*keys, "entry_ms", "entry_price"])
+    each = trades.withColumn("target", F.explode(F.array(*[F.lit(t) for t in levels])))
+    return join_on(each, found, [*keys, "entry_ms", "entry_price", "target"], "left")

@@ -42,8 +42,8 @@ def _chunk_exits(rows: pa.Table, zs: list[float], hold_ms: int, kept: list[str])
     ms, close, price = (rows[c].to_numpy() for c in ("epoch_ms", "close", "entry_price"))
     entries = np.flatnonzero(rows["is_entry"].to_numpy())
     lowest_close = block_table(close, np.minimum)
-    highs = block_table(rows["high"].to_numpy(), np.maximum)
-    lows = block_table(rows["low"].to_numpy(), np.minimum)
+    highs = block_table(rows["high"].to_numpy(), np.fmax)
+    lows = block_table(rows["low"].to_numpy(), np.fmin)
     price = price[entries]
     timeout = np.searchsorted(ms, ms[entries] + hold_ms, side="left")
     payload = rows.select(kept).take(pa.array(entries))
@@ -61,8 +61,8 @@ def _chunk_exits(rows: pa.Table, zs: list[float], hold_ms: int, kept: list[str])
             "z": np.full(len(entries), z),
             "exit_ms": ms[leave],
             "raw_exit": close[leave],
-            "max_price": np.maximum(price, span_fold(highs, seen, leave, np.maximum)),
-            "min_price": np.minimum(price, span_fold(lows, seen, leave, np.minimum)),
+            "max_price": np.fmax(price, span_fold(highs, seen, leave, np.fmax)),
+            "min_price": np.fmin(price, span_fold(lows, seen, leave, np.fmin)),
             "reason": np.array(["", *EXIT_REASONS.values()], dtype=object)[reason],
         }
         part = payload
@@ -77,7 +77,9 @@ def exits(rows: DataFrame, keys: list[str], zs: list[float], hold_ms: int, slip:
     """Add ``entry_price, z, exit_ms, raw_exit, max_price, min_price, reason`` per entry and z.
 
     ``rows`` are chunked candles that come with at least ``hold_ms`` and the first candle after it. Entries are the
-    candles with ``is_entry``, core ones only; the others just serve as the path. Prices must not be negative. A task holds
+    candles with ``is_entry``, core ones only; the others just serve as the path. Every row has a close: candles without
+    one are left out before, so no trade enters or leaves at them; a missing high or low is passed over. Prices must not be
+    negative. A task holds
     one chunk and its halo, so at most ``span / bucket`` candles.
     """
     priced = rows.withColumn("entry_price", entry_price(F.col("close"), slip, direction))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktape.lineage import saved
-from sparktape.operators.scans import Run, running
+from sparktape.operators.scans import Run, join_on, running
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 64) -> DataFrame:
@@ -27,7 +27,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
             F.sum("_cnt").alias("_n"),
         )
     )
-    binned = counted.join(edges, keys)
+    binned = join_on(counted, edges, keys)
     binned = binned.withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col("_v")))).drop("_edges")
     ranked = running(binned, keys, ["_v"], F.col("_bin"), [Run("_upto", "sum", F.col("_cnt"))])
 

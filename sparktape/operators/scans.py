@@ -70,13 +70,25 @@ def running(
             for n, r in zip(names, runs)
         }
     )
-    joined = local.join(carry, [*keys, "_chunk"], "left")
+    joined = join_on(local, carry, [*keys, "_chunk"], "left")
     return joined.select(
         *df.columns,
         *[_join_runs(r.kind, F.col(n), F.col(f"_c{n}")).alias(r.name) for n, r in zip(names, runs)],
     )
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the result has the left side's keys."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def with_close(candles: DataFrame) -> DataFrame:
+    """Candles that have a close; the others are no candles to signals, exits and walks."""
+    return candles.where(F.col("close").isNotNull() & ~F.isnan("close"))
+
+
 def chunk_with_halo(
     df: DataFrame,
     keys: list[str],

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktape.functions.pricing import percent_move
-from sparktape.operators.scans import chunk_with_halo
+from sparktape.operators.scans import chunk_with_halo, with_close
 from sparktape.functions.timeops import floor_to
 
 
@@ -37,7 +37,8 @@ def _lows(rows: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
         F.col("_at.pos").alias("_pos"),
         floor_to(F.col("_at.pos"), window_ms).alias("_block"),
     )
-    point = F.when(F.col("_probe") == 0, F.struct("close", "epoch_ms"))
+    has_close = F.col("close").isNotNull() & ~F.isnan("close")
+    point = F.when((F.col("_probe") == 0) & has_close, F.struct("close", "epoch_ms"))
     block = Window.partitionBy(*keys, "_chunk", "_block")
     prefix = F.min(point).over(block.orderBy("_pos", F.desc("_probe")).rowsBetween(Window.unboundedPreceding, -1))
     suffix = F.min(point).over(block.orderBy(F.desc("_pos"), "_probe").rowsBetween(Window.unboundedPreceding, 0))
@@ -63,12 +64,14 @@ def _core(rows: DataFrame) -> DataFrame:
 def lookback_closes(
     candles: DataFrame, lookbacks_ms: list[int], chunk_ms: int, keys: tuple[str, ...] = ("symbol",)
 ) -> DataFrame:
-    """Add ``past_<i>``: the close of the last candle at least ``lookbacks_ms[i]`` earlier, NULL if none.
+    """Add ``past_<i>``: the close of the last candle at least ``lookbacks_ms[i]`` earlier that has one, NULL if none.
 
-    All lookbacks share one shuffle and one sort.
+    All lookbacks share one shuffle and one sort. Candles without a close get no past ones.
     """
-    rows = chunk_with_halo(candles, list(keys), "epoch_ms", chunk_ms, before_ms=max(lookbacks_ms), last_before=True)
-    return _core(_past_closes(rows, list(keys), lookbacks_ms))
+    rows = chunk_with_halo(with_close(candles), list(keys), "epoch_ms", chunk_ms, before_ms=max(lookbacks_ms), last_before=True)
+    found = _core(_past_closes(rows, list(keys), lookbacks_ms))
+    bare = candles.where(F.col("close").isNull() | F.isnan("close"))
+    return found.unionByName(bare.withColumns({f"past_{i}": F.lit(None).cast("double") for i in range(len(lookbacks_ms))}))
 
 
 def window_lows(
@@ -112,7 +115,7 @@ def signals_fixed(
     candles: DataFrame, xs: list[float], ys: list[int], chunk_ms: int, keys: tuple[str, ...] = ("symbol",)
 ) -> DataFrame:
     """Candles that rose by at least ``x`` percent over ``y`` seconds, per (x, y)."""
-    path = candles.select(*keys, "epoch_ms", "close")
+    path = with_close(candles.select(*keys, "epoch_ms", "close"))
     rows = chunk_with_halo(path, list(keys), "epoch_ms", chunk_ms, before_ms=max(ys) * 1000, last_before=True)
     moves = _core(moves_fixed(rows, list(keys), ys))
     return _reaching(long_moves(moves, ys, [*keys, "epoch_ms", "close"]), xs)
@@ -122,7 +125,7 @@ def signals_dynamic(
     candles: DataFrame, xs: list[float], y_max_s: int, chunk_ms: int, keys: tuple[str, ...] = ("symbol",)
 ) -> DataFrame:
     """Candles at least ``x`` percent above the lowest close of the window, with the lookback found."""
-    path = candles.select(*keys, "epoch_ms", "close")
+    path = with_close(candles.select(*keys, "epoch_ms", "close"))
     rows = chunk_with_halo(path, list(keys), "epoch_ms", chunk_ms, before_ms=y_max_s * 1000)
     moves = _core(moves_dynamic(rows, list(keys), y_max_s)).select(*keys, "epoch_ms", "close", F.col("move_0").alias("move"), "y_actual_seconds")
     return _reaching(moves.where(F.col("move").isNotNull()), xs)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparktape.functions.timeops import DAY_MS, floor_to
 from sparktape.lineage import saved
+from sparktape.operators.scans import join_on
 from sparktape.schema import TapeError
 
 # Bucket widths used to narrow a position down: day, minute, millisecond. Each bucket has a bounded number of parts.
@@ -84,7 +85,7 @@ def train_val_split(df: DataFrame, ratio: float, time: str = "epoch_ms", keys: t
         .when(F.col(time) < F.col("at_ms"), "train")
         .otherwise("validation")
     )
-    return df.join(cut.select(*keys, "n", "pos", "at_ms"), list(keys)).select(*df.columns, part.alias("part"))
+    return join_on(df, cut.select(*keys, "n", "pos", "at_ms"), list(keys)).select(*df.columns, part.alias("part"))
 
 
 def kfold_split(df: DataFrame, k: int, time: str = "epoch_ms", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -114,7 +115,7 @@ def kfold_split(df: DataFrame, k: int, time: str = "epoch_ms", keys: tuple[str,
     t, at = F.col(time), F.col("_cut")
     part = F.when(t < at, "train").when(F.col("_next").isNull() | (t < F.col("_next")), "validation")
     return (
-        df.join(cuts, list(keys))
+        join_on(df, cuts, list(keys))
         .select(*df.columns, "_cuts", F.posexplode("_cuts").alias("_i", "_cut"))
         .withColumn("_next", F.get("_cuts", F.col("_i") + 1))
         .select(*df.columns, (F.col("_i") + 1).cast("long").alias("fold"), part.alias("part"))

@@ -13,7 +13,7 @@ from sparktape.lineage import saved
 from sparktape.operators.exits import exits
 from sparktape.operators.grid import param_grid
 from sparktape.operators.nonoverlap import select_nonoverlapping
-from sparktape.operators.scans import chunk_with_halo, spread
+from sparktape.operators.scans import chunk_with_halo, spread, with_close
 from sparktape.operators.signals import long_moves, moves_dynamic, moves_fixed
 from sparktape.schema import Params
 
@@ -35,7 +35,7 @@ def entry_exits(candles: DataFrame, params: Params, keys: tuple[str, ...] = ("sy
     ys = [params.y_max_s] if params.dynamic_y else list(params.ys)
     # One layout serves the lookback before an entry and the path after it.
     rows = chunk_with_halo(
-        candles.select(*keys, "epoch_ms", "high", "low", "close"),
+        with_close(candles.select(*keys, "epoch_ms", "high", "low", "close")),
         keys,
         "epoch_ms",
         params.chunk_ms,

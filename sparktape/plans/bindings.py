@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktape.functions.timeops import HOUR_MS, to_millis
+from sparktape.lineage import saved
 from sparktape.operators.candles import ohlcv
 from sparktape.operators.trades import trade_log
 from sparktape.schema import Params
@@ -58,5 +59,19 @@ def candles(spark: SparkSession, sf_dir: str, bucket_ms: int = HOUR_MS) -> DataF
     return ohlcv(trades(spark, sf_dir), bucket_ms)
 
 
+def candle_table(spark: SparkSession, sf_dir: str, bucket_ms: int = HOUR_MS) -> DataFrame:
+    """Candles rolled up once, for runs that read them more than once."""
+    return saved(candles(spark, sf_dir, bucket_ms))
+
+
+def gappy_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles where every fifth hour has no close and every seventh no high."""
+    hour = F.floor(F.col("epoch_ms") / HOUR_MS)
+    rows = candle_table(spark, sf_dir)
+    return rows.withColumns(
+        {"close": F.when(F.pmod(hour, F.lit(5)) != 2, F.col("close")), "high": F.when(F.pmod(hour, F.lit(7)) != 3, F.col("high"))}
+    )
+
+
 def tlog(spark: SparkSession, sf_dir: str, params: Params = DEFAULTS, bucket_ms: int = HOUR_MS) -> DataFrame:
-    return trade_log(candles(spark, sf_dir, bucket_ms), params)
+    return trade_log(candle_table(spark, sf_dir, bucket_ms), params)

@@ -25,7 +25,7 @@ from sparktape.operators import (
 )
 from sparktape.plans import runs
 from sparktape.lineage import saved
-from sparktape.plans.bindings import DEFAULTS, candles, order_trades, table, tlog, trades
+from sparktape.plans.bindings import DEFAULTS, candle_table, candles, gappy_candles, order_trades, table, tlog, trades
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,7 @@ DYNAMIC = replace(P, dynamic_y=True)
 LOOSE = replace(P, min_trades=30, min_win_rate=11.0, min_profit_factor=0.25, max_drawdown=10.005)
 COMBO = ["symbol", "combo_id"]
 RANGE = (1_704_672_000_000, 1_705_881_600_000)  # 2024-01-08 to 2024-01-22
+LATE_MS = 15 * timeops.DAY_MS
 SEARCH = replace(P, xs=(50.0,), ys=(7200,), zs=(90.0,))
 
 
@@ -133,24 +134,29 @@ def plain_decimal(spark, sf):
     )
 
 
+def _picked(directions, column):
+    """The column that belongs to each row's direction."""
+    return F.coalesce(*[F.when(F.col("direction") == d, column(d)) for d in directions])
+
+
 def slippage_pnl(spark, sf):
     """Each candle as a trade from open to close, in all three directions."""
-    parts = []
-    for direction in ("long", "short", "signal-only"):
-        entry = pricing.entry_price(F.col("open"), P.slip, direction)
-        leave = pricing.exit_price(F.col("close"), P.slip, direction)
-        fees, pnl, pct = pricing.profit(F.col("entry_price"), F.col("exit_price"), P.size, P.fee, direction)
-        parts.append(
-            candles(spark, sf)
-            .where("open > 0")
-            .select("symbol", "epoch_ms", entry.alias("entry_price"), leave.alias("exit_price"))
-            .select("*", F.lit(direction).alias("direction"), fees.alias("fees"), pnl.alias("pnl"), pct.alias("pct"))
-        )
-    return tape.merge_days(*parts)
+    every = ("long", "short", "signal-only")
+    rows = candles(spark, sf).where("open > 0").withColumn("direction", F.explode(F.array(*map(F.lit, every))))
+    rows = rows.withColumns(
+        {
+            "entry_price": _picked(every, lambda d: pricing.entry_price(F.col("open"), P.slip, d)),
+            "exit_price": _picked(every, lambda d: pricing.exit_price(F.col("close"), P.slip, d)),
+        }
+    )
+    result = lambda i: _picked(every, lambda d: pricing.profit(F.col("entry_price"), F.col("exit_price"), P.size, P.fee, d)[i])
+    return rows.select(
+        "symbol", "epoch_ms", "entry_price", "exit_price", "direction", result(0).alias("fees"), result(1).alias("pnl"), result(2).alias("pct")
+    )
 
 
 def mae_mfe(spark, sf):
-    rows = candles(spark, sf).select(
+    rows = candle_table(spark, sf).select(
         "symbol",
         "epoch_ms",
         F.col("open").alias("entry_price"),
@@ -222,12 +228,28 @@ def asof_forward(spark, sf):
 
 
 def exit_search(spark, sf):
-    rows = trade_ops.entry_exits(candles(spark, sf), SEARCH)
+    rows = trade_ops.entry_exits(candle_table(spark, sf), SEARCH)
+    return rows.select(
+        "symbol", "epoch_ms", "entry_price", "z", "exit_ms", "raw_exit", "max_price", "min_price", "reason"
+    ).transform(rounded)
+
+
+def exit_search_gaps(spark, sf):
+    rows = trade_ops.entry_exits(gappy_candles(spark, sf), SEARCH)
     return rows.select(
         "symbol", "epoch_ms", "entry_price", "z", "exit_ms", "raw_exit", "max_price", "min_price", "reason"
     ).transform(rounded)
 
 
+def sliding_argmin_gaps(spark, sf):
+    closes = gappy_candles(spark, sf).select("symbol", "epoch_ms", "close")
+    return signals.window_lows(closes, 21_600_000, P.chunk_ms).select("symbol", "epoch_ms", "close", "low_close", "low_ms")
+
+
+def trade_log_gaps(params) -> Query:
+    return lambda spark, sf: rounded(trade_ops.trade_log(gappy_candles(spark, sf), params))
+
+
 def nonoverlap_select(spark, sf):
     """Per customer lane, orders held open for as many days as lines were shipped; one open at a time."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
@@ -297,7 +319,7 @@ def log_query(params) -> Query:
 
 def trade_metrics(params) -> Query:
     def run(spark, sf):
-        c = candles(spark, sf)
+        c = candle_table(spark, sf)
         sets = runs.symbol_sets(c, params).select("symbol", "combo_id")
         log = saved(trade_ops.trade_log(c, params))
         return rounded(metrics.trade_metrics(log, COMBO, params.direction, params.capital, params.chunk_ms, sets), 4)
@@ -306,7 +328,7 @@ def trade_metrics(params) -> Query:
 
 
 def summary_rows(spark, sf):
-    c = candles(spark, sf)
+    c = candle_table(spark, sf)
     all_sets = runs.symbol_sets(c, P)
     rows = metrics.trade_metrics(saved(trade_ops.trade_log(c, P)), COMBO, P.direction, P.capital, P.chunk_ms, all_sets.select(*COMBO))
     return screening.summary_rows(rows, grid.param_grid(spark, P))
@@ -343,7 +365,7 @@ def break_even(spark, sf):
 
 
 def _screened(params, spark, sf):
-    c = candles(spark, sf)
+    c = candle_table(spark, sf)
     log = trade_ops.trade_log(c, params)
     return screening.screen(log, COMBO, params.direction, runs.symbol_sets(c, params).select(*COMBO), params.dynamic_y)
 
@@ -371,7 +393,7 @@ def filter_funnel(spark, sf):
 
 
 def screen_ranked(spark, sf):
-    ranked = runs.screen_and_rank(candles(spark, sf), LOOSE)
+    ranked = runs.screen_and_rank(candle_table(spark, sf), LOOSE)
     return rounded(ranked.select("symbol", "rank", "combo_id", "x", "y", "z", "total_trades", "score"), 4)
 
 
@@ -510,7 +532,7 @@ def quality_band(spark, sf):
 
 
 def _held(spark, sf):
-    c = candles(spark, sf)
+    c = candle_table(spark, sf)
     return posthoc.extended_hold(saved(trade_ops.trade_log(c, P)), c, posthoc.HOLD_LENGTHS, P, "short")
 
 
@@ -527,7 +549,7 @@ def extended_hold_summary(spark, sf):
 
 
 def _timed(spark, sf):
-    c = candles(spark, sf)
+    c = candle_table(spark, sf)
     return asof.time_to_target(
         saved(trade_ops.trade_log(c, P)), c, posthoc.TARGETS, posthoc.LOOK_AHEAD_MS, "short", P.chunk_ms
     )
@@ -537,6 +559,14 @@ def time_to_target(spark, sf):
     return _timed(spark, sf).select(*COMBO, "entry_ms", "target", "seconds")
 
 
+def time_to_target_late(spark, sf):
+    """A log shifted by half the data's length, so that many entries lie past the candles."""
+    c = candle_table(spark, sf)
+    log = trade_ops.trade_log(c, P).withColumn("entry_ms", F.col("entry_ms") + LATE_MS)
+    timed = asof.time_to_target(saved(log), c, posthoc.TARGETS, posthoc.LOOK_AHEAD_MS, "short", P.chunk_ms)
+    return timed.select(*COMBO, "entry_ms", "target", "seconds")
+
+
 def time_to_target_stats(spark, sf):
     return rounded(posthoc.time_to_target_stats(saved(_timed(spark, sf)), COMBO), 4)
 
@@ -574,6 +604,10 @@ def queries() -> dict[str, Query]:
         "param_grid": param_grid,
         "grid_size": grid_size,
         "exit_search": exit_search,
+        "exit_search_gaps": exit_search_gaps,
+        "sliding_argmin_gaps": sliding_argmin_gaps,
+        "trade_log_gaps": trade_log_gaps(P),
+        "trade_log_gaps_dynamic_y": trade_log_gaps(DYNAMIC),
         "nonoverlap_select": nonoverlap_select,
         "trade_log": log_query(P),
         "trade_log_short": log_query(SHORT),
@@ -619,5 +653,6 @@ def queries() -> dict[str, Query]:
         "extended_hold_wide": extended_hold_wide,
         "extended_hold_summary": extended_hold_summary,
         "time_to_target": time_to_target,
+        "time_to_target_late": time_to_target_late,
         "time_to_target_stats": time_to_target_stats,
     }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sparktape.plans.bindings import DEFAULTS as P
-from sparktape.plans.catalogue import DYNAMIC, LOOSE, RANGE, SEARCH, SHORT, SIGNAL_ONLY
+from sparktape.plans.catalogue import DYNAMIC, LATE_MS, LOOSE, RANGE, SEARCH, SHORT, SIGNAL_ONLY
 from sparktape.schema import Params
 
 TR = (
@@ -26,6 +26,12 @@ def ohlcv(source: str, width: int, order: str = "(t, a)", key: str = "symbol", e
 
 CD = f"cd as ({ohlcv('tr', 3_600_000)})"
 BASE = [TR, CD]
+# cg: candles with gaps; cv: those of them that have a close.
+GAPS = [
+    "cg as (select * replace (case when (epoch_ms // 3600000) % 5 <> 2 then close end as close, "
+    "case when (epoch_ms // 3600000) % 7 <> 3 then high end as high) from cd)",
+    "cv as (select * from cg where close is not null)",
+]
 
 
 def r(*names: str, places: int = 6) -> str:
@@ -405,14 +411,23 @@ HELD = [
     "on h.symbol = c.symbol and h.at_ms <= c.epoch_ms)",
 ]
 
-TIMED = [
-    *LOG,
-    "tg(target) as (values (0.5::double), (1.0), (2.0), (3.0))",
-    "tt as (select t.symbol, t.combo_id, t.entry_ms, g.target, "
-    "(min(c.epoch_ms) - t.entry_ms) / 1000.0 as seconds from tl t cross join tg g left join cd c on c.symbol = t.symbol "
-    f"and c.epoch_ms >= t.entry_ms and c.epoch_ms <= t.entry_ms + {3 * DAY} "
-    "and c.close <= t.entry_price * (1 - g.target / 100.0) group by t.symbol, t.combo_id, t.entry_ms, g.target)",
-]
+def timed_ctes(log: str) -> list[str]:
+    """tt: seconds from each entry of ``log`` to each target."""
+    return [
+        "tg(target) as (values (0.5::double), (1.0), (2.0), (3.0))",
+        "tt as (select t.symbol, t.combo_id, t.entry_ms, g.target, "
+        f"(min(c.epoch_ms) - t.entry_ms) / 1000.0 as seconds from {log} t cross join tg g left join cd c on c.symbol = t.symbol "
+        f"and c.epoch_ms >= t.entry_ms and c.epoch_ms <= t.entry_ms + {3 * DAY} "
+        "and c.close <= t.entry_price * (1 - g.target / 100.0) group by t.symbol, t.combo_id, t.entry_ms, g.target)",
+    ]
+
+
+TIMED = [*LOG, *timed_ctes("tl")]
+
+
+def late_ctes() -> list[str]:
+    return [*LOG, f"lt as (select * replace (entry_ms + {LATE_MS} as entry_ms) from tl)", *timed_ctes("lt")]
+
 
 SPANS = (
     f"us as (select user_id, (epoch_us(min(ts)) // 1000 // {DAY}) * {DAY} start_ms, epoch_us(max(ts)) // 1000 + 1 end_ms "
@@ -622,6 +637,25 @@ def oracle_sql() -> dict[str, str]:
             "select l_orderkey, l_linenumber, count(distinct l_discount + i) n_x, l_linenumber::bigint n_y, "
             "count(distinct round(l_tax, 2) + i) n_z from lineitem, (values (0), (1)) v(i) group by all)"
         ),
+        "exit_search_gaps": sql(
+            [*BASE, *GAPS, *sets(SEARCH), *moves(SEARCH, "cv"), *exit_ctes(SEARCH, "cv")],
+            "select symbol, epoch_ms, exit_ms, reason, z, round(ep, 6) entry_price, "
+            + r("raw_exit", "max_price", "min_price")
+            + " from ex",
+        ),
+        "sliding_argmin_gaps": sql(
+            [
+                *BASE,
+                *GAPS,
+                "m as (select c.symbol, c.epoch_ms, c.close, min(p.close) lc, arg_min(p.epoch_ms, (p.close, p.epoch_ms)) lm "
+                "from cg c left join cv p on p.symbol = c.symbol and p.epoch_ms >= c.epoch_ms - 21600000 "
+                "and p.epoch_ms < c.epoch_ms group by all)",
+            ],
+            "select symbol, epoch_ms, close, case when lc < close then lc end low_close, "
+            "case when lc < close then lm end low_ms from m",
+        ),
+        "trade_log_gaps": sql([*BASE, *GAPS, *log_ctes(P, "cv")], f"select {LOG_COLUMNS} from tl"),
+        "trade_log_gaps_dynamic_y": sql([*BASE, *GAPS, *log_ctes(DYNAMIC, "cv")], f"select {LOG_COLUMNS} from tl"),
         "exit_search": sql(
             [*BASE, *sets(SEARCH), *moves(SEARCH), *exit_ctes(SEARCH)],
             "select symbol, epoch_ms, exit_ms, reason, z, round(ep, 6) entry_price, "
@@ -869,8 +903,8 @@ def oracle_sql() -> dict[str, str]:
             HELD,
             "select symbol, combo_id, entry_ms, "
             + ", ".join(
-                f'round(max(pnl_at) filter (hold_s = {h}), 4) + 0 as "pnl@{label}"'
-                for h, label in ((7200, "2h"), (14400, "4h"), (28800, "8h"), (86400, "1d"))
+                f'round(max(pnl_at) filter (hold_s = {h}), 4) + 0 as pnl_at_{h}'
+                for h in (7200, 14400, 28800, 86400)
             )
             + " from hl group by all",
         ),
@@ -889,6 +923,7 @@ def oracle_sql() -> dict[str, str]:
             + " from g",
         ),
         "time_to_target": sql(TIMED, "select symbol, combo_id, entry_ms, target, seconds from tt"),
+        "time_to_target_late": sql(late_ctes(), "select symbol, combo_id, entry_ms, target, seconds from tt"),
         "time_to_target_stats": sql(
             [
                 *TIMED,

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# Field names and order of a tape line.
 TRADE_SCHEMA = T.StructType(
     [
         T.StructField("a", T.LongType()),
@@ -20,6 +21,7 @@ TRADE_SCHEMA = T.StructType(
     ]
 )
 
+# Candle columns here and in files.
 CANDLE_COLUMNS = ["open", "high", "low", "close", "volume", "trade_count"]
 CANDLE_FILE_COLUMNS = ["timestamp", "open", "high", "low", "close", "volume", "tradeCount"]
 
@@ -27,6 +29,7 @@ CANDLE_FILE_COLUMNS = ["timestamp", "open", "high", "low", "close", "volume", "t
 DIRECTIONS = ("signal-only", "long", "short")
 EXIT_REASONS = {1: "drop-z", 2: "max-hold", 3: "end-of-data"}
 
+# Old column names of trade logs.
 LEGACY_TRADE_LOG_NAMES = {
     "max_price": "max_price_during_trade",
     "min_price": "min_price_during_trade",
@@ -48,6 +51,7 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 class Params:
     """Settings shared by every parameter set of a run."""
 
+    # The defaults.
     xs: tuple[float, ...] = (0.2, 0.5, 1.0)
     ys: tuple[int, ...] = (10, 30, 60)
     zs: tuple[float, ...] = (0.1, 0.2, 0.5)
