@@ -24,6 +24,7 @@ from sparktape.operators import (
     trades as trade_ops,
 )
 from sparktape.plans import runs
+from sparktape.sources import readers
 from sparktape.lineage import saved
 from sparktape.plans.bindings import DEFAULTS, candle_table, candles, gappy_candles, order_trades, table, tlog, trades
 
@@ -128,6 +129,38 @@ def parse_price(spark, sf):
     )
 
 
+def _late_micros(t, a):
+    """Every third row in microseconds."""
+    return F.when(a % 3 == 0, t * 1000 + 257).otherwise(t)
+
+
+def parse_tape_lines(spark, sf):
+    """The tape as JSON lines, some of them blank, broken or without a time."""
+    a, t = F.col("a"), _late_micros(F.col("t"), F.col("a"))
+    flags = [(a % 2 == 0).alias("m"), F.when(a % 5 != 0, a % 7 == 0).alias("M")]
+    whole = F.to_json(F.struct("a", F.col("p").cast("string").alias("p"), F.col("q").cast("string").alias("q"), a.alias("f"), (a + 1).alias("l"), t.alias("T"), *flags))
+    line = F.when(a % 11 == 0, " ").when(a % 13 == 0, F.concat(F.lit("{"), whole)).when(a % 17 == 0, F.to_json(F.struct("a"))).otherwise(whole)
+    return readers.tape_rows(readers.parse_tape_lines(trades(spark, sf).select("symbol", line.alias("value"))))
+
+
+def parse_bulk_rows(spark, sf):
+    """The tape as rows of a daily file, some of them short, with a heading or without the last field."""
+    a, t = F.col("a"), _late_micros(F.col("t"), F.col("a"))
+    text = lambda c: c.cast("string")
+    rows = trades(spark, sf).select(
+        "symbol",
+        F.when(a % 11 == 0, "agg_trade_id").otherwise(text(a)).alias("a"),
+        text(F.col("p")).alias("p"),
+        F.when(a % 13 != 0, text(F.col("q"))).alias("q"),
+        F.when(a % 13 != 0, text(a)).alias("f"),
+        F.when(a % 13 != 0, text(a + 1)).alias("l"),
+        F.when(a % 13 != 0, text(t)).alias("T"),
+        F.when(a % 13 != 0, F.when(a % 2 == 0, "True").otherwise("false")).alias("maker"),
+        F.when((a % 13 != 0) & (a % 5 != 0), F.when(a % 7 == 0, "true").otherwise("no")).alias("best"),
+    )
+    return readers.parse_bulk_rows(rows)
+
+
 def plain_decimal(spark, sf):
     return candle_ops.candle_text(candles(spark, sf)).select(
         "symbol", "timestamp", "open", "high", "low", "close", "volume", "tradeCount"
@@ -587,6 +620,8 @@ def queries() -> dict[str, Query]:
         "iso_format": iso_format,
         "date_to_ms": date_to_ms,
         "parse_price": parse_price,
+        "parse_tape_lines": parse_tape_lines,
+        "parse_bulk_rows": parse_bulk_rows,
         "plain_decimal": plain_decimal,
         "slippage_pnl": slippage_pnl,
         "mae_mfe": mae_mfe,

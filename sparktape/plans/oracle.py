@@ -532,6 +532,16 @@ def oracle_sql() -> dict[str, str]:
         ),
         "date_to_ms": sql([TR2], "select a, t from tr2"),
         "parse_price": "select event_id a, case when value >= 5 then value end p from events",
+        "parse_tape_lines": sql(
+            [TR],
+            "select symbol, a, t, p, q, a first_id, a + 1 last_id, a % 2 = 0 is_maker, "
+            "case when a % 5 <> 0 then a % 7 = 0 end is_best from tr where a % 11 <> 0 and a % 13 <> 0 and a % 17 <> 0",
+        ),
+        "parse_bulk_rows": sql(
+            [TR],
+            "select symbol, a, t, p, q, a first_id, a + 1 last_id, a % 2 = 0 is_maker, a % 5 = 0 or a % 7 = 0 is_best "
+            "from tr where a % 11 <> 0 and a % 13 <> 0",
+        ),
         "plain_decimal": sql(
             BASE,
             "select symbol, strftime(make_timestamp(epoch_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as timestamp, "

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktape.functions.pricing import parse_number
 from sparktape.functions.timeops import DAY_MS, day_to_millis, normalize_epoch
-from sparktape.schema import CANDLE_FILE_COLUMNS, LEGACY_TRADE_LOG_NAMES, TRADE_SCHEMA, TapeError, require_columns
+from sparktape.schema import CANDLE_FILE_COLUMNS, LEGACY_TRADE_LOG_NAMES, TRADE_SCHEMA, TapeError
 
 
 def _tape_columns(symbol: Column) -> list[Column]:
@@ -23,72 +27,131 @@ def _tape_columns(symbol: Column) -> list[Column]:
     ]
 
 
-def _symbol_of(symbol: str | None) -> Column:
-    """The given name, else the folder above ``raw`` in the file's path."""
+def _symbol_of(symbol: str | None, above: str) -> Column:
+    """The given name, else the partition folder ``symbol=..`` or the folder above ``above`` in the file's path."""
     if symbol:
         return F.lit(symbol.upper())
-    return F.upper(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/raw/", 1))
+    path = F.url_decode(F.col("_metadata.file_path"))
+    found = [F.regexp_extract(path, pattern, 1) for pattern in (r"/symbol=([^/]+)/", rf"([^/]+)/{above}/")]
+    name = F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
+    return F.upper(F.coalesce(name, F.raise_error(F.concat(F.lit("no symbol given and none in the path "), path))))
+
+
+def _or_empty(read, schema: str, spark: SparkSession) -> DataFrame:
+    """What ``read`` gives, no rows where the path does not exist."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def parse_tape_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """JSON lines to columns ``a, p, q, f, l, T, m, best``; blank and malformed lines are dropped.
+    """JSON lines to columns ``a, p, q, f, l, T, maker, best``; blank and malformed lines are dropped.
 
-    Parsed as one struct: two field names differ by case only, which a table of columns could not hold.
+    Parsed as one struct and renamed by position: two field names differ by case only.
     """
-    parsed = F.from_json(F.col(line), TRADE_SCHEMA)
+    names = ["a", "p", "q", "f", "l", "T", "maker", "best"]
+    renamed = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, TRADE_SCHEMA)])
+    parsed = F.from_json(F.col(line), TRADE_SCHEMA).cast(renamed)
     others = [c for c in lines.columns if c != line]
     rows = lines.where(F.trim(F.col(line)) != "").select(*others, parsed.alias("_r"))
-    field = lambda name: F.col("_r").getField(name)
-    names = [f.name for f in TRADE_SCHEMA if f.name.lower() != "m"]
-    return rows.select(*others, *[field(n).alias(n) for n in names if n != "T"], field("T").alias("T")).where(
+    return rows.select(*others, *[F.col(f"_r.{n}").alias(n) for n in names]).where(
         F.col("a").isNotNull() & F.col("T").isNotNull()
     )
 
 
+def tape_rows(parsed: DataFrame) -> DataFrame:
+    """Parsed lines with a ``symbol`` as ``symbol, a, t, p, q, first_id, last_id, is_maker, is_best``."""
+    return parsed.select(*_tape_columns(F.col("symbol")), F.col("maker").alias("is_maker"), F.col("best").alias("is_best"))
+
+
 def read_trades_json(spark: SparkSession, path: str | list[str], symbol: str | None = None) -> DataFrame:
-    """JSONL or gzipped JSONL tape as ``symbol, a, t, p, q, first_id, last_id``.
+    """JSONL or gzipped JSONL tape as ``symbol, a, t, p, q, first_id, last_id, is_maker, is_best``; empty if there is no file.
 
     A gzip file is read by one task; :func:`sparktape.operators.candles.ohlcv` shuffles right after, other uses may
     repartition.
     """
-    lines = spark.read.text(path).select("value", _symbol_of(symbol).alias("symbol"))
-    return parse_tape_lines(lines).select(*_tape_columns(F.col("symbol")))
+    name = _symbol_of(symbol, "raw")
+    lines = _or_empty(lambda: spark.read.text(path).select("value", name.alias("symbol")), "value string, symbol string", spark)
+    return tape_rows(parse_tape_lines(lines))
 
 
-def read_trades_csv(spark: SparkSession, path: str | list[str], symbol: str | None = None) -> DataFrame:
-    """Daily trade CSV with or without header. Rows with under seven fields or a non-numeric id are skipped.
+BULK_COLUMNS = ["a", "p", "q", "f", "l", "T", "maker", "best"]
 
-    Adds ``is_maker, is_best``; a missing eighth field counts as true, any text but ``true``/``True`` as false.
+
+def parse_bulk_rows(rows: DataFrame) -> DataFrame:
+    """Text columns ``symbol`` and BULK_COLUMNS as a tape. Rows with under seven fields or a non-numeric id are skipped.
+
+    A missing eighth field counts as true, any text but ``true``/``True`` as false.
     """
-    names = ["a", "p", "q", "f", "l", "T", "maker", "best"]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
-    rows = rows.select(*names, _symbol_of(symbol).alias("symbol")).where(
-        F.col("a").try_cast("long").isNotNull() & F.col("maker").isNotNull()
-    )
+    rows = rows.where(F.col("a").try_cast("long").isNotNull() & F.col("maker").isNotNull())
     # The texts read as true.
     true = lambda c: F.trim(F.col(c)).isin("true", "True")
-    typed = rows.select(
-        "symbol",
-        "p",
-        "q",
-        *[F.col(c).try_cast("long").alias(c) for c in ("a", "f", "l", "T")],
-        true("maker").alias("is_maker"),
-        F.coalesce(true("best"), F.lit(True)).alias("is_best"),
+    return tape_rows(
+        rows.select(
+            "symbol",
+            "p",
+            "q",
+            *[F.col(c).try_cast("long").alias(c) for c in ("a", "f", "l", "T")],
+            true("maker").alias("maker"),
+            F.coalesce(true("best"), F.lit(True)).alias("best"),
+        )
     )
-    return typed.select(*_tape_columns(F.col("symbol")), "is_maker", "is_best")
+
+
+def read_trades_csv(spark: SparkSession, path: str | list[str], symbol: str | None = None) -> DataFrame:
+    """Daily trade CSV with or without header, as :func:`parse_bulk_rows` reads it."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in BULK_COLUMNS])
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
+    return parse_bulk_rows(rows.select(*BULK_COLUMNS, _symbol_of(symbol, "raw").alias("symbol")))
+
+
+def read_by_header(spark: SparkSession, path: str | list[str], glob: str, required: list[str], renamed: dict[str, str], keep_empty: bool) -> DataFrame:
+    """CSV files below ``path``, every one by its own header, as text columns with ``file_path``.
+
+    Files are grouped by their first line, of which there are few; each group is one scan with its own schema. Old names are
+    ``renamed``; a file that lacks a ``required`` column is an error, and unless ``keep_empty`` one without rows.
+    """
+    reader = lambda: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    at = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    lines = reader().text(path).select("value", F.col("_metadata.file_path").alias("file_path"), at.alias("_at"))
+    heads = lines.groupBy("file_path").agg(F.min_by("value", "_at").alias("head"), F.count_if(F.trim("value") != "").alias("n"))
+    by_head = heads.groupBy("head").agg(F.collect_list("file_path").alias("files"), F.min("n").alias("least")).orderBy("head").collect()
+    parts = []
+    for group in by_head:
+        names = [renamed.get(n, n) for n in next(csv.reader([group.head.lstrip("\ufeff")]))]
+        missing = [c for c in required if c not in names]
+        if missing:
+            raise TapeError(f"missing columns: {missing}; found: {names}; in {group.files[0]}")
+        if group.least < 2 and not keep_empty:
+            raise TapeError(f"no rows in a file with the columns {names}, such as one of {group.files[:3]}")
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        part = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(group.files)
+        parts.append(part.select(*names, F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name")))
+    if not parts:
+        raise TapeError(f"no file {glob} in {path}")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def _symbol_in_path() -> Column:
+    """Symbol from a ``symbol=..`` folder or the folder above ``ohlc`` of the column ``file_path``; NULL if there is none."""
+    path = F.url_decode(F.col("file_path"))
+    found = [F.regexp_extract(path, pattern, 1) for pattern in (r"/symbol=([^/]+)/", r"([^/]+)/ohlc/")]
+    return F.upper(F.coalesce(*[F.nullif(f, F.lit("")) for f in found]))
 
 
 def read_candles(spark: SparkSession, path: str | list[str], symbol: str | None = None) -> DataFrame:
-    """Candle CSV as ``symbol, epoch_ms, open .. volume, trade_count``; times in epoch ms or ISO form."""
-    raw = require_columns(spark.read.option("header", True).csv(path), CANDLE_FILE_COLUMNS)
+    """Candle CSV as ``symbol, epoch_ms, open .. volume, trade_count``; times in epoch ms or ISO form.
+
+    Columns are matched by each file's own header; a file without rows is an error.
+    """
+    raw = read_by_header(spark, path, "*.csv", CANDLE_FILE_COLUMNS, {}, keep_empty=False)
     stamp = F.col("timestamp")
-    name = (
-        F.lit(symbol.upper())
-        if symbol
-        else F.upper(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/ohlc/", 1))
-    )
-    name = F.col("symbol") if "symbol" in raw.columns and not symbol else name
+    unknown = F.raise_error(F.concat(F.lit("no symbol given and none in the path "), F.col("file_path")))
+    named = [F.col("symbol")] if "symbol" in raw.columns else []
+    name = F.lit(symbol.upper()) if symbol else F.coalesce(*named, _symbol_in_path(), unknown)
     return raw.select(
         name.alias("symbol"),
         F.coalesce(
@@ -100,20 +163,20 @@ def read_candles(spark: SparkSession, path: str | list[str], symbol: str | None
 
 
 def read_trade_log(spark: SparkSession, path: str | list[str], required: list[str]) -> DataFrame:
-    """Trade-log CSV files, found below ``path`` by name ``trades_*.csv``, with ``file_name`` and ``hold_seconds``.
+    """Trade-log CSV files below ``path``, named ``trades_*.csv`` or as this package writes them, with ``file_name``.
 
-    Old column names are renamed. Columns are matched by each file's own header.
+    Old column names are renamed, columns are matched by each file's own header, and what a file lacks is NULL. Symbol and
+    set id come from partition folders where the file does not have them. Adds ``hold_seconds`` if there are times.
     """
-    reader = spark.read.option("header", True).option("recursiveFileLookup", True)
-    raw = reader.option("pathGlobFilter", "trades_*.csv").csv(path)
-    named = raw.select("*", F.col("_metadata.file_name").alias("file_name")).withColumnsRenamed(
-        LEGACY_TRADE_LOG_NAMES
-    )
-    require_columns(named, required)
+    raw = read_by_header(spark, path, "{trades_*,part-*}.csv", required, LEGACY_TRADE_LOG_NAMES, keep_empty=True)
+    from_path = {"symbol": _symbol_in_path(), "combo_id": F.nullif(F.regexp_extract("file_path", r"/combo_id=(\d+)/", 1), F.lit(""))}
+    for name, value in from_path.items():
+        own = [F.col(name)] if name in raw.columns else []
+        raw = raw.withColumn(name, F.coalesce(*own, value))
     texts = {"file_name", "symbol", "reason", "entry_time", "exit_time", "direction"}
-    rows = named.select(
-        *[F.col(c) if c in texts else parse_number(F.col(c)).alias(c) for c in named.columns]
-    )
+    whole = {"combo_id", "entry_ms", "exit_ms", "y_seconds"}
+    number = lambda c: F.col(c).try_cast("long") if c in whole else parse_number(F.col(c))
+    rows = raw.select(*[F.col(c) if c in texts else number(c).alias(c) for c in raw.columns if c != "file_path"])
     if {"entry_time", "exit_time"} <= set(rows.columns):
         stamp = lambda c: F.try_to_timestamp(F.col(c))
         rows = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktape.functions.pricing import plain_decimal
 from sparktape.functions.timeops import iso_day, iso_millis
 from sparktape.operators.candles import candle_text
 
@@ -14,25 +15,23 @@ def write_trades(
 ) -> None:
     """Tape by symbol and day, in time order within a file.
 
-    Range partitioning on (symbol, day, time) lets a busy day spread over several files. JSON keeps the tape's own
-    field names and text prices.
+    Range partitioning on (symbol, day, time) lets a busy day spread over several files. JSON lines have the tape's own
+    fields, prices as plain decimals and, where the tape has them, the maker and best-match flags.
     """
-    # Field names and order of a tape line.
-    line = trades
+    rows = trades.withColumn("day", iso_day(F.col("t")))
+    rows = rows.repartitionByRange("symbol", "day", "t", "a").sortWithinPartitions("symbol", "day", "t", "a")
     if fmt == "json":
-        line = trades.select(
-            "symbol",
+        # Field names and order of a tape line.
+        optional = (("first_id", "f"), ("last_id", "l"), ("t", "T"), ("is_maker", "m"), ("is_best", "M"))
+        line = F.struct(
             "a",
-            F.col("p").cast("string").alias("p"),
-            F.col("q").cast("string").alias("q"),
-            *[F.col(c).alias(n) for c, n in (("first_id", "f"), ("last_id", "l")) if c in trades.columns],
-            F.col("t").alias("T"),
+            *[plain_decimal(F.col(c)).alias(c) for c in ("p", "q")],
+            *[F.col(c).alias(n) for c, n in optional if c in trades.columns],
         )
-    time = "T" if fmt == "json" else "t"
-    rows = line.withColumn("day", iso_day(F.col(time)))
-    rows = rows.repartitionByRange("symbol", "day", time, "a").sortWithinPartitions("symbol", "day", time, "a")
+        # As text: two field names differ by case only, which a table of columns could not hold.
+        rows, fmt = rows.select(F.to_json(line).alias("value"), "symbol", "day"), "text"
     writer = rows.write.mode(mode).partitionBy("symbol", "day").format(fmt)
-    if fmt == "json" and gzip:
+    if fmt == "text" and gzip:
         writer = writer.option("compression", "gzip")
     writer.save(path)
 
@@ -58,7 +57,10 @@ def write_summary(summary: DataFrame, path: str, mode: str = "overwrite", fmt: s
 def write_trade_log(
     log: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet", top: DataFrame | None = None
 ) -> None:
-    """Trade log by symbol and parameter set; ``top`` (symbol, combo_id) limits it to the best sets."""
+    """Trade log by symbol, sorted by parameter set; ``top`` (symbol, combo_id) keeps the best sets, each in its own folder.
+
+    CSV can be read back with :func:`sparktape.sources.readers.read_trade_log`.
+    """
     rows = log if top is None else log.join(top.select("symbol", "combo_id"), ["symbol", "combo_id"], "left_semi")
     rows = rows.withColumns(
         {"entry_time": iso_millis(F.col("entry_ms")), "exit_time": iso_millis(F.col("exit_ms"))}
@@ -66,5 +68,5 @@ def write_trade_log(
     rows = rows.repartitionByRange("symbol", "combo_id", "entry_ms").sortWithinPartitions(
         "symbol", "combo_id", "entry_ms"
     )
-    writer = rows.write.mode(mode).partitionBy("symbol", "combo_id")
+    writer = rows.write.mode(mode).partitionBy("symbol", *([] if top is None else ["combo_id"]))
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)

@@ -83,9 +83,9 @@ def test_trade_log_files(spark, tmp_path):
 
 
 def test_tape_round_trip(spark, tmp_path):
+    fields = "symbol string, a long, t long, p double, q double, first_id long, last_id long, is_maker boolean, is_best boolean"
     df = spark.createDataFrame(
-        [("S", i, 1700000000000 + i * 40_000_000, float(i), 1.0, i, i) for i in range(6)],
-        "symbol string, a long, t long, p double, q double, first_id long, last_id long",
+        [(f"S{i % 2}", i, 1700000000000 + i * 40_000_000, 0.00000039 + i, 1.0, i, i, i % 3 == 0, i > 2) for i in range(6)], fields
     )
     for fmt in ("parquet", "json"):
         path = str(tmp_path / fmt)
@@ -93,9 +93,51 @@ def test_tape_round_trip(spark, tmp_path):
         writers.write_trades(df.withColumn("a", F.col("a") + 100), path, "append", fmt)
     back = spark.read.parquet(str(tmp_path / "parquet"))
     assert back.count() == 12 and back.where("day = '2023-11-14'").select("symbol").distinct().count() == 1
-    files = [str(p) for p in (tmp_path / "json").rglob("*.json.gz")]
-    again = readers.read_trades_json(spark, files, "S")
-    assert rows(again.where("a < 100").select("a", "t", "p")) == rows(df.select("a", "t", "p"))
+    again = readers.read_trades_json(spark, str(tmp_path / "json"))
+    assert rows(again.where("a < 100").select(*df.columns)) == rows(df) and again.count() == 12
+    text = "".join(gzip.open(f, "rt").read() for f in (tmp_path / "json").rglob("*.gz"))
+    assert '"p":"0.00000039"' in text and "E-" not in text
+    assert readers.read_trades_json(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_path_must_name_a_symbol(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text(LINE.format(a=1, p="1", t=1700000000000))
+    with pytest.raises(Exception, match="no symbol"):
+        readers.read_trades_json(spark, str(tmp_path / "x.jsonl")).collect()
+
+
+def test_logs_of_three_layouts(spark, tmp_path):
+    (tmp_path / "trades_1.csv").write_text("symbol,pnl,reason,max_price,min_price\nA,1.5,drop-z,5,4\n")
+    (tmp_path / "trades_2.csv").write_text("reason,min_price_during_trade,max_price_during_trade,pnl,symbol\nmax-hold,3,6,2.5,B\n")
+    (tmp_path / "trades_3.csv").write_text('pnl,symbol,fees,"reason"\n3.5,C,0.25,"a, b"\n')
+    got = readers.read_trade_log(spark, str(tmp_path), ["pnl", "symbol"])
+    wanted = ["symbol", "pnl", "reason", "max_price_during_trade", "min_price_during_trade", "fees"]
+    assert rows(got.select(*wanted)) == [
+        ("A", 1.5, "drop-z", 5.0, 4.0, None), ("B", 2.5, "max-hold", 6.0, 3.0, None), ("C", 3.5, "a, b", None, None, 0.25),
+    ]
+    with pytest.raises(TapeError, match="missing columns"):
+        readers.read_trade_log(spark, str(tmp_path), ["fees"])
+
+
+def test_candle_headers_and_empty_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("timestamp,open,high,low,close,volume,tradeCount\n1700000000000,1,2,0.5,1.5,9,3\n")
+    (tmp_path / "b.csv").write_text("tradeCount,close,timestamp,open,high,low,volume\n4,1.25,1700000001000,1,2,0.5,8\n")
+    got = rows(readers.read_candles(spark, str(tmp_path), "s").select("epoch_ms", "close", "volume", "trade_count"))
+    assert got == [(1700000000000, 1.5, 9.0, 3), (1700000001000, 1.25, 8.0, 4)]
+    (tmp_path / "c.csv").write_text("timestamp,open,high,low,close,volume,tradeCount\n")
+    with pytest.raises(TapeError, match="no rows"):
+        readers.read_candles(spark, str(tmp_path), "s")
+
+
+def test_written_log_is_read_back(spark, tmp_path):
+    log = spark.createDataFrame(
+        [(s, c, 1700000000000 + c, 1700000001000, float(c), "drop-z") for s in "AB" for c in (1, 2)],
+        "symbol string, combo_id int, entry_ms long, exit_ms long, pnl double, reason string",
+    )
+    for name, top in (("all", None), ("top", log.where("combo_id = 2").select("symbol", "combo_id"))):
+        writers.write_trade_log(log, str(tmp_path / name), fmt="csv", top=top)
+        back = readers.read_trade_log(spark, str(tmp_path / name), ["pnl"]).select(*log.columns)
+        assert rows(back) == rows(log if top is None else log.where("combo_id = 2"))
 
 
 def test_log_and_summary_writers(spark, tmp_path):
