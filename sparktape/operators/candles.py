@@ -5,11 +5,12 @@ Trades carry ``symbol, a, t, p, q`` (id, epoch ms, price, quantity).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktape.functions.timeops import floor_to
-from sparktape.operators.scans import Run, running
+from sparktape.lineage import saved
+from sparktape.operators.scans import join_on
 
 
 def _rank(order: list[str]) -> Column:
@@ -53,14 +54,41 @@ def ohlcv_runs(
 
     Out-of-order input therefore gives several candles for one bucket; ``run`` tells them apart.
     """
-    chunk = floor_to(F.col(arrival), arrivals_per_chunk)
-    rows = trades.withColumn("epoch_ms", floor_to(F.col("t"), bucket_ms))
-    rows = running(
-        rows, ["symbol"], [arrival], chunk, [Run("_previous", "last", F.col("epoch_ms"), inclusive=False)]
+    # Runs within a chunk of arrivals, then one row per chunk tells which of them go on across its edge.
+    here = Window.partitionBy("symbol", "_chunk").orderBy(arrival)
+    rows = trades.withColumns(
+        {"epoch_ms": floor_to(F.col("t"), bucket_ms), "_chunk": floor_to(F.col(arrival), arrivals_per_chunk)}
+    )
+    changed = F.when(F.lag("epoch_ms").over(here) == F.col("epoch_ms"), 0).otherwise(1).cast("long")
+    rows = rows.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(here))
+    runs = rows.groupBy("symbol", "_chunk", "_run", "epoch_ms").agg(
+        F.min_by("p", arrival).alias("_open"),
+        F.max("p").alias("_high"),
+        F.min("p").alias("_low"),
+        F.max_by("p", arrival).alias("_close"),
+        F.sum("q").alias("_volume"),
+        F.count(F.lit(1)).alias("_count"),
+    )
+    runs = saved(runs)
+    edges = runs.groupBy("symbol", "_chunk").agg(
+        F.min_by("epoch_ms", "_run").alias("_first"), F.max_by("epoch_ms", "_run").alias("_last"), F.max("_run").alias("_runs")
+    )
+    chunks = Window.partitionBy("symbol").orderBy("_chunk")
+    goes_on = F.when(F.lag("_last").over(chunks) == F.col("_first"), 1).otherwise(0)
+    edges = edges.withColumn("_goes_on", goes_on)
+    earlier = F.coalesce(F.sum("_runs").over(chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = edges.select(
+        "symbol", "_chunk", (earlier - F.sum("_goes_on").over(chunks.rowsBetween(Window.unboundedPreceding, 0))).alias("_shift")
+    )
+    runs = join_on(runs, saved(edges), ["symbol", "_chunk"]).withColumn("run", F.col("_run") + F.col("_shift"))
+    return runs.groupBy("symbol", "run", "epoch_ms").agg(
+        F.round(F.min_by("_open", "_chunk"), 8).alias("open"),
+        F.round(F.max("_high"), 8).alias("high"),
+        F.round(F.min("_low"), 8).alias("low"),
+        F.round(F.max_by("_close", "_chunk"), 8).alias("close"),
+        F.round(F.sum("_volume"), 8).alias("volume"),
+        F.sum("_count").alias("trade_count"),
     )
-    starts = F.when(F.col("_previous") == F.col("epoch_ms"), 0).otherwise(1).cast("long")
-    rows = running(rows, ["symbol"], [arrival], chunk, [Run("run", "sum", starts)])
-    return rows.groupBy("symbol", "run", "epoch_ms").agg(*ohlcv_columns([arrival]))
 
 
 def coverage(candles: DataFrame, keys: tuple[str, ...] = ("symbol",), bucket_ms: int = 1000) -> DataFrame:

@@ -18,7 +18,7 @@ EXIT_FIELDS = [
     T.StructField("raw_exit", T.DoubleType()),
     T.StructField("max_price", T.DoubleType()),
     T.StructField("min_price", T.DoubleType()),
-    T.StructField("reason", T.StringType()),
+    T.StructField("reason", T.IntegerType()),
 ]
 
 
@@ -63,18 +63,17 @@ def _chunk_exits(rows: pa.Table, zs: list[float], hold_ms: int, kept: list[str])
             "raw_exit": close[leave],
             "max_price": np.fmax(price, span_fold(highs, seen, leave, np.fmax)),
             "min_price": np.fmin(price, span_fold(lows, seen, leave, np.fmin)),
-            "reason": np.array(["", *EXIT_REASONS.values()], dtype=object)[reason],
+            "reason": reason.astype(np.int32),
         }
         part = payload
         for field in EXIT_FIELDS:
-            kind = pa.string() if field.name == "reason" else None
-            part = part.append_column(field.name, pa.array(found[field.name], type=kind))
+            part = part.append_column(field.name, pa.array(found[field.name]))
         parts.append(part)
     return pa.concat_tables(parts)
 
 
 def exits(rows: DataFrame, keys: list[str], zs: list[float], hold_ms: int, slip: float, direction: str) -> DataFrame:
-    """Add ``entry_price, z, exit_ms, raw_exit, max_price, min_price, reason`` per entry and z.
+    """One row ``keys, epoch_ms, entry_price, z, exit_ms, raw_exit, max_price, min_price, reason`` per entry and z.
 
     ``rows`` are chunked candles that come with at least ``hold_ms`` and the first candle after it. Entries are the
     candles with ``is_entry``, core ones only; the others just serve as the path. Every row has a close: candles without
@@ -83,9 +82,11 @@ def exits(rows: DataFrame, keys: list[str], zs: list[float], hold_ms: int, slip:
     one chunk and its halo, so at most ``span / bucket`` candles.
     """
     priced = rows.withColumn("entry_price", entry_price(F.col("close"), slip, direction))
-    kept = [c for c in priced.columns if c not in ("high", "low", "is_entry", "_chunk", "_core")]
+    kept = [*keys, "epoch_ms", "entry_price"]
     schema = T.StructType([priced.schema[c] for c in kept] + EXIT_FIELDS)
     levels = [float(z) for z in zs]
-    return priced.groupBy(*keys, "_chunk").applyInArrow(
+    found = priced.groupBy(*keys, "_chunk").applyInArrow(
         lambda group: _chunk_exits(group, levels, int(hold_ms), kept), schema
     )
+    names = F.create_map(*[F.lit(v) for pair in EXIT_REASONS.items() for v in pair])
+    return found.withColumn("reason", names[F.col("reason")])

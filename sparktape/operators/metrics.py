@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktape.functions.timeops import floor_to
-from sparktape.operators.scans import Run, running
+from sparktape.lineage import saved
+from sparktape.operators.scans import Run, join_on, running
 
 # Profit factor reported when nothing was lost, per report.
 NO_LOSS_FACTOR = 999.99
@@ -55,12 +56,30 @@ def max_drawdown(df: DataFrame, keys: list[str], value: str, capital: float, chu
 
 
 def equity_curve(df: DataFrame, keys: list[str], capital: float, chunk_ms: int, value: str = "pnl") -> DataFrame:
-    """Add ``equity, peak, drawdown`` per trade in entry order."""
-    chunk = floor_to(F.col("entry_ms"), chunk_ms)
-    rows = running(df, keys, ["entry_ms"], chunk, [Run("equity", "sum", F.col(value))])
-    rows = rows.withColumn("equity", F.lit(float(capital)) + F.col("equity"))
-    rows = running(rows, keys, ["entry_ms"], chunk, [Run("peak", "max", F.col("equity"))])
-    return rows.withColumn("drawdown", F.col("peak") - F.col("equity"))
+    """Add ``equity, peak, drawdown`` per trade in entry order.
+
+    Each chunk yields its sum and its top, which give both what the curve and what the peak carry into the next ones.
+    """
+    here = (
+        Window.partitionBy(*keys, "_chunk").orderBy("entry_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    local = (
+        df.withColumn("_chunk", floor_to(F.col("entry_ms"), chunk_ms))
+        .withColumn("_cum", F.sum(value).over(here))
+        .withColumn("_top", F.max("_cum").over(here))
+    )
+    local = saved(local)
+    carry = (
+        local.groupBy(*keys, "_chunk")
+        .agg(F.sum(value).alias("_sum"), F.max("_cum").alias("_most"))
+        .withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+        .withColumn("_high", F.max(F.col("_start") + F.col("_most")).over(before))
+    )
+    rows = join_on(local, saved(carry.select(*keys, "_chunk", "_start", "_high")), [*keys, "_chunk"], "left")
+    rows = rows.withColumn("equity", F.lit(float(capital)) + (F.col("_start") + F.col("_cum")))
+    rows = rows.withColumn("peak", F.lit(float(capital)) + F.greatest("_high", F.col("_start") + F.col("_top")))
+    return rows.select(*df.columns, "equity", "peak", (F.col("peak") - F.col("equity")).alias("drawdown"))
 
 
 def loss_streak(df: DataFrame, keys: list[str], value: Column, chunk_ms: int) -> DataFrame:

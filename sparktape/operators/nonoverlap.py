@@ -77,6 +77,20 @@ def _walk(rows: pa.Table, carried: pa.Table | None, lane: str, start: str, end:
     return rows.take(pa.array(at)).append_column("_from", pa.array(came, mask=~known))
 
 
+def _at_levels(rows: pa.Table, lane: str, value: str | None, levels: tuple[float, ...]):
+    """The rows that reach each level, in a lane of their own for each level: ``lane * len(levels) + i``."""
+    if value is None:
+        yield rows
+        return
+    number, reached = rows[lane].to_numpy(), rows[value].to_numpy()
+    place = rows.column_names.index(lane)
+    for i, level in enumerate(levels):
+        passing = np.flatnonzero(reached >= level)
+        if len(passing):
+            part = rows.take(pa.array(passing))
+            yield part.set_column(place, lane, pa.array(number[passing] * len(levels) + i))
+
+
 def select_nonoverlapping(
     df: DataFrame,
     keys: list[str],
@@ -86,20 +100,27 @@ def select_nonoverlapping(
     chunk_ms: int,
     lanes_together: int = 64,
     spans: tuple[int, ...] = (32,),
+    value: str | None = None,
+    levels: tuple[float, ...] = (),
+    rows_expected: int = 0,
 ) -> DataFrame:
     """Rows the greedy walk takes, per ``keys`` and ``lane``.
 
     ``lane`` is an integer key, such as a parameter-set id; a task handles up to ``lanes_together`` of them so that
     large grids do not end in tiny groups. ``spans`` are the fan-ins of the spans above the chunks. ``start`` and
-    ``end`` are epoch ms, and every interval ends at or after its start. Every column of ``df`` passes through Python
+    ``end`` are epoch ms, and every interval ends at or after its start.
+
+    With ``levels`` a row takes part in one walk for each level that its ``value`` reaches; a row is shuffled once for all of
+    them, and the lane of what is taken is ``lane * len(levels) + i``. Every column of ``df`` passes through Python
     workers twice, so keep it narrow and join the rest to the result.
     """
     group = [*keys, "_lanes"]
     columns = df.columns
+    df = df.withColumn(lane, F.col(lane).cast("long"))
     rows = df.withColumns(
         {"_lanes": F.floor(F.col(lane) / lanes_together).cast("long"), "_span0": floor_to(F.col(start), int(chunk_ms))}
     )
-    rows = spread(rows, *group, "_span0")
+    rows = spread(rows, *group, "_span0", rows=rows_expected)
     fields = [rows.schema[c] for c in (*keys, "_lanes", "_span0", lane, start, end)]
     step_schema = T.StructType(fields)
     wanted = [f.name for f in fields]
@@ -107,9 +128,15 @@ def select_nonoverlapping(
     widths = [int(chunk_ms)]
     for fan_in in spans:
         widths.append(widths[-1] * int(fan_in))
-    steps = [rows.groupBy(*group, "_span0").applyInArrow(
-        lambda part: _steps(part.select(wanted), lane, start, end), step_schema
-    )]
+    def first_steps(part: pa.Table) -> pa.Table:
+        found = [_steps(own.select(wanted), lane, start, end) for own in _at_levels(part, lane, value, levels)]
+        return pa.concat_tables(found) if found else part.select(wanted).slice(0, 0)
+
+    def last_walk(part: pa.Table, given: pa.Table) -> pa.Table:
+        found = [_walk(own, given, lane, start, end).select(columns) for own in _at_levels(part, lane, value, levels)]
+        return pa.concat_tables(found) if found else part.select(columns).slice(0, 0)
+
+    steps = [rows.groupBy(*group, "_span0").applyInArrow(first_steps, step_schema)]
     for width in widths[1:]:
         lower = steps[-1].withColumn("_up", floor_to(F.col(start), width))
         steps.append(
@@ -137,5 +164,5 @@ def select_nonoverlapping(
     return (
         rows.groupBy(*group, "_span0")
         .cogroup(carried.groupBy(*group, "_span0"))
-        .applyInArrow(lambda part, given: _walk(part, given, lane, start, end).select(columns), df.schema)
+        .applyInArrow(last_walk, df.schema)
     )

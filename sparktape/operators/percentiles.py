@@ -9,7 +9,11 @@ from sparktape.lineage import saved
 from sparktape.operators.scans import Run, join_on, running
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 64) -> DataFrame:
+# Bins per group: enough that a task ranks about so many values even if one group holds them all.
+LEAST_BINS, MOST_BINS, VALUES_PER_BIN = 64, 10_000, 1_000_000
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float], bins: int | None = None) -> DataFrame:
     """Rows ``keys, prob, value``. NULLs are left out.
 
     Values are counted, cut into bins at approximate quantiles and ranked bin by bin, so a task sees a fraction of a
@@ -20,6 +24,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_cnt"))
     )
+    if bins is None:
+        counted = saved(counted)
+        bins = min(MOST_BINS, max(LEAST_BINS, counted.count() // VALUES_PER_BIN))
     # Saved, so that its known size lets Spark broadcast it instead of gathering a hot key for the join.
     edges = saved(
         counted.groupBy(*keys).agg(

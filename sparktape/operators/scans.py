@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktape.functions.timeops import floor_to
+from sparktape.lineage import saved
+
+
+# Rows of one partition of a stage in Python.
+ROWS_PER_PARTITION = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -49,7 +54,18 @@ def running(
     """
     names = [f"_v{i}" for i in range(len(runs))]
     src = df.withColumn("_chunk", chunk).withColumns({n: r.value for n, r in zip(names, runs)})
-    totals = src.groupBy(*keys, "_chunk").agg(
+    here = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    local = src.withColumns(
+        {
+            f"_l{n}": _fold(r.kind, F.col(n)).over(
+                here.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)
+            )
+            for n, r in zip(names, runs)
+        }
+    )
+    # Saved, so that ``df`` is computed and shuffled once: both the chunks' totals and the rows start from here.
+    local = saved(local)
+    totals = local.groupBy(*keys, "_chunk").agg(
         *[
             F.max_by(n, F.when(F.col(n).isNotNull(), F.struct(*order))).alias(n)
             if r.kind == "last"
@@ -58,22 +74,15 @@ def running(
         ]
     )
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys, "_chunk", *[_fold(r.kind, F.col(n)).over(earlier).alias(f"_c{n}") for n, r in zip(names, runs)]
-    )
-    here = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    local = src.withColumns(
-        {
-            n: _fold(r.kind, F.col(n)).over(
-                here.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)
-            )
-            for n, r in zip(names, runs)
-        }
+    carry = saved(
+        totals.select(
+            *keys, "_chunk", *[_fold(r.kind, F.col(n)).over(earlier).alias(f"_c{n}") for n, r in zip(names, runs)]
+        )
     )
     joined = join_on(local, carry, [*keys, "_chunk"], "left")
     return joined.select(
         *df.columns,
-        *[_join_runs(r.kind, F.col(n), F.col(f"_c{n}")).alias(r.name) for n, r in zip(names, runs)],
+        *[_join_runs(r.kind, F.col(f"_l{n}"), F.col(f"_c{n}")).alias(r.name) for n, r in zip(names, runs)],
     )
 
 
@@ -154,9 +163,10 @@ def chunk_with_halo(
     return rows.unionByName(outer.select("_row.*", "_chunk", F.lit(False).alias("_core")))
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Hash partitions in the session's full number.
+def spread(df: DataFrame, *columns: str, rows: int = 0) -> DataFrame:
+    """Hash partitions in the session's full number, more where ``rows`` are expected to need them.
 
     For stages that run in Python: they cost far more per byte than Spark assumes when it merges small partitions.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // ROWS_PER_PARTITION)), *columns)

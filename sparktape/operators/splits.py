@@ -40,9 +40,9 @@ def times_at(df: DataFrame, keys: list[str], time: str, positions: Callable[[Col
         bucket = f"_b{level}"
         if level:
             spot = found.where(F.col(f"_b{level - 1}").isNotNull()).select(*keys, f"_b{level - 1}").distinct()
+            finer = df.select(*keys, floor_to(t, WIDTHS[level - 1]).alias(f"_b{level - 1}"), floor_to(t, width).alias(bucket))
             counts = (
-                df.select(*keys, floor_to(t, WIDTHS[level - 1]).alias(f"_b{level - 1}"), floor_to(t, width).alias(bucket))
-                .join(spot, [*keys, f"_b{level - 1}"])
+                join_on(finer, spot, [*keys, f"_b{level - 1}"])
                 .groupBy(*keys, f"_b{level - 1}", bucket)
                 .agg(F.count(F.lit(1)).alias("_cnt"))
             )

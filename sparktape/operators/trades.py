@@ -11,65 +11,96 @@ from pyspark.sql import functions as F
 from sparktape.functions.pricing import excursions, exit_price, profit
 from sparktape.lineage import saved
 from sparktape.operators.exits import exits
-from sparktape.operators.grid import param_grid
 from sparktape.operators.nonoverlap import select_nonoverlapping
-from sparktape.operators.scans import chunk_with_halo, spread, with_close
+from sparktape.operators.scans import chunk_with_halo, join_on, spread, with_close
 from sparktape.operators.signals import long_moves, moves_dynamic, moves_fixed
 from sparktape.schema import Params
 
-# Largest grid sent to every executor; a larger one is joined by shuffle.
-BROADCAST_SETS = 200_000
+# Lanes (y, z) that a task of the walk handles together, for all x.
+LANES_TOGETHER = 16
 
 
-def grid_size_of(params: Params) -> int:
-    return len(params.xs) * (1 if params.dynamic_y else len(params.ys)) * len(params.zs)
-
-
-def sized_broadcast(sets: DataFrame, count: int) -> DataFrame:
-    return F.broadcast(sets) if count <= BROADCAST_SETS else sets
-
-
-def entry_exits(candles: DataFrame, params: Params, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Every possible entry with its lookbacks and, per z, its exit; shared by all x."""
+def entry_moves(candles: DataFrame, params: Params, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Every possible entry, with its move over each lookback: ``keys, epoch_ms, move_<i>`` (``y_actual_seconds``)."""
     keys = list(keys)
-    ys = [params.y_max_s] if params.dynamic_y else list(params.ys)
-    # One layout serves the lookback before an entry and the path after it.
+    ys = [params.y_max_s] if params.dynamic_y else sorted(params.ys)
     rows = chunk_with_halo(
-        with_close(candles.select(*keys, "epoch_ms", "high", "low", "close")),
+        with_close(candles.select(*keys, "epoch_ms", "close")),
         keys,
         "epoch_ms",
         params.chunk_ms,
         before_ms=max(ys) * 1000,
-        after_ms=params.hold_ms,
         last_before=not params.dynamic_y,
-        first_after=True,
     )
-    rows = spread(rows, *keys, "_chunk")
     moved = moves_dynamic(rows, keys, params.y_max_s) if params.dynamic_y else moves_fixed(rows, keys, ys)
     reached = [F.coalesce(F.col(f"move_{i}") >= min(params.xs), F.lit(False)) for i in range(len(ys))]
-    flagged = moved.withColumn("is_entry", F.col("_core") & reduce(or_, reached))
+    return moved.where(F.col("_core") & reduce(or_, reached)).drop("close", "_chunk", "_core")
+
+
+def entry_exits(
+    candles: DataFrame, params: Params, keys: tuple[str, ...] = ("symbol",), moves: DataFrame | None = None
+) -> DataFrame:
+    """Every possible entry and, per z, its exit; shared by all x and y. ``moves`` are saved :func:`entry_moves`."""
+    keys = list(keys)
+    moves = saved(entry_moves(candles, params, tuple(keys))) if moves is None else moves
+    path = with_close(candles.select(*keys, "epoch_ms", "high", "low", "close"))
+    entries = moves.select(*keys, "epoch_ms", F.lit(True).alias("is_entry"))
+    path = join_on(path, entries, [*keys, "epoch_ms"], "left").withColumn("is_entry", F.coalesce("is_entry", F.lit(False)))
+    rows = chunk_with_halo(path, keys, "epoch_ms", params.chunk_ms, after_ms=params.hold_ms, first_after=True)
+    rows = spread(rows, *keys, "_chunk", rows=3 * candles.count())
+    flagged = rows.withColumn("is_entry", F.col("_core") & F.col("is_entry"))
     return exits(flagged, keys, list(params.zs), params.hold_ms, params.slip, params.direction)
 
 
-def taken_trades(found: DataFrame, sets: DataFrame, params: Params, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Entries and exits each parameter set really takes, of those it has a signal for.
+def taken_trades(
+    moves: DataFrame, found: DataFrame, sets: DataFrame | None, params: Params, keys: tuple[str, ...] = ("symbol",)
+) -> DataFrame:
+    """Entries and exits each parameter set really takes, of those it has a signal for: ``keys, combo_id, x, y, z, ...``.
 
-    Only ids and times enter the walk; prices are joined to the few trades that remain.
+    The walk gets one row per entry, lookback and z, with its move, and steps over all x itself; only ids and times go
+    through it, and prices are joined to the few trades that remain.
     """
-    ys = [params.y_max_s] if params.dynamic_y else list(params.ys)
-    scope = [c for c in keys if c in sets.columns]
-    rows = long_moves(found, ys, [*keys, "epoch_ms", "z", "exit_ms"]).where(F.col("move") >= min(params.xs))
-    fired = rows.join(sets, [*scope, "y", "z"]).where(F.col("move") >= F.col("x"))
+    keys = list(keys)
+    xs, zs = sorted(params.xs), sorted(params.zs)
+    ys = [params.y_max_s] if params.dynamic_y else sorted(params.ys)
+    rows = long_moves(moves, ys, [*keys, "epoch_ms"]).where(F.col("move") >= min(xs))
+    if sets is not None:
+        scope = [c for c in keys if c in sets.columns]
+        rows = rows.join(sets.select(*scope, "y").distinct(), [*scope, "y"], "left_semi")
+    fired = join_on(rows, found.select(*keys, "epoch_ms", "z", "exit_ms"), [*keys, "epoch_ms"])
+    if sets is not None:
+        fired = fired.join(sets.select(*scope, "y", "z").distinct(), [*scope, "y", "z"], "left_semi")
+    spot = lambda values, kind, c: F.array_position(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col(c)) - 1
+    lane = spot(ys, "bigint", "y") * len(zs) + spot(zs, "double", "z")
     taken = select_nonoverlapping(
-        fired.select(*keys, "combo_id", "epoch_ms", "exit_ms"),
-        list(keys),
-        "combo_id",
+        fired.select(*keys, lane.alias("lane"), "epoch_ms", "exit_ms", "move"),
+        keys,
+        "lane",
         "epoch_ms",
         "exit_ms",
         params.chunk_ms,
+        lanes_together=LANES_TOGETHER,
         spans=params.spans,
+        value="move",
+        levels=tuple(float(x) for x in xs),
+        rows_expected=moves.count() * len(ys) * len(zs),
+    )
+    level, pair = F.pmod("lane", F.lit(len(xs))), F.floor(F.col("lane") / len(xs))
+    value = lambda values, kind, at: F.get(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), at.cast("int"))
+    taken = taken.select(
+        *keys,
+        (level * (len(ys) * len(zs)) + pair + 1).cast("int").alias("combo_id"),
+        value(xs, "double", level).alias("x"),
+        value(ys, "bigint", F.floor(pair / len(zs))).alias("y"),
+        value(zs, "double", F.pmod(pair, F.lit(len(zs)))).alias("z"),
+        "epoch_ms",
     )
-    return taken.drop("exit_ms").join(sets, [*scope, "combo_id"]).join(found, [*keys, "epoch_ms", "z"])
+    if sets is not None:
+        taken = taken.drop("combo_id").join(sets, [*scope, "x", "y", "z"])
+    taken = join_on(taken, found, [*keys, "epoch_ms", "z"])
+    if params.dynamic_y:
+        taken = join_on(taken, moves.select(*keys, "epoch_ms", "y_actual_seconds"), [*keys, "epoch_ms"])
+    return taken
 
 
 def trade_log(
@@ -78,12 +109,12 @@ def trade_log(
     """One row per trade and parameter set.
 
     ``keys`` may hold a split part besides the symbol; nothing then crosses a part. ``sets`` limits the run to some
-    parameter sets (``combo_id, x, y, z`` and optionally keys). The exits of all possible entries are saved once: both
-    the walk and the join of prices start from them.
+    parameter sets of the grid (``combo_id, x, y, z`` and optionally keys). Moves and exits of all possible entries are
+    saved once: both the walk and the join of prices start from them. Pass saved candles: they are read twice.
     """
-    if sets is None:
-        sets = sized_broadcast(param_grid(candles.sparkSession, params), grid_size_of(params))
-    taken = taken_trades(saved(entry_exits(candles, params, keys)), sets, params, keys)
+    moves = saved(entry_moves(candles, params, keys))
+    found = saved(entry_exits(candles, params, keys, moves))
+    taken = taken_trades(moves, found, sets, params, keys)
     leave = exit_price(F.col("raw_exit"), params.slip, params.direction)
     fees, pnl, pct = profit(F.col("entry_price"), F.col("exit_price"), params.size, params.fee, params.direction)
     mae, mfe = excursions(F.col("entry_price"), F.col("max_price"), F.col("min_price"), params.direction)

@@ -23,9 +23,7 @@ DEFAULTS = Params(
     capital=1000.0,
     y_max_s=21600,
     top_n=3,
-    # At most hold / bucket + 1 steps per chunk, so the walk over all chunks of a decade stays in the thousands of rows.
     chunk_ms=5 * 86_400_000,
-    spans=(),
 )
 
 

@@ -300,7 +300,7 @@ def nonoverlap_select(spark, sf):
     # One interval per lane and start, the longest, so that the walk has no ties to break.
     spans = spans.groupBy("symbol", "lane", "open_ms").agg(F.max("close_ms").alias("close_ms"))
     return nonoverlap.select_nonoverlapping(
-        spans, ["symbol"], "lane", "open_ms", "close_ms", 365 * timeops.DAY_MS, lanes_together=4096, spans=()
+        spans, ["symbol"], "lane", "open_ms", "close_ms", 90 * timeops.DAY_MS, lanes_together=4096
     )
 
 
