@@ -11,7 +11,8 @@ is a hash of the id. Running totals go over size classes within a source, then o
 documents within a bucket. A source, or a group of copies, that holds a third of all rows is spread over all buckets.
 
 Null texts have size zero; a null source is a source of its own, last in order. Sources without words have target zero
-and are left out of the mix. Repeated rows are taken one by one. Other columns are kept, under any name.
+and are left out of the mix. Null ids go by their text; rows that repeat an id share a bucket and are taken one by one. Other
+columns are kept, under any name.
 """
 
 from __future__ import annotations
@@ -81,7 +82,8 @@ def copies(
         F.struct(*[F.col(f"`{c}`").alias(c) for c in carry or docs.columns]).alias("doc"),
         F.col(source).cast("string").alias("source"),
         words(F.col(text)).alias("size"),
-        F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("key"),
+        # Rows without an id are told apart by their text, so that they spread over the buckets too.
+        F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null"), F.coalesce(F.md5(text), F.lit("")))).alias("key"),
         F.xxhash64(text).alias("tie"),
     )
     rows = saved(rows)
@@ -125,7 +127,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = """
 with docs as (
   select doc_id, source, coalesce(cast(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as bigint), 0) as size,
-    coalesce('=' || source, 'null') as named, coalesce(cast(doc_id as varchar), 'null') as k
+    coalesce('=' || source, 'null') as named, coalesce(cast(doc_id as varchar), 'null' || coalesce(md5(text), '')) as k
   from documents
 ), placed as (
   select *, size - size % (1::bigint << greatest(length(bin(size)) - 10, 0)) as class,
