@@ -24,8 +24,9 @@ from sparktape.operators import (
     trades as trade_ops,
 )
 from sparktape.plans import runs
-from sparktape.sources import readers
-from sparktape.lineage import saved
+from sparktape.sources import readers, writers
+from sparktape.streaming import candle_stream
+from sparktape.lineage import fresh_path, saved
 from sparktape.plans.bindings import DEFAULTS, candle_table, candles, gappy_candles, order_trades, table, tlog, trades
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +162,60 @@ def parse_bulk_rows(spark, sf):
     return readers.parse_bulk_rows(rows)
 
 
+def _cents(spark, sf):
+    """The tape at two places, which a tape file keeps, with its flags."""
+    a = F.col("a")
+    return trades(spark, sf).select(
+        "symbol", "a", "t", F.round("p", 2).alias("p"), "q", a.alias("first_id"), (a + 1).alias("last_id"),
+        (a % 2 == 0).alias("is_maker"), (a % 7 == 0).alias("is_best"),
+    )
+
+
+def tape_file(spark, sf):
+    """The tape written as gzipped JSON lines and read back."""
+    path = fresh_path(spark, "tape")
+    writers.write_trades(_cents(spark, sf), path, fmt="json")
+    return readers.read_trades_json(spark, path)
+
+
+def bulk_file(spark, sf):
+    """The tape as headerless daily files, read back."""
+    path = fresh_path(spark, "bulk")
+    rows = _cents(spark, sf).select("a", "p", "q", "first_id", "last_id", "t", "is_maker", "is_best", "symbol")
+    rows.write.partitionBy("symbol").csv(path)
+    return readers.read_trades_csv(spark, path)
+
+
+def candle_file(spark, sf):
+    """Candles written as CSV and read back."""
+    path = fresh_path(spark, "candles")
+    writers.write_candles_csv(candles(spark, sf), path)
+    return readers.read_candles(spark, path)
+
+
+def trade_log_file(spark, sf):
+    """The trade log written as CSV by symbol and read back."""
+    path = fresh_path(spark, "log")
+    log = tlog(spark, sf)
+    writers.write_trade_log(log, path, fmt="csv")
+    back = readers.read_trade_log(spark, path, ["pnl", "reason"])
+    return rounded(back.select(*[F.col(c).cast(t) for c, t in log.dtypes if c != "y_actual_seconds"], "hold_seconds"))
+
+
+def streamed_candles(spark, sf):
+    """The tape, partly repeated, through the candle stream until it is dry; a last trade far ahead closes all candles."""
+    path, tape_schema = fresh_path(spark, "stream"), "symbol string, a long, t long, p double, q double"
+    t = trades(spark, sf).select("symbol", "a", "t", "p", "q")
+    tape.merge_days(t, tape.time_range(t, *RANGE)).write.parquet(f"{path}/in")
+    last = t.agg(F.lit("end").alias("symbol"), F.lit(-1).cast("long").alias("a"), (F.max("t") + 365 * timeops.DAY_MS).alias("t"))
+    last.where("t is not null").select("*", F.lit(1.0).alias("p"), F.lit(1.0).alias("q")).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(tape_schema).parquet(f"{path}/in")
+    built = candle_stream.candle_stream(stream, "1 hour", "60 days")
+    candle_stream.write_candle_stream(built, f"{path}/out", f"{path}/state", backfill=True).awaitTermination()
+    schema = candle_ops.ohlcv(t, timeops.HOUR_MS).schema
+    return spark.read.schema(schema.add("day", "string")).parquet(f"{path}/out").select(*schema.names[:8])
+
+
 def plain_decimal(spark, sf):
     return candle_ops.candle_text(candles(spark, sf)).select(
         "symbol", "timestamp", "open", "high", "low", "close", "volume", "tradeCount"
@@ -622,6 +677,11 @@ def queries() -> dict[str, Query]:
         "parse_price": parse_price,
         "parse_tape_lines": parse_tape_lines,
         "parse_bulk_rows": parse_bulk_rows,
+        "tape_file": tape_file,
+        "bulk_file": bulk_file,
+        "candle_file": candle_file,
+        "trade_log_file": trade_log_file,
+        "streamed_candles": streamed_candles,
         "plain_decimal": plain_decimal,
         "slippage_pnl": slippage_pnl,
         "mae_mfe": mae_mfe,

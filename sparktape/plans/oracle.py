@@ -34,6 +34,13 @@ GAPS = [
 ]
 
 
+# The tape as its files keep it.
+CENTS = (
+    "select upper(symbol) symbol, a, t, round(p, 2) p, q, a first_id, a + 1 last_id, a % 2 = 0 is_maker, a % 7 = 0 is_best "
+    "from tr"
+)
+
+
 def r(*names: str, places: int = 6) -> str:
     return ", ".join(f'round("{n}", {places}) + 0 as "{n}"' for n in names)
 
@@ -542,6 +549,15 @@ def oracle_sql() -> dict[str, str]:
             "select symbol, a, t, p, q, a first_id, a + 1 last_id, a % 2 = 0 is_maker, a % 5 = 0 or a % 7 = 0 is_best "
             "from tr where a % 11 <> 0 and a % 13 <> 0",
         ),
+        "tape_file": sql([TR], CENTS),
+        "bulk_file": sql([TR], CENTS),
+        "candle_file": sql(BASE, "select * replace (upper(symbol) as symbol) from cd"),
+        "trade_log_file": sql(
+            LOG,
+            f"select * exclude (y_actual_seconds) replace (upper(symbol) as symbol) from (select {LOG_COLUMNS}, "
+            "(exit_ms - entry_ms) / 1000.0 as hold_seconds from tl)",
+        ),
+        "streamed_candles": sql([TR], ohlcv("tr", 3_600_000)),
         "plain_decimal": sql(
             BASE,
             "select symbol, strftime(make_timestamp(epoch_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as timestamp, "
