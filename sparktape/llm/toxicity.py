@@ -34,11 +34,13 @@ from sparktape.llm.words import NOT_ALNUM, carried, pieces, returning, texts_of
 
 SAMPLE = 20_000
 LEXICON = 20_000
+#: Least hashes of words that texts of one family share.
+FAMILY = 3
 STEM, LONGEST_STEM = 4, 8
-#: Least log-likelihood ratio of a learnt entry against the share of toxic texts.
-EVIDENCE = 10.0
+#: Least log-likelihood ratio of a learnt entry against the share of toxic texts, above the logarithm of the candidates.
+EVIDENCE = 0.0
 MOST_WEIGHT = 7.0
-LEAST_WEIGHT = 3.0
+LEAST_WEIGHT = 3.5
 BIAS = 4.5
 CUT = 0.5
 
@@ -153,6 +155,11 @@ def score(total: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.asarray(total, float) - BIAS, -40, 40)))
 
 
+def _heads(words, n: int):
+    """First ``n`` characters of the words that have as many; a second argument of the lambdas would be the index."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.substring(w, 1, n))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Lexicon:
     """The fixed lexicon and what labelled texts add to it."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
@@ -160,21 +167,25 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9\u0080-\x{10ffff}]+)"), F.lit(1)))
     bags = rows.select("key", "label", words.alias("words")).dropDuplicates(["key"])
-    bags = saved(bags)
+    # Copies of a text count once: their words would look toxic, or clean, together. Near copies share their least hashes.
+    family = F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, FAMILY)
+    bags = saved(bags.withColumn("family", family).dropDuplicates(["label", "family"]))
     sizes = {r.label: r.n for r in bags.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, total = sizes.get(1, 0), sum(sizes.values())
     words, stems = dict.fromkeys(INSULTS, FIXED_WEIGHT), {}
     if toxic and toxic < total:
         long = F.filter("words", lambda w: F.length(w) >= STEM)
-        heads = [F.transform(F.filter(long, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.substring(w, 1, n)) for n in range(STEM, LONGEST_STEM + 1)]
+        heads = [_heads(long, n) for n in range(STEM, LONGEST_STEM + 1)]
         parts = F.array_union(F.transform(F.array_distinct(F.concat(*heads)), lambda w: F.concat(F.lit("<"), w)), F.transform(long, lambda w: F.concat(F.lit("="), w)))
         counts = bags.select("label", F.explode(parts).alias("part")).groupBy("part").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
         share = toxic / total
         bad, n = F.col("bad").cast("double"), F.col("n").cast("double")
         rest = F.when(n > bad, (n - bad) * F.log((n - bad) / (n * (1 - share)))).otherwise(0.0)
         weight = F.log((bad + 1) / (toxic + 2.0)) - F.log((n - bad + 1) / (total - toxic + 2.0))
-        found = counts.where((bad > 0) & (bad > n * share)).withColumns({"sure": bad * F.log(bad / (n * share)) + rest, "weight": weight})
-        found = found.where((F.col("sure") >= EVIDENCE) & (F.col("weight") >= LEAST_WEIGHT))
+        counts = saved(counts.where(bad > 0))
+        least = EVIDENCE + math.log(max(1, counts.count()))  # the more candidates, the more of them look toxic by chance
+        found = counts.where(bad > n * share).withColumns({"sure": bad * F.log(bad / (n * share)) + rest, "weight": weight})
+        found = found.where((F.col("sure") >= least) & (F.col("weight") >= LEAST_WEIGHT))
         for row in found.orderBy(F.desc("sure"), "part").limit(LEXICON).collect():
             entry, own = row.part[1:], min(MOST_WEIGHT, row.weight)
             if _CLASS.get(entry) is None:

@@ -358,3 +358,21 @@ def test_licence_places_and_spans(spark, docs):
     cut = licences.words_of("x y Permission is hereby granted, free of charge, to anyone obtaining a copy of this software " + licences.TEMPLATES[1][1][110:])
     assert [(label, first) for label, _, first, _ in licences.spans(scan, cut)] == [("mit", 2)]
     assert licences.spans(scan, licences.words_of("free of charge and without limitation the rights")) == []
+
+
+def test_lexicon_is_learnt_from_stems_not_from_copies(spark):
+    rng = random.Random(5)
+    common = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    rows = []
+    for i in range(400):
+        own = rng.choices(common, k=40)
+        if i % 8 == 0:
+            own[3:5] = [f"xyzzy{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}", "plugh"]
+        rows.append((i, " ".join(own), int(i % 8 == 0)))
+    copied = " ".join(["rareword", *rng.choices(common, k=40)])
+    rows += [(1000 + i, copied + f" {common[i]}", 1) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    own = toxicity.learn(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert {"xyzz", "xyzzy"} <= set(own.stems) and "plugh" in own.words
+    assert "rareword" not in own.words and not set(common) & set(own.words)
+    assert all(4 <= len(s) <= 8 for s in own.stems)
