@@ -376,3 +376,14 @@ def test_lexicon_is_learnt_from_stems_not_from_copies(spark):
     assert {"xyzz", "xyzzy"} <= set(own.stems) and "plugh" in own.words
     assert "rareword" not in own.words and not set(common) & set(own.words)
     assert all(4 <= len(s) <= 8 for s in own.stems)
+
+
+def test_foreign_passages_are_no_junk(spark):
+    rng = random.Random(8)
+    parts = {"aa": "ba be bi bo ban".split(), "bb": "tsch rtz ung eich kr".split()}
+    text = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(lang, 120), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    rows += [(900, text("aa", 80) + " " + text("bb", 60), "aa"), (901, text("bb", 120), "aa"), (902, " ".join("".join(rng.choices("QXZJ#|", k=5)) for _ in range(120)), "aa")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in perplexity.passing(frame).collect()}
+    assert kept == set(range(120)) | {900, 901}
