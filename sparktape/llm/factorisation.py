@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktape.lineage import saved
-from sparktape.llm.words import Piece, carried, pieces, returning, texts_of
+from sparktape.llm.words import Piece, carried, pieces, returning, sampled, texts_of
 
 BUCKETS = 1 << 13
 RANK = 8
@@ -153,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", t
     """Fit on the labelled rows with the smallest hashes."""
     metadata = metadata or []
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
-    chosen = saved(chosen.orderBy(F.xxhash64("key"), "key").limit(SAMPLE))
+    chosen = sampled(saved(chosen), "key", SAMPLE)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _numbers(metadata)).join(F.broadcast(chosen), "key")
     dense_type = "array<double>"
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktape.lineage import saved
-from sparktape.llm.words import NOT_ALNUM, carried, pieces, returning, texts_of
+from sparktape.llm.words import NOT_ALNUM, carried, pieces, returning, sampled, texts_of
 
 SAMPLE = 20_000
 LEXICON = 20_000
@@ -163,7 +163,7 @@ def _heads(words, n: int):
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Lexicon:
     """The fixed lexicon and what labelled texts add to it."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
-    chosen = saved(chosen.orderBy(F.xxhash64("key"), "key").limit(SAMPLE))
+    chosen = sampled(saved(chosen), "key", SAMPLE)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9\u0080-\x{10ffff}]+)"), F.lit(1)))
     bags = rows.select("key", "label", words.alias("words")).dropDuplicates(["key"])

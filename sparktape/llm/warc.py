@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktape.lineage import fresh_path, saved
+from sparktape.llm.words import sampled
 
 REVISIT_BYTES = 100
 FILE_BYTES = 256 << 20
@@ -92,13 +93,15 @@ def marked(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Archive all pages below ``folder``; a saved table (path, records, bytes) of the files, empty ones left out."""
     spark = pages.sparkSession
-    rows = marked(pages, key, url, html)
-    head = pages.orderBy(F.xxhash64(key), key).limit(SAMPLE).select(key, url, F.substring(F.col(html).cast("binary"), 1, SAMPLE_BYTES).alias("html"))
+    ids = sampled(pages.select(F.col(key).alias("key")).where(F.col(key).isNotNull()).distinct(), "key", SAMPLE)
+    rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.substring(F.col(html).cast("binary"), 1, SAMPLE_BYTES).alias("html"))
+    head = rows.join(F.broadcast(ids), "key", "left_semi").dropDuplicates(["key"]).orderBy("key")
     samples = []
     for row in head.collect():
         part = bytes(row[2] or b"")
         samples.append(record(row[0], row[1], part, hashlib.sha256(part).hexdigest(), len(part), None, date))
     sent = spark.sparkContext.broadcast(dictionary(samples))
+    rows = marked(pages, key, url, html)
     info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{{}}>\r\nWARC-Date: {date}\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
 
     def archive(batches):

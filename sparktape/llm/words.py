@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparktape.lineage import saved
+
 PIECE_BYTES = 1 << 20
 
 SPACES = np.zeros(256, bool)
@@ -164,3 +166,14 @@ def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:
 def returning(rows: DataFrame, more: str) -> T.StructType:
     """Schema of the struct ``doc`` as it came in, and more columns."""
     return T.StructType([rows.schema["doc"], *T.StructType.fromDDL(more).fields])
+
+
+def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The at most ``most`` rows with the smallest hash of their key, saved.
+
+    Rows whose hash is far above are left out before the sort, so that what tasks hand on stays near ``most`` rows in all.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    share = 4 * most / max(1, rows.count())
+    few = rows.where(place < int(share * (1 << 30))) if share < 1 else rows
+    return saved(few.orderBy(place, key).limit(most))
