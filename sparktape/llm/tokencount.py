@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktape.lineage import saved
 from sparktape.llm.words import carried, pieces, returning, texts_of
 
 TABLE = 1 << 16
@@ -121,7 +122,11 @@ def frequent(docs: DataFrame, text: str) -> list[str]:
         keep = np.argsort(-sums)[:LOCAL]
         yield pa.RecordBatch.from_arrays([pa.array([" " + s.decode() for s in samples[keep]], pa.string()), pa.array(sums[keep])], ["token", "n"])
 
-    found = docs.select(text).mapInArrow(words, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = saved(docs.select(text).mapInArrow(words, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    total = found.count()
+    if total > TABLE:  # else every partition would hand TABLE rows to the driver
+        least = found.agg(F.percentile_approx("n", 1 - TABLE / total, 10_000)).first()[0]
+        found = found.where(F.col("n") >= least)
     return [r.token for r in found.orderBy(F.desc("n"), "token").limit(TABLE).collect()]
 
 
