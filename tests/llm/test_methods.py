@@ -387,3 +387,11 @@ def test_foreign_passages_are_no_junk(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in perplexity.passing(frame).collect()}
     assert kept == set(range(120)) | {900, 901}
+
+
+def test_junk_of_markup_is_rejected(spark, docs):
+    quality = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
+    got = [r for r in rows_of(spark, "op7_quality_rules").values() if not r.base_failed and quality.get(r.doc_id) is not None]
+    junk, clean = ([r.kept for r in got if quality[r.doc_id] == k] for k in (0, 1))
+    assert len(junk) > 20 and sum(junk) < 0.1 * len(junk)
+    assert len(clean) > 200 and sum(clean) > 0.99 * len(clean)
