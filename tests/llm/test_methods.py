@@ -395,3 +395,15 @@ def test_junk_of_markup_is_rejected(spark, docs):
     junk, clean = ([r.kept for r in got if quality[r.doc_id] == k] for k in (0, 1))
     assert len(junk) > 20 and sum(junk) < 0.1 * len(junk)
     assert len(clean) > 200 and sum(clean) > 0.99 * len(clean)
+
+
+def test_model_holds_every_counted_four_gram(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "MOST_ENTRIES", 10, raising=False)  # a limit that dropped the rarest four-grams
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcd", k=rng.randint(1, 5))) for _ in range(60)) for _ in range(8)]
+    model = perplexity.train(spark.createDataFrame([(t, "xx") for t in texts], "text string, lang string"))
+    padded = ["   " + word + " " for word in " ".join(texts).split()]
+    assert len(model.keys[4]) == len({w[i : i + 4] for w in padded for i in range(len(w) - 3)})
+    following = np.arange(64)  # after any context, known or not, the probabilities of all symbols add up to one
+    for context in (0, 1, 1 << 6 | 2, 3 << 12 | 3 << 6 | 3, 60 << 12 | 60 << 6 | 60):
+        assert np.exp(model.log_prob(np.ones(64, np.int64), context << 6 | following)).sum() == pytest.approx(1, rel=1e-4)
