@@ -407,3 +407,14 @@ def test_model_holds_every_counted_four_gram(spark, monkeypatch):
     following = np.arange(64)  # after any context, known or not, the probabilities of all symbols add up to one
     for context in (0, 1, 1 << 6 | 2, 3 << 12 | 3 << 6 | 3, 60 << 12 | 60 << 6 | 60):
         assert np.exp(model.log_prob(np.ones(64, np.int64), context << 6 | following)).sum() == pytest.approx(1, rel=1e-4)
+
+
+@pytest.mark.parametrize("none", [None, ""])
+def test_null_languages_are_judged_by_their_own_model(spark, none):
+    rng = random.Random(8)
+    parts = {"aa": "ba be bi bo ban".split(), "bb": "tsch rtz ung eich kr".split(), none: "mel lom nul sim or".split()}
+    text = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(lang, 120), lang) for i, lang in enumerate(["aa", "bb", none] * 40)]
+    rows += [(900 + i, " ".join("".join(rng.choices("QXZJVWKP", k=5)) for _ in range(120)), none) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in perplexity.passing(frame).collect()} == set(range(120))
