@@ -418,3 +418,16 @@ def test_null_languages_are_judged_by_their_own_model(spark, none):
     rows += [(900 + i, " ".join("".join(rng.choices("QXZJVWKP", k=5)) for _ in range(120)), none) for i in range(3)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.doc_id for r in perplexity.passing(frame).collect()} == set(range(120))
+
+
+def test_rare_languages_have_models_of_their_own(spark):
+    rng = random.Random(8)
+    text = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(n))
+    rare = [(text("xyz", 60), "rare") for _ in range(8)]
+    alone = perplexity.train(spark.createDataFrame([*rare, ("too little", "tiny")], "text string, lang string"))
+    rows = [*rare, *[(text("abcdef", 1000), "much") for _ in range(60)]]
+    among = perplexity.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert alone.languages == ["", "rare"] and among.languages == ["", "much", "rare"]
+    grams = np.arange(1 << 24, step=97)
+    want = alone.log_prob(np.full(len(grams), 1), grams)
+    assert among.log_prob(np.full(len(grams), 2), grams) == pytest.approx(want, rel=1e-5)
