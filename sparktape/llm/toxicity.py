@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Small transducers read a clause's words by class and pass a weight on: the insult transducer gives an insult its weight,
-the threat transducer a verb of harm after a word of intent; the target transducer raises either next to a person, the
-negation transducer lowers what follows a negation closely, the reported-speech transducer lowers what somebody else is
-said to have said. They are composed once into one machine over their joint states, which is run over each clause that has an
-insult or a verb of harm, and over no isolated word: a clause counts once, with the heaviest path through it. A text's
-score is a logistic function of the sum over its clauses.
+Small transducers read a clause's words by class and pass a weight on: the insult transducer gives an insult its weight where
+it is said to a person or of one, or is the clause's only content, and a part of it (``BARE``) elsewhere; the threat transducer
+gives a verb of harm its weight after a word of intent; the target transducer raises it next to a person, the negation
+transducer lowers what follows a negation closely, the reported-speech transducer lowers what somebody else is said to have
+said. They are composed once into one machine over their joint states, which is run over each clause. A clause whose heaviest
+path alone is enough evidence counts once, with that path. What is weaker, bare words above all, is summed over words and
+counts in full only where it makes up ``DENSE`` of the text's words: few weak words in a long text are no evidence. A text's
+score is a logistic function of the sum.
 
 The insult lexicon has a fixed part and one learnt in any language: of at most ``SAMPLE`` labelled texts, those with the
 smallest hash of their id, words and stems (first ``STEM`` characters or more) whose texts are toxic far more often than
@@ -48,16 +50,27 @@ INSULTS = "idiot idiots stupid moron morons loser losers pathetic scum worthless
 HARM = "kill hurt destroy murder strangle stab beat shoot burn töten umbringen tuer frapper matar golpear".split()
 INTENT = "will gonna shall should must werde werden vais va voy vamos".split()
 TARGETS = (
-    "you your yourself he she they them him her we du dich dir ihr sie er tu toi te vous il elle ils te tú usted ellos ella"
+    "you yourself he she they them him her we du dich dir ihr sie er tu toi te vous il elle ils te tú usted ellos ella"
 ).split()
 NEGATIONS = "not never isn wasn aren don doesn nicht kein keine nie pas jamais nunca jamás".split()
 REPORTS = "said says wrote claimed called quoted reportedly sagte sagt schrieb dit écrit dijo dice escribió".split()
+COPULAS = "is are was were am be re s m ist bist seid sind war waren bin est es êtes sont était étais étaient suis son eres era eran soy fue".split()
+#: Articles and what may stand with them before an insult.
+ARTICLES = (
+    "a an the what such so very really totally just total complete utter real absolute your der die das ein eine einen so was für echt"
+    " le la les un une des quel quelle vraiment si el los las una unos unas qué tan muy"
+).split()
 FIXED_WEIGHT = 6.0
+#: Of an insult's weight, what a word that is aimed at nobody gets; under BIAS for any weight.
+BARE = 0.6
+#: Share of a text's words from which weak evidence counts in full.
+DENSE = 0.01
 
 # Classes of words, as the transducers read them.
-OTHER, INSULT, THREAT_VERB, INTENT_WORD, TARGET, NEGATION, REPORT = range(7)
+OTHER, INSULT, THREAT_VERB, INTENT_WORD, TARGET, NEGATION, REPORT, ARTICLE, COPULA, CLOSING = range(10)  # CLOSING: an insult that ends its clause
+KINDS = 10
 _CLASS = {}
-for _kind, _list in ((INTENT_WORD, INTENT), (TARGET, TARGETS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (THREAT_VERB, HARM)):
+for _kind, _list in ((ARTICLE, ARTICLES), (COPULA, COPULAS), (INTENT_WORD, INTENT), (TARGET, TARGETS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (THREAT_VERB, HARM)):
     _CLASS.update(dict.fromkeys(_list, _kind))
 
 _CLAUSE = regex.compile(r"[.!?;:\n]+")
@@ -80,7 +93,7 @@ def near(opening: int, effects: dict[int, tuple[float, float]], reach: int, stic
     arcs = {}
     for state in range(reach + 1):
         after = state if sticky else max(0, state - 1)
-        for kind in range(7):
+        for kind in range(KINDS):
             factor, added = effects.get(kind, (1.0, 0.0)) if state else (1.0, 0.0)
             arcs[state, kind] = (reach if kind == opening else after, factor, added)
     return Transducer(reach + 1, arcs)
@@ -88,9 +101,31 @@ def near(opening: int, effects: dict[int, tuple[float, float]], reach: int, stic
 
 #: A verb of harm weighs only within four words after a word of intent.
 THREATS = near(INTENT_WORD, {THREAT_VERB: (1.0, 5.5)}, 4)
-AIMED = near(TARGET, {INSULT: (1.15, 0.0), THREAT_VERB: (1.15, 0.0)}, 4)
-DENIED = near(NEGATION, {INSULT: (0.4, 0.0), THREAT_VERB: (0.4, 0.0)}, 3)
-REPORTED = near(REPORT, {INSULT: (0.6, 0.0), THREAT_VERB: (0.6, 0.0)}, 1, sticky=True)
+AIMED = near(TARGET, {THREAT_VERB: (1.15, 0.0)}, 4)
+DENIED = near(NEGATION, dict.fromkeys((INSULT, CLOSING, THREAT_VERB), (0.2, 0.0)), 3)
+REPORTED = near(REPORT, dict.fromkeys((INSULT, CLOSING, THREAT_VERB), (0.3, 0.0)), 1, sticky=True)
+
+
+def insulting() -> Transducer:
+    """Accepts insults to a person ("you idiot", "she is so dumb"), of a named one ("anna is an idiot"), and whole clauses ("what an idiot")."""
+    nothing, opening, person, said_of, copula, named, described = range(7)
+    arcs = {}
+    for state in range(7):
+        for kind, factor in ((INSULT, BARE), (CLOSING, BARE)):
+            if state in (person, said_of):
+                factor = 1.15
+            elif state == named or state == described and kind == CLOSING or state == opening and kind == CLOSING:
+                factor = 1.0
+            arcs[state, kind] = (state, factor, 0.0)
+        arcs[state, TARGET] = (person, 1.0, 0.0)
+        arcs[state, COPULA] = (said_of if state in (person, said_of) else copula, 1.0, 0.0)
+        arcs[state, ARTICLE] = ({copula: named, described: nothing}.get(state, state), 1.0, 0.0)
+        arcs[state, NEGATION] = (said_of if state == person else state, 1.0, 0.0)
+    arcs[named, OTHER] = (described, 1.0, 0.0)
+    return Transducer(7, arcs)
+
+
+INSULTING = insulting()
 
 
 def compose(parts: list[Transducer]) -> dict[tuple[int, ...], list[tuple[tuple[int, ...], float, float]]]:
@@ -98,15 +133,15 @@ def compose(parts: list[Transducer]) -> dict[tuple[int, ...], list[tuple[tuple[i
     table = {}
     for joint in product(*(range(p.states) for p in parts)):
         row = []
-        for kind in range(7):
+        for kind in range(KINDS):
             steps = [p.arc(state, kind) for p, state in zip(parts, joint)]
             row.append((tuple(s[0] for s in steps), math.prod(s[1] for s in steps), sum(s[2] for s in steps)))
         table[joint] = row
     return table
 
 
-GRAMMAR = compose([THREATS, AIMED, DENIED, REPORTED])
-START = (0, 0, 0, 0)
+GRAMMAR = compose([INSULTING, THREATS, AIMED, DENIED, REPORTED])
+START = (1, 0, 0, 0, 0)  # a clause opens
 
 
 @dataclass
@@ -133,22 +168,33 @@ class Lexicon:
         return found
 
 
-def clause_weight(words: list[str], lexicon: Lexicon) -> float:
-    """The heaviest weight that the composed grammar gives to a word of the clause."""
-    state, most = START, 0.0
-    for word in words:
+def clause_weights(words: list[str], lexicon: Lexicon) -> list[float]:
+    """The weights above zero that the composed grammar gives to words of the clause."""
+    state, weights = START, []
+    for place, word in enumerate(words, 1):
         kind = _CLASS.get(word, OTHER)
         own = lexicon.weight(word) if kind == OTHER else 0.0
         if own:
-            kind = INSULT
+            kind = CLOSING if place == len(words) else INSULT
         state, factor, added = GRAMMAR[state][kind]
-        most = max(most, factor * (own + added))
-    return most
+        if own + added:
+            weights.append(factor * (own + added))
+    return weights
 
 
 def evidence(text: str, lexicon: Lexicon) -> float:
-    """Sum of the weights of a lower-cased text's clauses."""
-    return sum(clause_weight(_WORD.findall(clause), lexicon) for clause in _CLAUSE.split(text))
+    """Of a lower-cased text: the sum of its sure clauses' heaviest weights, and of its weak words as far as they are dense."""
+    sure, weak, hits, total = 0.0, 0.0, 0, 0
+    for clause in _CLAUSE.split(text):
+        words = _WORD.findall(clause)
+        total += len(words)
+        weights = clause_weights(words, lexicon)
+        if weights and max(weights) >= BIAS:
+            sure += max(weights)
+        else:
+            weak += sum(weights)
+            hits += len(weights)
+    return sure + (weak * min(1.0, hits / (DENSE * total)) if hits else 0.0)
 
 
 def score(total: np.ndarray) -> np.ndarray:

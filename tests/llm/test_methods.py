@@ -431,3 +431,18 @@ def test_rare_languages_have_models_of_their_own(spark):
     grams = np.arange(1 << 24, step=97)
     want = alone.log_prob(np.full(len(grams), 1), grams)
     assert among.log_prob(np.full(len(grams), 2), grams) == pytest.approx(want, rel=1e-5)
+
+
+def test_bare_words_decide_nothing():
+    own = toxicity.Lexicon(dict.fromkeys(toxicity.INSULTS, toxicity.FIXED_WEIGHT), {})
+    judge = lambda text: float(toxicity.score(toxicity.evidence(text, own)))
+    clean = ["take out the trash", "we took out the trash.", "the trash is full", "a stupid mistake in the code", "the smell was disgusting", "dumb luck saved them"]
+    assert all(judge(text) < 0.5 for text in clean)
+    insults = ["you idiot!", "you are so stupid", "anna is a pathetic loser", "what a stupid idiot.", "they are scum and thieves"]
+    assert all(judge(text) > 0.5 for text in insults)
+    prose = "the rain fell on the hills and the river rose by the mill. " * 60
+    for part in ("he is not an idiot. ", "anna said he was a moron. ", "they emptied the trash twice. "):
+        assert judge(prose + part + prose + part + prose + part + prose) < 0.5
+    assert judge("he is not an idiot. she is not a loser.") < 0.5 and judge("anna said he was an idiot. tom said she was a loser") < 0.5
+    assert judge(prose + "you are an idiot. " + prose) > 0.5
+    assert toxicity.MOST_WEIGHT * toxicity.BARE < toxicity.BIAS
