@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sparktape.llm import decontaminate, factorisation, licences, mixing, perplexity, simhash, stringkernel, tokencount, toxicity, warc
+from sparktape.llm import (
+    angular, bitplanes, decontaminate, factorisation, licences, mixing, pagecrf, perplexity, simhash, stringkernel, tokencount, toxicity, warc,
+)
 
 
 def queries() -> dict:
@@ -17,8 +19,17 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8,
         "op9_language_id": stringkernel.op9,
         "op10_license_scan": licences.op10,
+        "op11_centroid_clustering": bitplanes.op11,
+        "op12_hard_negatives": angular.op12,
+        "op13_html_extraction": pagecrf.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": decontaminate.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op4_warc": warc.OP4_SQL}
+    return {
+        "op1_benchmark_decontamination": decontaminate.OP1_SQL,
+        "op2_mix_sources": mixing.OP2_SQL,
+        "op4_warc": warc.OP4_SQL,
+        "op11_centroid_clustering": bitplanes.OP11_SQL,
+        "op12_hard_negatives": angular.OP12_SQL,
+    }

@@ -57,4 +57,7 @@ def write(spark, folder, rows=None, extra=True):
     long = "<p>" + "payload " * 40
     pages = [(i, f"http://x/{i}", long + str(i % 3)) for i in range(12)] + [(20, None, None), (21, "u\r\nv", ""), (22, "u", "short"), (23, "u", "short"), (None, "u", long + "0"), (0, "again", long + "0"), (30, "u", "é" * 300_000)]
     spark.createDataFrame(pages if rows else [], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    near = lambda i: [((i * 37 + j * j) % 101 - 50) / 400 + (i % 3) * 0.2 * ((j % 3) - 1) for j in range(64)]
+    vectors = [(i, near(i), i % 4) for i in range(120)] + [(0, near(0), 0), (None, near(1), 1), (200, near(100), None), (201, None, 1), (202, [], 1), (203, [None] * 64, 1), (204, [float("nan")] * 64, 1)]
+    spark.createDataFrame(vectors if rows else [], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
