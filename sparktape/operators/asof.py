@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from sparktape.functions.positions import block_table, first_hit
 from sparktape.functions.timeops import floor_to
+from sparktape.lineage import saved
+from sparktape.operators.horizon import fan_of, first_hits, tree
 from sparktape.operators.scans import Run, chunk_with_halo, join_on, running, spread, with_close
 
 
@@ -62,6 +64,55 @@ def _reach(path: pa.Table, entries: pa.Table, targets: list[float], horizon_ms:
     return pa.concat_tables(out)
 
 
+def _reach_schema(trades: DataFrame, keys: list[str]) -> T.StructType:
+    return T.StructType(
+        [
+            *[trades.schema[c] for c in (*keys, "entry_ms", "entry_price")],
+            T.StructField("target", T.DoubleType()),
+            T.StructField("seconds", T.DoubleType()),
+        ]
+    )
+
+
+def _reached(path: DataFrame, entries: DataFrame, keys: list[str], levels: list[float], horizon_ms: int, short: bool, schema: T.StructType) -> DataFrame:
+    kept = [*keys, "entry_ms", "entry_price"]
+    return (
+        spread(path, *keys, "_chunk")
+        .groupBy(*keys, "_chunk")
+        .cogroup(entries.groupBy(*keys, "_chunk"))
+        .applyInArrow(lambda p, e: _reach(p, e.select(kept), levels, int(horizon_ms), short), schema)
+    )
+
+
+def _distant_targets(
+    trades: DataFrame, candles: DataFrame, targets: list[float], horizon_ms: int, direction: str, chunk_ms: int, keys: list[str]
+) -> DataFrame:
+    """:func:`time_to_target` for horizons longer than a chunk: own chunk first, then the nodes after it."""
+    levels, short = [float(t) for t in targets], direction == "short"
+    entry, each = [*keys, "entry_ms", "entry_price"], F.explode(F.array(*[F.lit(t) for t in levels]))
+    chunk = lambda t: floor_to(F.col(t), chunk_ms).alias("_chunk")
+    path = saved(with_close(candles.select(*keys, "epoch_ms", "close")).select(*keys, "epoch_ms", "close", chunk("epoch_ms")))
+    entries = trades.select(*entry, chunk("entry_ms")).distinct()
+    near = _reached(path, entries, keys, levels, horizon_ms, short, _reach_schema(trades, keys))
+    rows = saved(join_on(entries.withColumn("target", each), near, [*entry, "target"], "left"))
+
+    kind = "min" if short else "max"
+    nodes = tree(path.groupBy(*keys, "_chunk").agg((F.min if short else F.max)("close").alias("close")), keys, chunk_ms, fan_of(horizon_ms, chunk_ms), {"close": kind})
+    past_chunk = F.col("entry_ms") + horizon_ms >= F.col("_chunk") + chunk_ms
+
+    def passes(close, q):
+        goal = q["entry_price"] * (1 - q["target"] / 100.0 if short else 1 + q["target"] / 100.0)
+        return close <= goal if short else close >= goal
+
+    open_ = rows.where(F.col("seconds").isNull() & past_chunk)
+    hits = first_hits(open_, ["entry_price", "target"], path, nodes, keys, "close", short, passes, chunk_ms, horizon_ms)
+    rows = join_on(rows, hits, [*keys, "_chunk", "entry_price", "target"], "left")
+    late = F.col("hit_ms") - F.col("entry_ms")
+    seconds = F.coalesce("seconds", F.when(past_chunk & (late <= horizon_ms), late / F.lit(1000.0)))
+    rows = rows.select(*entry, "target", seconds.alias("seconds"))
+    return join_on(trades.withColumn("target", each), rows, [*entry, "target"], "left")
+
+
 def time_to_target(
     trades: DataFrame,
     candles: DataFrame,
@@ -73,9 +124,13 @@ def time_to_target(
 ) -> DataFrame:
     """Add ``target, seconds``: time from entry to the first close ``target`` percent in favour, NULL if not in the horizon.
 
-    Every trade keeps one row per target, also where there are no candles. Looked up once per distinct entry; a task holds one chunk of candles plus the horizon.
+    Every trade keeps one row per target, also where there are no candles. Looked up once per distinct entry; a task holds one
+    chunk of candles plus the horizon, or, where the horizon is longer than a chunk, one chunk: what it leaves open goes on
+    over a tree of chunks.
     """
     keys = list(keys)
+    if horizon_ms > chunk_ms:
+        return _distant_targets(trades, candles, targets, int(horizon_ms), direction, int(chunk_ms), keys)
     width = max(int(chunk_ms), int(horizon_ms))
     path = chunk_with_halo(with_close(candles.select(*keys, "epoch_ms", "close")), keys, "epoch_ms", width, after_ms=horizon_ms)
     entries = (
@@ -83,20 +138,8 @@ def time_to_target(
         .distinct()
         .withColumn("_chunk", floor_to(F.col("entry_ms"), width))
     )
-    schema = T.StructType(
-        [
-            *[trades.schema[c] for c in (*keys, "entry_ms", "entry_price")],
-            T.StructField("target", T.DoubleType()),
-            T.StructField("seconds", T.DoubleType()),
-        ]
-    )
+    schema = _reach_schema(trades, keys)
     levels, short = [float(t) for t in targets], direction == "short"
-    kept = [*keys, "entry_ms", "entry_price"]
-    found = (
-        spread(path, *keys, "_chunk")
-        .groupBy(*keys, "_chunk")
-        .cogroup(entries.groupBy(*keys, "_chunk"))
-        .applyInArrow(lambda p, e: _reach(p, e.select(kept), levels, int(horizon_ms), short), schema)
-    )
+    found = _reached(path, entries, keys, levels, horizon_ms, short, schema)
     each = trades.withColumn("target", F.explode(F.array(*[F.lit(t) for t in levels])))
     return join_on(each, found, [*keys, "entry_ms", "entry_price", "target"], "left")

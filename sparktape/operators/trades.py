@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparktape.functions.pricing import excursions, exit_price, profit
 from sparktape.lineage import saved
-from sparktape.operators.exits import exits
+from sparktape.operators.exits import exits, long_exits
 from sparktape.operators.nonoverlap import select_nonoverlapping
 from sparktape.operators.scans import chunk_with_halo, join_on, spread, with_close
 from sparktape.operators.signals import long_moves, moves_dynamic, moves_fixed
@@ -24,28 +24,26 @@ def entry_moves(candles: DataFrame, params: Params, keys: tuple[str, ...] = ("sy
     """Every possible entry, with its move over each lookback: ``keys, epoch_ms, move_<i>`` (``y_actual_seconds``)."""
     keys = list(keys)
     ys = [params.y_max_s] if params.dynamic_y else sorted(params.ys)
-    rows = chunk_with_halo(
-        with_close(candles.select(*keys, "epoch_ms", "close")),
-        keys,
-        "epoch_ms",
-        params.chunk_ms,
-        before_ms=max(ys) * 1000,
-        last_before=not params.dynamic_y,
-    )
-    moved = moves_dynamic(rows, keys, params.y_max_s) if params.dynamic_y else moves_fixed(rows, keys, ys)
+    path = with_close(candles.select(*keys, "epoch_ms", "close"))
+    moved = moves_dynamic(path, keys, params.y_max_s, params.chunk_ms) if params.dynamic_y else moves_fixed(path, keys, ys, params.chunk_ms)
     reached = [F.coalesce(F.col(f"move_{i}") >= min(params.xs), F.lit(False)) for i in range(len(ys))]
-    return moved.where(F.col("_core") & reduce(or_, reached)).drop("close", "_chunk", "_core")
+    return moved.where(reduce(or_, reached)).drop("close")
 
 
 def entry_exits(
     candles: DataFrame, params: Params, keys: tuple[str, ...] = ("symbol",), moves: DataFrame | None = None
 ) -> DataFrame:
-    """Every possible entry and, per z, its exit; shared by all x and y. ``moves`` are saved :func:`entry_moves`."""
+    """Every possible entry and, per z, its exit; shared by all x and y. ``moves`` are saved :func:`entry_moves`.
+
+    Holds up to a chunk come with the chunk; longer ones are followed over a tree of chunks.
+    """
     keys = list(keys)
     moves = saved(entry_moves(candles, params, tuple(keys))) if moves is None else moves
     path = with_close(candles.select(*keys, "epoch_ms", "high", "low", "close"))
     entries = moves.select(*keys, "epoch_ms", F.lit(True).alias("is_entry"))
     path = join_on(path, entries, [*keys, "epoch_ms"], "left").withColumn("is_entry", F.coalesce("is_entry", F.lit(False)))
+    if params.hold_ms > params.chunk_ms:
+        return long_exits(path, keys, list(params.zs), params.hold_ms, params.slip, params.direction, params.chunk_ms)
     rows = chunk_with_halo(path, keys, "epoch_ms", params.chunk_ms, after_ms=params.hold_ms, first_after=True)
     rows = spread(rows, *keys, "_chunk", rows=3 * candles.count())
     flagged = rows.withColumn("is_entry", F.col("_core") & F.col("is_entry"))

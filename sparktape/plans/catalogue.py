@@ -41,6 +41,9 @@ COMBO = ["symbol", "combo_id"]
 RANGE = (1_704_672_000_000, 1_705_881_600_000)  # 2024-01-08 to 2024-01-22
 LATE_MS = 15 * timeops.DAY_MS
 SEARCH = replace(P, xs=(50.0,), ys=(7200,), zs=(90.0,))
+# Holds, windows and horizons of many chunks.
+FAR = replace(P, xs=(200.0,), zs=(90.0, 99.9), hold_s=432_000, chunk_ms=12 * timeops.HOUR_MS)
+FAR_DYNAMIC = replace(FAR, xs=(2000.0,), zs=(99.9,), dynamic_y=True, y_max_s=172_800)
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -329,6 +332,14 @@ def exit_search_gaps(spark, sf):
     ).transform(rounded)
 
 
+def exit_search_long_hold(spark, sf):
+    """Holds of ten chunks."""
+    rows = trade_ops.entry_exits(candle_table(spark, sf), FAR)
+    return rows.select(
+        "symbol", "epoch_ms", "entry_price", "z", "exit_ms", "raw_exit", "max_price", "min_price", "reason"
+    ).transform(rounded)
+
+
 def sliding_argmin_gaps(spark, sf):
     closes = gappy_candles(spark, sf).select("symbol", "epoch_ms", "close")
     return signals.window_lows(closes, 21_600_000, P.chunk_ms).select("symbol", "epoch_ms", "close", "low_close", "low_ms")
@@ -508,6 +519,20 @@ def sliding_argmin(spark, sf):
     return rows.select("symbol", "epoch_ms", "close", "low_close", "low_ms")
 
 
+def sliding_argmin_far(spark, sf):
+    """A window of two days over chunks of six hours."""
+    closes = candles(spark, sf).select("symbol", "epoch_ms", "close")
+    rows = signals.window_lows(closes, 2 * timeops.DAY_MS, 6 * timeops.HOUR_MS)
+    return rows.select("symbol", "epoch_ms", "close", "low_close", "low_ms")
+
+
+def asof_back_far(spark, sf):
+    """A lookback of three days over chunks of twelve hours."""
+    closes = candles(spark, sf).select("symbol", "epoch_ms", "close")
+    rows = signals.lookback_closes(closes, [3 * timeops.DAY_MS], 12 * timeops.HOUR_MS)
+    return rows.select("symbol", "epoch_ms", "close", "past_0")
+
+
 def signal_fixed(spark, sf):
     rows = signals.signals_fixed(candles(spark, sf), list(P.xs), list(P.ys), P.chunk_ms)
     return rounded(rows.select("symbol", "epoch_ms", "x", "y", "move"))
@@ -655,6 +680,13 @@ def time_to_target_late(spark, sf):
     return timed.select(*COMBO, "entry_ms", "target", "seconds")
 
 
+def time_to_target_far(spark, sf):
+    """The horizon over chunks of six hours."""
+    c = candle_table(spark, sf)
+    timed = asof.time_to_target(saved(trade_ops.trade_log(c, P)), c, posthoc.TARGETS, posthoc.LOOK_AHEAD_MS, "short", 6 * timeops.HOUR_MS)
+    return timed.select(*COMBO, "entry_ms", "target", "seconds")
+
+
 def time_to_target_stats(spark, sf):
     return rounded(posthoc.time_to_target_stats(saved(_timed(spark, sf)), COMBO), 4)
 
@@ -700,6 +732,12 @@ def queries() -> dict[str, Query]:
         "grid_size": grid_size,
         "exit_search": exit_search,
         "exit_search_gaps": exit_search_gaps,
+        "exit_search_long_hold": exit_search_long_hold,
+        "trade_log_long_hold": lambda s, d: rounded(tlog(s, d, FAR)),
+        "trade_log_long_window": lambda s, d: rounded(tlog(s, d, FAR_DYNAMIC)),
+        "sliding_argmin_far": sliding_argmin_far,
+        "asof_back_far": asof_back_far,
+        "time_to_target_far": time_to_target_far,
         "sliding_argmin_gaps": sliding_argmin_gaps,
         "trade_log_gaps": trade_log_gaps(P),
         "trade_log_gaps_dynamic_y": trade_log_gaps(DYNAMIC),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sparktape.plans.bindings import DEFAULTS as P
-from sparktape.plans.catalogue import DYNAMIC, LATE_MS, LOOSE, RANGE, SEARCH, SHORT, SIGNAL_ONLY
+from sparktape.plans.catalogue import DYNAMIC, FAR, FAR_DYNAMIC, LATE_MS, LOOSE, RANGE, SEARCH, SHORT, SIGNAL_ONLY
 from sparktape.schema import Params
 
 TR = (
@@ -624,6 +624,11 @@ def oracle_sql() -> dict[str, str]:
             "and c.epoch_ms >= a.at_ms asof left join (select symbol, epoch_ms + 21600000 at_ms, close from cd) b "
             "on c.symbol = b.symbol and c.epoch_ms >= b.at_ms",
         ),
+        "asof_back_far": sql(
+            BASE,
+            "select c.symbol, c.epoch_ms, c.close, a.close past_0 from cd c asof left join (select symbol, "
+            f"epoch_ms + {3 * DAY} at_ms, close from cd) a on c.symbol = a.symbol and c.epoch_ms >= a.at_ms",
+        ),
         "asof_forward": sql(
             BASE,
             "select l.symbol, l.epoch_ms, l.at_ms, f.close from (select symbol, epoch_ms, epoch_ms + 7200000 at_ms from cd) l "
@@ -639,6 +644,16 @@ def oracle_sql() -> dict[str, str]:
             "select symbol, epoch_ms, close, case when lc < close then lc end low_close, "
             "case when lc < close then lm end low_ms from m",
         ),
+        "sliding_argmin_far": sql(
+            [
+                *BASE,
+                "m as (select c.symbol, c.epoch_ms, c.close, min(p.close) lc, arg_min(p.epoch_ms, (p.close, p.epoch_ms)) lm "
+                f"from cd c left join cd p on p.symbol = c.symbol and p.epoch_ms >= c.epoch_ms - {2 * DAY} "
+                "and p.epoch_ms < c.epoch_ms group by all)",
+            ],
+            "select symbol, epoch_ms, close, case when lc < close then lc end low_close, "
+            "case when lc < close then lm end low_ms from m",
+        ),
         "signal_fixed": sql(
             [*BASE, *sets(P), *moves(P)],
             f"select symbol, epoch_ms, x, y, {r('move')} from mv join xs on move >= x",
@@ -688,6 +703,14 @@ def oracle_sql() -> dict[str, str]:
             + r("raw_exit", "max_price", "min_price")
             + " from ex",
         ),
+        "exit_search_long_hold": sql(
+            [*BASE, *sets(FAR), *moves(FAR), *exit_ctes(FAR)],
+            "select symbol, epoch_ms, exit_ms, reason, z, round(ep, 6) entry_price, "
+            + r("raw_exit", "max_price", "min_price")
+            + " from ex",
+        ),
+        "trade_log_long_hold": log_sql(FAR),
+        "trade_log_long_window": log_sql(FAR_DYNAMIC),
         "nonoverlap_select": sql(
             [
                 "li as (select l_orderkey, epoch_ms(max(l_shipdate)) ship_ms from lineitem group by 1)",
@@ -949,6 +972,7 @@ def oracle_sql() -> dict[str, str]:
             + " from g",
         ),
         "time_to_target": sql(TIMED, "select symbol, combo_id, entry_ms, target, seconds from tt"),
+        "time_to_target_far": sql(TIMED, "select symbol, combo_id, entry_ms, target, seconds from tt"),
         "time_to_target_late": sql(late_ctes(), "select symbol, combo_id, entry_ms, target, seconds from tt"),
         "time_to_target_stats": sql(
             [
