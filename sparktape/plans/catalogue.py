@@ -25,7 +25,7 @@ from sparktape.operators import (
 )
 from sparktape.plans import runs
 from sparktape.sources import readers, writers
-from sparktape.streaming import candle_stream
+from sparktape.streaming import candle_stream, restate, run_stream
 from sparktape.lineage import fresh_path, saved
 from sparktape.plans.bindings import DEFAULTS, candle_table, candles, gappy_candles, order_trades, table, tlog, trades
 
@@ -40,6 +40,7 @@ LOOSE = replace(P, min_trades=30, min_win_rate=11.0, min_profit_factor=0.25, max
 COMBO = ["symbol", "combo_id"]
 RANGE = (1_704_672_000_000, 1_705_881_600_000)  # 2024-01-08 to 2024-01-22
 LATE_MS = 15 * timeops.DAY_MS
+LATE_DELAY_MS = 10 * timeops.DAY_MS
 SEARCH = replace(P, xs=(50.0,), ys=(7200,), zs=(90.0,))
 # Holds, windows and horizons of many chunks.
 FAR = replace(P, xs=(200.0,), zs=(90.0, 99.9), hold_s=432_000, chunk_ms=12 * timeops.HOUR_MS)
@@ -219,6 +220,54 @@ def streamed_candles(spark, sf):
     return spark.read.schema(schema.add("day", "string")).parquet(f"{path}/out").select(*schema.names[:8])
 
 
+def streamed_runs(spark, sf):
+    """The orders as a stream in arrival order, stopped half way and started again; a mark closes the last candles."""
+    path = fresh_path(spark, "runs")
+    t = order_trades(spark, sf)
+    low, high = t.agg(F.min("a"), F.max("a")).first()
+    middle = ((low or 0) + (high or 0)) // 2
+    in_order = lambda rows: rows.repartitionByRange("a").sortWithinPartitions("a").write.mode("append").parquet(f"{path}/in")
+    for part, marks in ((t.where(F.col("a") <= middle), None), (t.where(F.col("a") > middle), run_stream.end_marks(t))):
+        in_order(part)
+        for _ in range(2 if marks is not None else 1):
+            stream = spark.readStream.schema(t.schema).parquet(f"{path}/in")
+            built = run_stream.run_stream(stream, 365 * timeops.DAY_MS)
+            run_stream.write_run_stream(built, f"{path}/out", f"{path}/state", backfill=True).awaitTermination()
+            if marks is not None:
+                in_order(marks)
+                marks = t.limit(0)
+    return spark.read.schema(run_stream.OUT).parquet(f"{path}/out")
+
+
+DELIVERIES = ("a % 2 = 0", "a % 4 = 1", "a % 4 = 3")
+
+
+def streamed_late(spark, sf):
+    """Trades delivered out of order, each delivery a restart: those whose candle was published before they came are dropped."""
+    path, t = fresh_path(spark, "late"), trades(spark, sf).select("symbol", "a", "t", "p", "q")
+    last = t.agg(F.lit("end").alias("symbol"), F.lit(-1).cast("long").alias("a"), (F.max("t") + 365 * timeops.DAY_MS).alias("t"))
+    last = last.where("t is not null").select("*", F.lit(1.0).alias("p"), F.lit(1.0).alias("q"))
+    for part in [*map(t.where, DELIVERIES), last]:
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(t.schema).parquet(f"{path}/in")
+        built = candle_stream.candle_stream(stream, "1 hour", f"{LATE_DELAY_MS} milliseconds", dedupe=False)
+        candle_stream.write_candle_stream(built, f"{path}/out", f"{path}/state", backfill=True).awaitTermination()
+    schema = candle_ops.ohlcv(t, timeops.HOUR_MS).schema
+    return spark.read.schema(schema.add("day", "string")).parquet(f"{path}/out").select(*schema.names[:8])
+
+
+def restated_candles(spark, sf):
+    """The same deliveries with none dropped: candles are restated, and parts merged before the last one."""
+    path, t = fresh_path(spark, "restated"), trades(spark, sf).select("symbol", "a", "t", "p", "q")
+    for number, condition in enumerate(DELIVERIES):
+        t.where(condition).write.mode("append").parquet(f"{path}/in")
+        if number == 2:
+            restate.compact(spark, f"{path}/parts")
+        stream = spark.readStream.schema(t.schema).parquet(f"{path}/in")
+        restate.write_restated(stream, f"{path}/parts", f"{path}/state", timeops.HOUR_MS, backfill=True).awaitTermination()
+    return restate.restated_candles(spark, f"{path}/parts").drop("version")
+
+
 def plain_decimal(spark, sf):
     return candle_ops.candle_text(candles(spark, sf)).select(
         "symbol", "timestamp", "open", "high", "low", "close", "volume", "tradeCount"
@@ -714,6 +763,9 @@ def queries() -> dict[str, Query]:
         "candle_file": candle_file,
         "trade_log_file": trade_log_file,
         "streamed_candles": streamed_candles,
+        "streamed_runs": streamed_runs,
+        "streamed_late": streamed_late,
+        "restated_candles": restated_candles,
         "plain_decimal": plain_decimal,
         "slippage_pnl": slippage_pnl,
         "mae_mfe": mae_mfe,

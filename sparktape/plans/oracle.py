@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sparktape.plans.bindings import DEFAULTS as P
-from sparktape.plans.catalogue import DYNAMIC, FAR, FAR_DYNAMIC, LATE_MS, LOOSE, RANGE, SEARCH, SHORT, SIGNAL_ONLY
+from sparktape.plans.catalogue import DYNAMIC, FAR, FAR_DYNAMIC, LATE_DELAY_MS, LATE_MS, LOOSE, RANGE, SEARCH, SHORT, SIGNAL_ONLY
 from sparktape.schema import Params
 
 TR = (
@@ -478,19 +478,34 @@ def plain(column: str) -> str:
     return f"regexp_replace(printf('%.10f', {column}), '\\.?0+$', '') as {column}"
 
 
+RUNS = sql(
+    [
+        TR2,
+        f"b as (select *, lag((t // {365 * DAY})) over (partition by symbol order by a) pb from tr2)",
+        f"c as (select *, cast(sum(case when pb = t // {365 * DAY} then 0 else 1 end) over (partition by symbol "
+        "order by a) as bigint) run from b)",
+    ],
+    ohlcv("c", 365 * DAY, "a", extra=", run"),
+)
+# Late are trades whose hour ended before the newest trade of all earlier deliveries, less the delay.
+LATE = (
+    f"dl as (select * from tr where a % 2 = 0 or (t // 3600000 + 1) * 3600000 > (select max(p.t) from tr p where p.a % 2 = 0 "
+    f"or tr.a % 4 = 3 and p.a % 4 = 1) - {LATE_DELAY_MS})"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "streamed_runs": RUNS,
+        "streamed_late": sql([TR, LATE], ohlcv("dl", 3_600_000)),
+        "restated_candles": sql(
+            [TR, f"cd as ({ohlcv('tr', 3_600_000)})", "v as (select symbol, t // 3600000 * 3600000 epoch_ms, "
+             "count(distinct case when a % 2 = 0 then 0 else a % 4 end) - 1 restated from tr group by all)"],
+            "select cd.*, restated from cd join v using (symbol, epoch_ms)",
+        ),
         "ohlcv": sql([TR], ohlcv("tr", 3_600_000)),
         "ohlcv_ties": sql([TR2], ohlcv("tr2", DAY)),
-        "ohlcv_runs": sql(
-            [
-                TR2,
-                f"b as (select *, lag((t // {365 * DAY})) over (partition by symbol order by a) pb from tr2)",
-                f"c as (select *, cast(sum(case when pb = t // {365 * DAY} then 0 else 1 end) over (partition by symbol "
-                "order by a) as bigint) run from b)",
-            ],
-            ohlcv("c", 365 * DAY, "a", extra=", run"),
-        ),
+        "ohlcv_runs": RUNS,
         "coverage_span": sql(
             BASE,
             "select *, round(candles / nullif(expected, 0), 6) coverage from (select symbol, count(*) candles, "
