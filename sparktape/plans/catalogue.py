@@ -182,6 +182,31 @@ def tape_file(spark, sf):
     return readers.read_trades_json(spark, path)
 
 
+def tape_file_range(spark, sf):
+    """Two weeks of the tape, from the files of those days only."""
+    path = fresh_path(spark, "tape")
+    writers.write_trades(_cents(spark, sf), path, fmt="json")
+    return readers.read_trades_range(spark, path, *RANGE)
+
+
+def _stored(spark, sf) -> str:
+    """The tape stored by days, every fifth day stored again with twice the quantities."""
+    path, rows = fresh_path(spark, "stored"), _cents(spark, sf)
+    again = rows.where(F.pmod(F.floor(F.col("t") / timeops.DAY_MS), F.lit(5)) == 2)
+    writers.store_days(rows, path)
+    writers.store_days(again.withColumn("q", F.col("q") * 2), path)
+    return path
+
+
+def stored_range(spark, sf):
+    return readers.read_trades_stored(spark, _stored(spark, sf), *RANGE)
+
+
+def stored_totals(spark, sf):
+    """Totals of all days from the record."""
+    return readers.stored_days(spark, _stored(spark, sf))
+
+
 def bulk_file(spark, sf):
     """The tape as headerless daily files, read back."""
     path = fresh_path(spark, "bulk")
@@ -759,6 +784,9 @@ def queries() -> dict[str, Query]:
         "parse_tape_lines": parse_tape_lines,
         "parse_bulk_rows": parse_bulk_rows,
         "tape_file": tape_file,
+        "tape_file_range": tape_file_range,
+        "stored_range": stored_range,
+        "stored_totals": stored_totals,
         "bulk_file": bulk_file,
         "candle_file": candle_file,
         "trade_log_file": trade_log_file,

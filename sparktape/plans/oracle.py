@@ -6,6 +6,8 @@ from sparktape.plans.bindings import DEFAULTS as P
 from sparktape.plans.catalogue import DYNAMIC, FAR, FAR_DYNAMIC, LATE_DELAY_MS, LATE_MS, LOOSE, RANGE, SEARCH, SHORT, SIGNAL_ONLY
 from sparktape.schema import Params
 
+DAY = 86_400_000
+
 TR = (
     "tr as (select event_type symbol, event_id a, epoch_us(ts) // 1000 t, value p, "
     "cast(json_extract_string(props, '$.k') as double) q from events)"
@@ -41,6 +43,13 @@ CENTS = (
 )
 
 
+# The tape as it is stored after every fifth day came a second time.
+STORED = (
+    f"st as (select symbol, a, t, round(p, 2) p, q * case when (t // {DAY}) % 5 = 2 then 2 else 1 end q, a first_id, a + 1 last_id, "
+    f"a % 2 = 0 is_maker, a % 7 = 0 is_best, t // {DAY} as day from tr)"
+)
+
+
 def r(*names: str, places: int = 6) -> str:
     return ", ".join(f'round("{n}", {places}) + 0 as "{n}"' for n in names)
 
@@ -356,7 +365,6 @@ COMPARE_COUNTS = [
     f"{side}_{c}" for side in ("train", "validation") for c in [*METRIC_COUNTS, "max_consecutive_losses"]
 ]
 
-DAY = 86_400_000
 STOPS = "sl(level) as (values (1.0::double), (2.0), (3.0), (4.0), (5.0), (7.0), (10.0))"
 
 
@@ -565,6 +573,16 @@ def oracle_sql() -> dict[str, str]:
             "from tr where a % 11 <> 0 and a % 13 <> 0",
         ),
         "tape_file": sql([TR], CENTS),
+        "tape_file_range": sql([TR], f"{CENTS} where t >= {RANGE[0]} and t < {RANGE[1]}"),
+        "stored_range": sql(
+            [TR, STORED], f"select * exclude (day) from st where t >= {RANGE[0]} and t < {RANGE[1]}"
+        ),
+        "stored_totals": sql(
+            [TR, STORED],
+            "select symbol, strftime(make_timestamp(day * 86400000000), '%Y-%m-%d') as day, count(*) as rows, min(t) first_ms, "
+            "max(t) last_ms, min(a) first_id, max(a) last_id, round(sum(q), 8) volume, cast(sum(count(*)) over "
+            "(partition by symbol order by day) as bigint) running_rows from st group by symbol, day",
+        ),
         "bulk_file": sql([TR], CENTS),
         "candle_file": sql(BASE, "select * replace (upper(symbol) as symbol) from cd"),
         "trade_log_file": sql(

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktape.functions.pricing import parse_number
-from sparktape.functions.timeops import DAY_MS, day_to_millis, normalize_epoch
+from sparktape.functions.timeops import DAY_MS, day_to_millis, floor_to, iso_day, normalize_epoch
+from sparktape.operators.scans import Run, running
+from sparktape.operators.tape import time_range, uncovered_intervals
 from sparktape.schema import CANDLE_FILE_COLUMNS, LEGACY_TRADE_LOG_NAMES, TRADE_SCHEMA, TapeError
 
 
@@ -62,6 +64,9 @@ def parse_tape_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
+_PARSED = "symbol string, a long, p string, q string, f long, l long, T long, maker boolean, best boolean"
+
+
 def tape_rows(parsed: DataFrame) -> DataFrame:
     """Parsed lines with a ``symbol`` as ``symbol, a, t, p, q, first_id, last_id, is_maker, is_best``."""
     return parsed.select(*_tape_columns(F.col("symbol")), F.col("maker").alias("is_maker"), F.col("best").alias("is_best"))
@@ -221,6 +226,49 @@ def list_files(spark: SparkSession, folder: str, suffix: str = "*.jsonl*") -> Da
     )
 
 
+def range_files(spark: SparkSession, folder: str, start_ms: int, end_ms: int) -> DataFrame:
+    """``path`` of the tape files below ``folder`` that ``[start_ms, end_ms)`` needs, by their names alone.
+
+    Raw files carry their span in the name; of those in one folder that overlap the range, only files that no other
+    one covers are needed. Files in a ``day=..`` folder are all needed if the day overlaps the range.
+    """
+    files = list_files(spark, folder, "*").withColumn("_day", F.nullif(F.regexp_extract("path", r"/day=(\d{4}-\d{2}-\d{2})/", 1), F.lit("")))
+    begin = day_to_millis(F.col("_day"))
+    by_day = files.where((begin < end_ms) & (begin + DAY_MS > start_ms)).select("path")
+    spans = raw_file_spans(files.where("_day is null").select("path")).withColumn("_folder", F.regexp_extract("path", r"^(.*)/", 1))
+    needed = uncovered_intervals(spans, ["_folder"], "path", "start_ms", "end_ms", F.lit(start_ms), F.lit(end_ms), 1000 * DAY_MS)
+    return by_day.unionByName(needed.select("path"))
+
+
+def read_trades_range(spark: SparkSession, folder: str, start_ms: int, end_ms: int, symbol: str | None = None) -> DataFrame:
+    """:func:`read_trades_json` of ``[start_ms, end_ms)``: only the files that the range needs are opened.
+
+    The files' names come to the driver, as Spark's own scan would bring them. Where files overlap, trades repeat:
+    :func:`sparktape.operators.tape.dedupe` removes them.
+    """
+    paths = sorted(r.path for r in range_files(spark, folder, start_ms, end_ms).collect())
+    trades = read_trades_json(spark, paths, symbol) if paths else tape_rows(spark.createDataFrame([], _PARSED))
+    return time_range(trades, start_ms, end_ms)
+
+
+def read_trades_stored(spark: SparkSession, path: str, start_ms: int, end_ms: int) -> DataFrame:
+    """A Parquet tape's ``[start_ms, end_ms)``; days outside are pruned by their folders."""
+    day = F.col("day").cast("string")
+    rows = spark.read.parquet(path).where((day >= iso_day(F.lit(start_ms))) & (day <= iso_day(F.lit(end_ms - 1))))
+    return time_range(rows.drop("day"), start_ms, end_ms)
+
+
+# Columns of the record of days.
+DAYS = "rows long, first_ms long, last_ms long, first_id long, last_id long, volume double, symbol string, day string"
+
+
+def stored_days(spark: SparkSession, path: str) -> DataFrame:
+    """The record that :func:`sparktape.sources.writers.store_days` keeps of a tape, with the running total of rows."""
+    record = _or_empty(lambda: spark.read.schema(DAYS).parquet(f"{path}-days"), DAYS, spark)
+    record = record.withColumn("day_ms", day_to_millis(F.col("day")))
+    return running(record, ["symbol"], ["day_ms"], floor_to(F.col("day_ms"), 1000 * DAY_MS), [Run("running_rows", "sum", F.col("rows"))]).drop("day_ms")
+
+
 def reject_empty(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise TapeError(f"no rows in {what}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktape.functions.pricing import plain_decimal
 from sparktape.functions.timeops import iso_day, iso_millis
+from sparktape.lineage import saved
 from sparktape.operators.candles import candle_text
 
 
@@ -15,7 +16,8 @@ def write_trades(
 ) -> None:
     """Tape by symbol and day, in time order within a file.
 
-    Range partitioning on (symbol, day, time) lets a busy day spread over several files. JSON lines have the tape's own
+    Overwriting replaces the days that ``trades`` holds, once all of them are written; other days stay, and a write that
+    fails changes nothing. Range partitioning on (symbol, day, time) lets a busy day spread over several files. JSON lines have the tape's own
     fields, prices as plain decimals and, where the tape has them, the maker and best-match flags.
     """
     rows = trades.withColumn("day", iso_day(F.col("t")))
@@ -30,12 +32,32 @@ def write_trades(
         )
         # As text: two field names differ by case only, which a table of columns could not hold.
         rows, fmt = rows.select(F.to_json(line).alias("value"), "symbol", "day"), "text"
-    writer = rows.write.mode(mode).partitionBy("symbol", "day").format(fmt)
+    writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "day").format(fmt)
     if fmt == "text" and gzip:
         writer = writer.option("compression", "gzip")
     writer.save(path)
 
 
+def store_days(trades: DataFrame, path: str, fmt: str = "parquet", gzip: bool = True) -> DataFrame:
+    """Write whole days as :func:`write_trades` does, then their record below ``<path>-days``; returns the record's new rows.
+
+    The record has one row per symbol and day - rows, first and last time and id, and volume - and is replaced day by day like
+    the tape, so totals of a long tape are read from it (:func:`sparktape.sources.readers.stored_days`), not from the trades.
+    Rows are counted as written. It is written last: a day whose record is missing or old was not finished, and storing it
+    again finishes it.
+    """
+    rows = saved(trades)
+    write_trades(rows, path, fmt=fmt, gzip=gzip)
+    days = rows.groupBy("symbol", iso_day(F.col("t")).alias("day")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("t").alias("first_ms"), F.max("t").alias("last_ms"),
+        F.min("a").alias("first_id"), F.max("a").alias("last_id"), F.round(F.sum("q"), 8).alias("volume"),
+    )
+    days = saved(days)
+    few = days.repartitionByRange("symbol", "day")
+    few.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "day").parquet(f"{path}-days")
+    return days
+
+
 def write_candles_csv(candles: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Candle CSV with plain decimals, by symbol."""
     rows = candle_text(candles).repartitionByRange("symbol", "timestamp").sortWithinPartitions("symbol", "timestamp")
