@@ -446,3 +446,63 @@ def test_bare_words_decide_nothing():
     assert judge("he is not an idiot. she is not a loser.") < 0.5 and judge("anna said he was an idiot. tom said she was a loser") < 0.5
     assert judge(prose + "you are an idiot. " + prose) > 0.5
     assert toxicity.MOST_WEIGHT * toxicity.BARE < toxicity.BIAS
+
+
+CLEAN = [
+    "the chef will beat the eggs and the sugar", "we will shoot the film in may", "you should burn the old papers", "the system will kill the process after ten seconds",
+    "she is a trash collector in lyon", "the trash truck came. it took the trash away.", "this fruit smells disgusting. so does the trash", "the dumb waiter carried the trash",
+    "word " * 300 + "trash heap and trash can and trash bin and trash lid", "the heat will hurt the plants", "the storm will destroy the bridge", "she will murder the song",
+    "the weeds will strangle the roses", "you must stab the potatoes before baking", "wir werden die zeit töten", "die hitze werden pflanzen umbringen", "je vais frapper à la porte",
+    "il va tuer le temps", "vamos a matar el tiempo", "la lluvia va a golpear la ventana", "he should beat the drum and you shall hear it", "will you burn the letters or must we",
+    "an idiot savant played the piano", "the idiot box was on", "a stupid mistake in the code", "the moron test was dropped", "the loser bracket starts at noon", "a pathetic score was posted",
+    "pond scum covers the lake", "a worthless coin lay there", "she threw trash into the bin", "a disgusting smell came up", "an imbecile plot ran on", "dumb luck saved them",
+    "el guion es un trash metal concierto", "il est un loser bracket joueur", "sie ist eine trash ikone der stadt", "they gave him trash bags", "there were idiots boards for the actors",
+]
+TOXIC = [
+    "you are an idiot", "what an idiot", "i will kill you", "ich werde dich töten", "je vais te tuer", "te voy a matar", "voy a matarte", "we will beat you up", "they will hurt her",
+    "you stupid idiot", "you are so stupid", "anna is a pathetic loser", "they are scum and thieves", "you are trash", "tu es un idiot", "du bist ein idiot", "he is dumb",
+    "you are disgusting and you know it", "somebody should strangle him", "we shall burn you", "vamos a golpearlos",
+]
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_ordinary_sentences_are_clean(text):
+    own = toxicity.Lexicon(dict.fromkeys([*toxicity.INSULTS, "idiots"], toxicity.MOST_WEIGHT), {})
+    assert toxicity.score(toxicity.evidence(text, own)) < 0.5
+
+
+@pytest.mark.parametrize("text", TOXIC)
+def test_aimed_clauses_are_toxic(text):
+    own = toxicity.Lexicon(dict.fromkeys(toxicity.INSULTS, toxicity.FIXED_WEIGHT), {})
+    judge = lambda t: float(toxicity.score(toxicity.evidence(t, own)))
+    assert judge(text) > 0.5
+    assert judge("anna said that " + text) < 0.5 and judge("the rain fell. " * 40 + text + ". " + "it was noon. " * 40) > 0.5
+
+
+def test_composed_grammar_is_its_parts():
+    rng = random.Random(6)
+    for _ in range(300):
+        joint, alone = toxicity.START, list(toxicity.START)
+        for _ in range(12):
+            kind = rng.randrange(toxicity.KINDS)
+            steps = [part.arc(state, kind) for part, state in zip(toxicity.PARTS, alone)]
+            alone = [s[0] for s in steps]
+            joint, factor, added = toxicity.GRAMMAR[joint][kind]
+            assert list(joint) == alone and factor == pytest.approx(np.prod([s[1] for s in steps])) and added == sum(s[2] for s in steps)
+
+
+def test_threats_are_intent_verb_and_object_in_any_order():
+    """Brute force over short clauses: a threat is passed on once its three words lie near each other in one of the orders."""
+    k = toxicity
+    for words in itertools.product((k.OTHER, k.INTENT_WORD, k.THREAT_VERB, k.OBJECT), repeat=5):
+        state, total = 0, 0.0
+        for kind in words:
+            state, _, added = k.THREATS.arc(state, kind)
+            total += added
+        some = any(
+            words[i] == k.INTENT_WORD and words[v] == k.THREAT_VERB and words[o] == k.OBJECT and (i < v < o <= v + 2 or i < o < v or o < i < v)
+            for i, v, o in itertools.permutations(range(5), 3)
+        )
+        assert not total or some, words
+        if words.count(k.INTENT_WORD) == words.count(k.THREAT_VERB) == words.count(k.OBJECT) == 1:
+            assert bool(total) == some, words
