@@ -88,10 +88,10 @@ def train_val_split(df: DataFrame, ratio: float, time: str = "epoch_ms", keys: t
     return join_on(df, cut.select(*keys, "n", "pos", "at_ms"), list(keys)).select(*df.columns, part.alias("part"))
 
 
-def kfold_split(df: DataFrame, k: int, time: str = "epoch_ms", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Rows per ``fold`` (1..k) and ``part``: expanding train, then the next of k+1 chunks as validation.
+def fold_cuts(df: DataFrame, k: int, time: str = "epoch_ms", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """``keys, _cuts``: the times at which k+1 chunks of equal size begin, but for the first; equal times stay together.
 
-    Equal times stay on one side. Too few rows or an empty side is an error.
+    Too few rows or an empty chunk is an error.
     """
     if k < 2:
         raise TapeError(f"k must be >= 2, got {k}")
@@ -106,12 +106,16 @@ def kfold_split(df: DataFrame, k: int, time: str = "epoch_ms", keys: tuple[str,
         F.sequence(F.lit(1), F.lit(k - 1)), lambda i: F.get("_cuts", i) > F.get("_cuts", i - 1)
     )
     sound = (size(F.col("n")) >= 1) & (F.get("_cuts", F.lit(0)) > F.col("first_ms")) & rising
-    cuts = cuts.select(
+    return cuts.select(
         *keys,
         F.when(F.coalesce(sound, F.lit(False)), F.col("_cuts"))
         .otherwise(F.raise_error(F.lit("not enough rows or times for the folds")).cast("array<bigint>"))
         .alias("_cuts"),
     )
+
+
+def in_folds(df: DataFrame, cuts: DataFrame, time: str = "epoch_ms", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Rows per ``fold`` (1..k) and ``part``, of the cuts of :func:`fold_cuts`."""
     t, at = F.col(time), F.col("_cut")
     part = F.when(t < at, "train").when(F.col("_next").isNull() | (t < F.col("_next")), "validation")
     return (
@@ -123,6 +127,14 @@ def kfold_split(df: DataFrame, k: int, time: str = "epoch_ms", keys: tuple[str,
     )
 
 
+def kfold_split(df: DataFrame, k: int, time: str = "epoch_ms", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Rows per ``fold`` (1..k) and ``part``: expanding train, then the next of k+1 chunks as validation.
+
+    Equal times stay on one side. Too few rows or an empty side is an error.
+    """
+    return in_folds(df, fold_cuts(df, k, time, keys), time, keys)
+
+
 def split_report(parts: DataFrame, keys: list[str], time: str = "epoch_ms", whole: list[str] | None = None) -> DataFrame:
     """Rows, share, first and last time per part; ``whole`` is the key whose parts make 100 percent."""
     whole = whole if whole is not None else [k for k in keys if k != "part"]

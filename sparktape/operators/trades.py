@@ -111,7 +111,11 @@ def trade_log(
     saved once: both the walk and the join of prices start from them. Pass saved candles: they are read twice.
     """
     moves = saved(entry_moves(candles, params, keys))
-    found = saved(entry_exits(candles, params, keys, moves))
+    return log_of(moves, saved(entry_exits(candles, params, keys, moves)), params, keys, sets)
+
+
+def log_of(moves: DataFrame, found: DataFrame, params: Params, keys: tuple[str, ...] = ("symbol",), sets: DataFrame | None = None) -> DataFrame:
+    """:func:`trade_log` from saved :func:`entry_moves` and :func:`entry_exits`."""
     taken = taken_trades(moves, found, sets, params, keys)
     leave = exit_price(F.col("raw_exit"), params.slip, params.direction)
     fees, pnl, pct = profit(F.col("entry_price"), F.col("exit_price"), params.size, params.fee, params.direction)

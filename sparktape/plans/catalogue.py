@@ -39,6 +39,8 @@ DYNAMIC = replace(P, dynamic_y=True)
 LOOSE = replace(P, min_trades=30, min_win_rate=11.0, min_profit_factor=0.25, max_drawdown=10.005)
 COMBO = ["symbol", "combo_id"]
 RANGE = (1_704_672_000_000, 1_705_881_600_000)  # 2024-01-08 to 2024-01-22
+FOLDS = 4
+LOG_KEYS = ["combo_id", "entry_ms", "exit_ms", "entry_price", "exit_price", "max_price_during_trade", "min_price_during_trade", "pnl", "reason"]
 LATE_MS = 15 * timeops.DAY_MS
 LATE_DELAY_MS = 10 * timeops.DAY_MS
 SEARCH = replace(P, xs=(50.0,), ys=(7200,), zs=(90.0,))
@@ -649,6 +651,17 @@ def train_val_compare(spark, sf):
     return rounded(compared, 4)
 
 
+def kfold_compare(spark, sf):
+    """Every set on the train and validation parts of four folds."""
+    return rounded(runs.kfold_compare(candles(spark, sf), P, FOLDS), 4)
+
+
+def kfold_log(spark, sf):
+    """Trades of the folds, with holds of many chunks that the folds' ends cut."""
+    log = runs.fold_log(candles(spark, sf), replace(FAR, zs=(99.9,)), FOLDS)
+    return rounded(log.select("symbol", "fold", "part", *LOG_KEYS))
+
+
 def verdict(spark, sf):
     _, compared = runs.screen_and_validate(candles(spark, sf), LOOSE)
     return compared.select("symbol", "combo_id", "rank", "verdict")
@@ -850,6 +863,8 @@ def queries() -> dict[str, Query]:
         "split_report": split_report,
         "split_leakage_check": split_leakage_check,
         "train_val_compare": train_val_compare,
+        "kfold_compare": kfold_compare,
+        "kfold_log": kfold_log,
         "verdict": verdict,
         "verdict_counts": verdict_counts,
         "stoploss_apply": stoploss_apply,

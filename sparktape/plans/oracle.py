@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sparktape.plans.bindings import DEFAULTS as P
-from sparktape.plans.catalogue import DYNAMIC, FAR, FAR_DYNAMIC, LATE_DELAY_MS, LATE_MS, LOOSE, RANGE, SEARCH, SHORT, SIGNAL_ONLY
+from sparktape.plans.catalogue import DYNAMIC, FAR, FAR_DYNAMIC, FOLDS, LOG_KEYS, LATE_DELAY_MS, LATE_MS, LOOSE, RANGE, SEARCH, SHORT, SIGNAL_ONLY
 from sparktape.schema import Params
 
 DAY = 86_400_000
@@ -482,6 +482,46 @@ def fold_sql() -> str:
     )
 
 
+def fold_parts() -> list[str]:
+    """pt: candles by fold and part."""
+    return [
+        "o as (select *, row_number() over (partition by symbol order by epoch_ms) - 1 rn, count(*) over (partition by symbol) n from cd)",
+        f"e as (select symbol, f.fold, max(epoch_ms) filter (rn = f.fold * (n // {FOLDS + 1})) b from o, "
+        f"(select unnest(generate_series(1, {FOLDS})) fold) f group by all)",
+        "w as (select symbol, fold, b, lead(b) over (partition by symbol order by fold) nb from e)",
+        "pt as (select cd.*, w.fold, case when epoch_ms < b then 'train' else 'validation' end part from cd join w using (symbol) "
+        "where nb is null or epoch_ms < nb)",
+    ]
+
+
+def fold_compare_sql() -> str:
+    keys = "symbol, fold, part, combo_id"
+    counts, doubles = [*METRIC_COUNTS, "max_consecutive_losses"], [*METRIC_DOUBLES, "sharpe_ratio", "expectancy", "avg_win", "avg_loss"]
+    sides = [f"max({c}) filter (part = '{side}') {side}_{c}" for side in ("train", "validation") for c in counts + doubles]
+    return sql(
+        [
+            *BASE,
+            *fold_parts(),
+            *log_ctes(P, "pt", ["symbol", "fold", "part"]),
+            *metric_ctes(P, "tl", keys),
+            *advanced_ctes(P, "tl", keys),
+            f"fs as (select symbol, fold, combo_id, {', '.join(sides)} from tm join am using ({keys}) group by all)",
+            f"ev as (select * from (select distinct symbol from cd), (select unnest(generate_series(1, {FOLDS})) fold), sets)",
+        ],
+        f"select symbol, fold, combo_id, x, y, z, {or_zero([f'{s}_{c}' for s in ('train', 'validation') for c in counts])}, "
+        f"{or_zero([f'{s}_{c}' for s in ('train', 'validation') for c in doubles], 4)}, case when coalesce(train_total_pnl, 0) <= 0 then 'WEAK' "
+        "when validation_total_pnl > 0 then 'ROBUST' else 'OVERFIT' end verdict from ev left join fs using (symbol, fold, combo_id)",
+    )
+
+
+def fold_log_sql() -> str:
+    from dataclasses import replace
+
+    texts = {"combo_id", "entry_ms", "exit_ms", "reason"}
+    columns = ", ".join(c if c in texts else f"round({c}, 6) {c}" for c in LOG_KEYS)
+    return sql([*BASE, *fold_parts(), *log_ctes(replace(FAR, zs=(99.9,)), "pt", ["symbol", "fold", "part"])], f"select symbol, fold, part, {columns} from tl")
+
+
 def plain(column: str) -> str:
     return f"regexp_replace(printf('%.10f', {column}), '\\.?0+$', '') as {column}"
 
@@ -505,6 +545,8 @@ LATE = (
 def oracle_sql() -> dict[str, str]:
     return {
         "streamed_runs": RUNS,
+        "kfold_compare": fold_compare_sql(),
+        "kfold_log": fold_log_sql(),
         "streamed_late": sql([TR, LATE], ohlcv("dl", 3_600_000)),
         "restated_candles": sql(
             [TR, f"cd as ({ohlcv('tr', 3_600_000)})", "v as (select symbol, t // 3600000 * 3600000 epoch_ms, "

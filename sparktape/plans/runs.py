@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from sparktape.operators.grid import axes, expand_grid
 from sparktape.operators.metrics import advanced_metrics, trade_metrics
 from sparktape.operators.screening import apply_thresholds, derive, passes, rank_by_score, screen, verdict
-from sparktape.operators.splits import train_val_split
-from sparktape.operators.trades import trade_log
+from sparktape.operators.scans import join_on
+from sparktape.operators.splits import fold_cuts, in_folds, train_val_split
+from sparktape.operators.trades import entry_exits, entry_moves, log_of, trade_log
 from sparktape.lineage import saved
 from sparktape.schema import Params
 
@@ -68,6 +69,60 @@ def screen_and_validate(candles: DataFrame, params: Params) -> tuple[DataFrame,
     return screened, compared
 
 
+def fold_log(candles: DataFrame, params: Params, k: int, sets: DataFrame | None = None) -> DataFrame:
+    """Trade log of every fold's train and validation part, with keys ``symbol, fold, part``; nothing crosses a part.
+
+    Exits are searched once, over all candles. A part only changes those that lie beyond its end: they are searched again
+    per cut, over the candles from the first such entry to the cut. Moves are taken once over all candles for the train
+    parts, which share their start, and once for the validation parts, of which each candle has one at most. Folds then are
+    lanes of one walk: what is repeated for each fold are entries, not candles.
+    """
+    candles = saved(candles)
+    cuts = saved(fold_cuts(candles, k))
+    moves = saved(entry_moves(candles, params))
+    found = saved(entry_exits(candles, params, moves=moves))
+
+    late = join_on(found.select("symbol", "epoch_ms", "exit_ms"), cuts, ["symbol"])
+    late = late.select("symbol", "epoch_ms", "exit_ms", F.posexplode("_cuts").alias("cut", "cut_ms"))
+    late = saved(late.where("epoch_ms < cut_ms and exit_ms >= cut_ms").select("symbol", "cut", "cut_ms", "epoch_ms").distinct())
+    spans = late.groupBy("symbol", "cut", "cut_ms").agg(F.min("epoch_ms").alias("from_ms"))
+    near = join_on(candles, spans, ["symbol"]).where("epoch_ms >= from_ms and epoch_ms < cut_ms").drop("from_ms", "cut_ms")
+    again = saved(entry_exits(saved(near), params, ("symbol", "cut"), late.select("symbol", "cut", "epoch_ms")))
+
+    # A train part of fold f ends at cut f - 1, its validation part at cut f.
+    views = in_folds(found, cuts)
+    views = join_on(views, cuts, ["symbol"]).withColumn("cut", (F.col("fold") - F.when(F.col("part") == "train", 1).otherwise(0)).cast("int"))
+    views = views.withColumn("_crosses", F.coalesce(F.col("exit_ms") >= F.get("_cuts", F.col("cut")), F.lit(False))).drop("_cuts")
+    entry = ["symbol", "fold", "part", "epoch_ms"]
+    crossing = views.where("_crosses").select(*entry, "z", "cut")
+    crossing = join_on(crossing, again, ["symbol", "cut", "epoch_ms", "z"])
+    columns = [*entry, *[c for c in found.columns if c not in ("symbol", "epoch_ms")]]
+    exits = saved(views.where(~F.col("_crosses")).select(*columns).unionByName(crossing.select(*columns)))
+
+    train = in_folds(moves, cuts).where("part = 'train'")
+    held_out = in_folds(candles, cuts).where("part = 'validation'")
+    held_out = entry_moves(held_out, params, ("symbol", "fold", "part"))
+    return log_of(saved(train.unionByName(held_out)), exits, params, ("symbol", "fold", "part"), sets)
+
+
+def kfold_compare(candles: DataFrame, params: Params, k: int) -> DataFrame:
+    """One row per symbol, fold and parameter set, with ``train_`` and ``validation_`` metrics (zero without trades) and a verdict."""
+    candles = saved(candles)
+    log = saved(fold_log(candles, params, k))
+    keys = ["symbol", "fold", "part", "combo_id"]
+    detail = trade_metrics(log, keys, params.direction, params.capital, params.chunk_ms).join(
+        advanced_metrics(log, keys, params.direction, params.chunk_ms), keys
+    )
+    measures = [c for c in detail.columns if c not in keys]
+    sides = detail.groupBy("symbol", "fold", "combo_id").agg(
+        *[F.max(F.when(F.col("part") == side, F.col(c))).alias(f"{side}_{c}") for side in ("train", "validation") for c in measures]
+    )
+    every = symbol_sets(candles, params).withColumn("fold", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))))
+    profit = "total_pnl_percent" if params.direction == "signal-only" else "total_pnl"
+    rows = every.join(sides, ["symbol", "fold", "combo_id"], "left").fillna(0)
+    return rows.withColumn("verdict", verdict(F.col(f"train_{profit}"), F.col(f"validation_{profit}")))
+
+
 def verdict_counts(screened: DataFrame, compared: DataFrame, params: Params) -> DataFrame:
     """Per symbol: sets screened, kept by the thresholds, validated, and how they held up (money plus percent)."""
     train = F.col("train_total_pnl") + F.col("train_total_pnl_percent")
