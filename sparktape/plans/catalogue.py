@@ -20,6 +20,7 @@ from sparktape.operators import (
     screening,
     signals,
     splits,
+    states,
     tape,
     trades as trade_ops,
 )
@@ -502,6 +503,18 @@ def trade_metrics(params) -> Query:
     return run
 
 
+def merged_metrics(params) -> Query:
+    """Metrics from states stored by day, merged to weeks and then to the whole range."""
+
+    def run(spark, sf):
+        log = trade_ops.trade_log(candle_table(spark, sf), params)
+        days = saved(states.daily_states(log, COMBO, params.direction))
+        whole = states.merge_states(states.merge_states(days, COMBO, 7 * timeops.DAY_MS), COMBO)
+        return rounded(states.state_metrics(whole, COMBO, params.capital), 4)
+
+    return run
+
+
 def summary_rows(spark, sf):
     c = candle_table(spark, sf)
     all_sets = runs.symbol_sets(c, P)
@@ -841,6 +854,8 @@ def queries() -> dict[str, Query]:
         "trade_log_dynamic_y": log_query(DYNAMIC),
         "trade_metrics": trade_metrics(P),
         "trade_metrics_signal_only": trade_metrics(SIGNAL_ONLY),
+        "merged_metrics": merged_metrics(P),
+        "merged_metrics_signal_only": merged_metrics(SIGNAL_ONLY),
         "posthoc_metrics": posthoc_metrics,
         "advanced_metrics": advanced_metrics,
         "equity_curve": equity_curve,

@@ -242,6 +242,14 @@ def metrics_sql(params: Params) -> str:
     )
 
 
+def merged_sql(params: Params) -> str:
+    doubles = [*METRIC_DOUBLES, "sharpe_ratio", "expectancy", "avg_win", "avg_loss"]
+    return sql(
+        [*BASE, *log_ctes(params), *metric_ctes(params), *advanced_ctes(params, "tl", "symbol, combo_id")],
+        f"select symbol, combo_id, {', '.join(METRIC_COUNTS)}, max_consecutive_losses, {r4(*doubles)} from tm join am using (symbol, combo_id)",
+    )
+
+
 def posthoc_ctes(params: Params, source: str, keys: str, pnl: str) -> list[str]:
     """ph: post-hoc metrics."""
     return [
@@ -545,6 +553,8 @@ LATE = (
 def oracle_sql() -> dict[str, str]:
     return {
         "streamed_runs": RUNS,
+        "merged_metrics": merged_sql(P),
+        "merged_metrics_signal_only": merged_sql(SIGNAL_ONLY),
         "kfold_compare": fold_compare_sql(),
         "kfold_log": fold_log_sql(),
         "streamed_late": sql([TR, LATE], ohlcv("dl", 3_600_000)),
