@@ -10,6 +10,8 @@ The automaton holds the templates only, so its size is fixed; it is broadcast, a
 a time, without a shuffle. Words are hashed with array operations, and only texts where ``LEAST`` consecutive words occur
 in a template are streamed; no other text can have a match.
 
+The default templates are notices and main clauses of the common licences, not their full texts; ``scanner`` takes any others.
+
 Null texts are empty; texts without words have no places and no labels. Repeated rows are scanned one by one. Other columns
 are kept.
 """
@@ -89,6 +91,98 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    (
+        "mit",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF'
+        " MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE"
+        " FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN"
+        " CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ),
+    (
+        "apache",
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual,"
+        " worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly"
+        " display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
+    ),
+    (
+        "apache",
+        "Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual,"
+        " worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made,"
+        " use, offer to sell, sell, import, and otherwise transfer the Work",
+    ),
+    (
+        "apache",
+        "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in"
+        " Source or Object form, provided that You meet the following conditions",
+    ),
+    (
+        "gpl",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and"
+        " other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public"
+        " License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software"
+        " for all its users",
+    ),
+    (
+        "gpl",
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public"
+        " License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users",
+    ),
+    (
+        "gpl",
+        "When we speak of free software, we are referring to freedom, not price. Our General Public Licenses are designed to make sure that you"
+        " have the freedom to distribute copies of free software",
+    ),
+    (
+        "gpl",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"
+        " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details",
+    ),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as"
+        " published by the Free Software Foundation",
+    ),
+    (
+        "bsd",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the"
+        " documentation and/or other materials provided with the distribution",
+    ),
+    (
+        "bsd",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from"
+        " this software without specific prior written permission",
+    ),
+    (
+        "bsd",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT'
+        " LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE"
+        " COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+    ),
+    (
+        "isc",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES'
+        " OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES",
+    ),
+    (
+        "zlib",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and"
+        " redistribute it freely, subject to the following restrictions",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or"
+        " distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial",
+    ),
+    (
+        "mpl",
+        'Covered Software is provided under this License on an "as is" basis, without warranty of any kind, either expressed, implied, or'
+        " statutory",
+    ),
+    (
+        "boost",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying"
+        ' documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software',
+    ),
 ]
 
 

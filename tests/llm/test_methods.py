@@ -547,3 +547,16 @@ def test_kept_is_brute_force(spark):
         low, middle, high = ranks[langs[r.doc_id]]
         away = (r.log_perplexity - middle) / (1 + 50 / r.n_words) ** 0.5
         assert r.kept == (-max(4.5 * (high - low), 0.5) <= away <= max(5 * (high - low), 0.17)), r
+
+
+def test_clauses_of_common_licences_are_labelled():
+    own = licences.scanner()
+    label = lambda text: {s[0] for s in licences.spans(own, licences.words_of(text))}
+    prose = "some words of prose and more of them " * 20
+    for name, text in licences.TEMPLATES:
+        assert name in label(prose + text + ". " + prose), text
+        words = text.split()
+        if len(words) > 30:  # a copy with a word changed here and there
+            words[10::25] = ["changed"] * len(words[10::25])
+            assert name in label(prose + " ".join(words) + prose), text
+    assert label(prose) == set() and label("permission is hereby granted to nobody at all, free of charge or not") == set()
