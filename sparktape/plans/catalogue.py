@@ -39,6 +39,8 @@ DYNAMIC = replace(P, dynamic_y=True)
 # Thresholds under which some sets of the test data pass and some do not.
 LOOSE = replace(P, min_trades=30, min_win_rate=11.0, min_profit_factor=0.25, max_drawdown=10.005)
 COMBO = ["symbol", "combo_id"]
+# Rising x: the higher ones have too few signals.
+MANY = replace(LOOSE, xs=(20.0, 200.0, 1000.0, 3000.0, 20_000.0), min_trades=60, top_n=5)
 RANGE = (1_704_672_000_000, 1_705_881_600_000)  # 2024-01-08 to 2024-01-22
 FOLDS = 4
 LOG_KEYS = ["combo_id", "entry_ms", "exit_ms", "entry_price", "exit_price", "max_price_during_trade", "min_price_during_trade", "pnl", "reason"]
@@ -664,6 +666,21 @@ def train_val_compare(spark, sf):
     return rounded(compared, 4)
 
 
+def signal_bounds(spark, sf):
+    """Signals of each (x, y), and whether its sets may have enough trades."""
+    c = candle_table(spark, sf)
+    moves = saved(trade_ops.entry_moves(c, MANY))
+    counts, able = runs.signal_counts(moves, MANY), runs.able_sets(moves, c, MANY)
+    kept = able.groupBy("symbol", "x", "y").agg(F.count(F.lit(1)).alias("sets"))
+    return counts.join(kept, ["symbol", "x", "y"], "left").fillna(0, ["sets"])
+
+
+def screen_ranked_bounded(spark, sf):
+    """Ranking where most sets are dropped by their signals alone."""
+    ranked = runs.screen_and_rank(candle_table(spark, sf), MANY)
+    return rounded(ranked.select("symbol", "rank", "combo_id", "x", "y", "z", "total_trades", "score"), 4)
+
+
 def kfold_compare(spark, sf):
     """Every set on the train and validation parts of four folds."""
     return rounded(runs.kfold_compare(candles(spark, sf), P, FOLDS), 4)
@@ -878,6 +895,8 @@ def queries() -> dict[str, Query]:
         "split_report": split_report,
         "split_leakage_check": split_leakage_check,
         "train_val_compare": train_val_compare,
+        "signal_bounds": signal_bounds,
+        "screen_ranked_bounded": screen_ranked_bounded,
         "kfold_compare": kfold_compare,
         "kfold_log": kfold_log,
         "verdict": verdict,

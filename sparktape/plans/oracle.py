@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sparktape.plans.bindings import DEFAULTS as P
-from sparktape.plans.catalogue import DYNAMIC, FAR, FAR_DYNAMIC, FOLDS, LOG_KEYS, LATE_DELAY_MS, LATE_MS, LOOSE, RANGE, SEARCH, SHORT, SIGNAL_ONLY
+from sparktape.plans.catalogue import DYNAMIC, FAR, FAR_DYNAMIC, FOLDS, LATE_DELAY_MS, LATE_MS, LOG_KEYS, LOOSE, MANY, RANGE, SEARCH, SHORT, SIGNAL_ONLY
 from sparktape.schema import Params
 
 DAY = 86_400_000
@@ -555,6 +555,14 @@ def oracle_sql() -> dict[str, str]:
         "streamed_runs": RUNS,
         "merged_metrics": merged_sql(P),
         "merged_metrics_signal_only": merged_sql(SIGNAL_ONLY),
+        "signal_bounds": sql(
+            [*BASE, *sets(MANY), *moves(MANY), "sg as (select symbol, x, y, count(*) signals from mv join xs on move >= x group by all)"],
+            f"select symbol, x, y, signals, case when signals >= {MANY.min_trades} then {len(MANY.zs)} else 0 end sets from sg",
+        ),
+        "screen_ranked_bounded": sql(
+            [*BASE, *log_ctes(MANY), SYMBOL_SETS, *screen_ctes(MANY), ranked("sd", "rk", MANY.top_n, f"{PASSES} and total_trades >= {MANY.min_trades}")],
+            f"select symbol, rank, combo_id, x, y, z, total_trades, {r4('score')} from rk",
+        ),
         "kfold_compare": fold_compare_sql(),
         "kfold_log": fold_log_sql(),
         "streamed_late": sql([TR, LATE], ohlcv("dl", 3_600_000)),

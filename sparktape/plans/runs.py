@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from sparktape.operators.grid import axes, expand_grid
 from sparktape.operators.metrics import advanced_metrics, trade_metrics
 from sparktape.operators.screening import apply_thresholds, derive, passes, rank_by_score, screen, verdict
 from sparktape.operators.scans import join_on
+from sparktape.operators.signals import long_moves
 from sparktape.operators.splits import fold_cuts, in_folds, train_val_split
 from sparktape.operators.trades import entry_exits, entry_moves, log_of, trade_log
 from sparktape.lineage import saved
@@ -27,8 +31,48 @@ def screen_grid(candles: DataFrame, params: Params) -> DataFrame:
     return derive(sums, params.capital)
 
 
+def signal_counts(moves: DataFrame, params: Params) -> DataFrame:
+    """``symbol, x, y, signals`` of saved entry moves, for pairs that have any: counted by the highest x reached, then summed up."""
+    ys = [params.y_max_s] if params.dynamic_y else sorted(params.ys)
+    xs = F.array(*[F.lit(float(x)) for x in sorted(params.xs)])
+    reached = F.size(F.filter(xs, lambda x: F.col("move") >= x)).alias("reached")
+    levels = long_moves(moves, ys, ["symbol"]).select("symbol", "y", reached).where("reached > 0").groupBy("symbol", "y", "reached").agg(F.count(F.lit(1)).alias("n"))
+    each = levels.select("symbol", "y", "n", F.explode(F.slice(xs, F.lit(1), F.col("reached"))).alias("x"))
+    return each.groupBy("symbol", "x", "y").agg(F.sum("n").alias("signals"))
+
+
+def able_sets(moves: DataFrame, candles: DataFrame, params: Params) -> DataFrame:
+    """Parameter sets that may reach ``min_trades``: a set has at most as many trades as signals."""
+    counts = signal_counts(moves, params).withColumnRenamed("symbol", "_symbol")
+    sets = symbol_sets(candles, params)
+    same = sets.symbol.eqNullSafe(counts._symbol) & (sets.x == counts.x) & (sets.y == counts.y)
+    able = F.coalesce("signals", F.lit(0)) >= params.min_trades
+    return sets.join(counts.select("_symbol", "x", "y", "signals"), same, "left").where(able).select("symbol", "combo_id", sets.x, sets.y, "z")
+
+
+def able_moves(moves: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
+    """Entries that some of the sets has a signal for."""
+    ys = [params.y_max_s] if params.dynamic_y else sorted(params.ys)
+    least = sets.groupBy("symbol").agg(*[F.min(F.when(F.col("y") == y, F.col("x"))).alias(f"_least_{i}") for i, y in enumerate(ys)])
+    fires = [F.coalesce(F.col(f"move_{i}") >= F.col(f"_least_{i}"), F.lit(False)) for i in range(len(ys))]
+    return join_on(moves, least, ["symbol"]).where(reduce(or_, fires)).select(*moves.columns)
+
+
 def screen_and_rank(candles: DataFrame, params: Params) -> DataFrame:
-    return rank_by_score(apply_thresholds(screen_grid(candles, params), params), ["symbol"], params.top_n)
+    """The best sets that pass the thresholds.
+
+    Sets with fewer signals than the least number of trades cannot pass: they are dropped before exits and walk, with the
+    entries that only they have.
+    """
+    if params.skip_filters or params.min_trades <= 0:
+        return rank_by_score(apply_thresholds(screen_grid(candles, params), params), ["symbol"], params.top_n)
+    moves = saved(entry_moves(candles, params))
+    sets = saved(able_sets(moves, candles, params))
+    moves = saved(able_moves(moves, sets, params))
+    log = log_of(moves, saved(entry_exits(candles, params, moves=moves)), params, sets=sets)
+    sums = screen(log, ["symbol", "combo_id"], params.direction, None, params.dynamic_y)
+    sums = join_on(sets, sums, ["symbol", "combo_id"])
+    return rank_by_score(apply_thresholds(derive(sums, params.capital), params), ["symbol"], params.top_n)
 
 
 def evaluate_parts(parts: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
