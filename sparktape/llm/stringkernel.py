@@ -7,10 +7,14 @@ one language against the rest on these gives each language's weights. A block of
 the landmarks' presence, then with the weights.
 
 At most ``SAMPLE`` labelled texts of each language are learnt from, those with the smallest hash of their id, whatever the
-corpus's size; only their presence bits come to the driver. Scoring reads every text whole, without a shuffle.
+corpus's size. Landmarks are ``LANDMARKS`` of each language, fewer where there would be more than ``ALL_LANDMARKS`` of them,
+one at least. Only their presence bits come to the driver; the regression is solved from sums of products of features, which
+tasks add up over their texts. So what the driver holds, and sends out, does not grow with texts and hardly with languages.
+Scoring reads every text whole, without a shuffle.
 
 Texts that are null or hold no letter are ``und`` with score zero, as is everything if nothing can be learnt. Null languages
-and ids are not learnt from; of repeated ids one row is. Repeated rows get the same result. Other columns are kept.
+and ids are not learnt from; of rows with one id and language, that with the least presence bits is, so that reruns agree.
+Languages at equal scores are taken in the order of their names. Repeated rows get the same result. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ from sparktape.llm.words import NOT_ALNUM, carried, pieces, returning, texts_of
 BUCKETS = 1 << 14
 LENGTHS = (2, 3, 4)
 SAMPLE = 300
-LANDMARKS = 24
+LANDMARKS, ALL_LANDMARKS = 24, 480
+#: Partitions in which the products of features are added up.
+PARTS = 8
 RIDGE = 1e-2
 BLOCK = 128
 UNKNOWN = "und"
@@ -84,23 +90,62 @@ class Classifier:
         return odds / odds.sum(axis=1, keepdims=True)
 
 
-def fit(found: np.ndarray, labels: list[str]) -> Classifier:
-    """Kernel ridge regression on Nyström features; ``found`` holds presence bits, rows in the order landmarks are taken."""
-    languages = sorted(set(labels))
-    if not languages:
-        return Classifier([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32))
-    number = np.array([languages.index(x) for x in labels])
-    unit = found.astype(np.float32) / np.maximum(np.sqrt(found.sum(axis=1, keepdims=True)), 1)
-    chosen = np.concatenate([np.flatnonzero(number == k)[:LANDMARKS] for k in range(len(languages))])
-    landmarks = unit[chosen].T
+def unit_rows(bits: list[bytes] | np.ndarray) -> np.ndarray:
+    """Presence bits, one packed row for each text, as rows of unit length."""
+    packed = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), BUCKETS // 8)
+    found = np.unpackbits(packed, axis=1).astype(np.float32)
+    return found / np.maximum(np.sqrt(found.sum(axis=1, keepdims=True)), 1)
+
+
+def whitening(landmarks: np.ndarray) -> np.ndarray:
+    """What turns kernels with the landmarks into Nyström features: the inverse root of the landmarks' own kernel."""
     values, vectors = np.linalg.eigh((landmarks.T @ landmarks).astype(np.float64))
     real = values > 1e-6 * values.max()
-    whiten = vectors[:, real] / np.sqrt(values[real])
-    features = (unit @ landmarks).astype(np.float64) @ whiten
-    aims = np.where(number[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    share = 1 / np.bincount(number)[number][:, None]  # every language weighs the same
-    ridge = features.T @ (features * share) + RIDGE * np.eye(features.shape[1])
-    weights = whiten @ np.linalg.solve(ridge, features.T @ (aims * share))
+    return vectors[:, real] / np.sqrt(values[real])
+
+
+def products(bits: list[bytes], number: np.ndarray, sizes: np.ndarray, landmarks: np.ndarray, whiten: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over texts of features times features, and of features times aims; every language weighs the same."""
+    squares, aimed = np.zeros((whiten.shape[1],) * 2), np.zeros((whiten.shape[1], len(sizes)))
+    for at in range(0, len(bits), BLOCK):
+        own = number[at : at + BLOCK]
+        features = (unit_rows(bits[at : at + BLOCK]) @ landmarks).astype(np.float64) @ whiten
+        shared = features / sizes[own][:, None]
+        squares += features.T @ shared
+        aimed += shared.T @ np.where(own[:, None] == np.arange(len(sizes)), 1.0, -1.0)
+    return squares, aimed
+
+
+def fit(texts: DataFrame) -> Classifier:
+    """Kernel ridge regression on Nyström features of saved ``texts``: key, lang, rank (from 1 within a language) and bits."""
+    sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
+    languages = list(sizes)
+    if not languages:
+        return Classifier([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32))
+    each = max(1, min(LANDMARKS, ALL_LANDMARKS // len(languages)))
+    chosen = texts.where(F.col("rank") <= each).orderBy("lang", "rank", "key").toArrow()
+    landmarks = np.ascontiguousarray(unit_rows(chosen.column("bits").to_pylist()).T)
+    whiten = whitening(landmarks)
+    sent = texts.sparkSession.sparkContext.broadcast((languages, np.array(list(sizes.values()), float), landmarks, whiten))
+
+    def add_up(batches):
+        names, counts, marks, white = sent.value
+        places, total = {n: i for i, n in enumerate(names)}, None
+        for batch in batches:
+            number = np.array([places[n] for n in batch.column("lang").to_pylist()], np.int64)
+            found = products(batch.column("bits").to_pylist(), number, counts, marks, white)
+            total = found if total is None else (total[0] + found[0], total[1] + found[1])
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"squares": [total[0].tobytes()], "aimed": [total[1].tobytes()]})
+
+    # A fixed dealing, in order: floating-point sums then come out the same in every run.
+    dealt = texts.repartition(PARTS, "key").sortWithinPartitions("lang", "rank", "key").select("lang", "bits")
+    parts = dealt.mapInArrow(add_up, "squares binary, aimed binary").collect()
+    width = whiten.shape[1]
+    squares = sum(np.frombuffer(bytes(r["squares"])).reshape(width, width) for r in parts)
+    aimed = sum(np.frombuffer(bytes(r["aimed"])).reshape(width, len(languages)) for r in parts)
+    sent.unpersist()
+    weights = whiten @ np.linalg.solve(squares + RIDGE * np.eye(width), aimed)
     return Classifier(languages, landmarks, weights.astype(np.float32))
 
 
@@ -123,11 +168,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             columns = [batch.column("key").cast(pa.string()), batch.column("lang"), batch.column("rank"), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "lang", "rank", "bits"])
 
-    made = rows.mapInArrow(bits, "key string, lang string, rank int, bits binary").dropDuplicates(["key", "lang"])
-    table = saved(made).orderBy("lang", "rank").toArrow()
-    raw = b"".join(x.as_py() for x in table.column("bits"))
-    found = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(table), BUCKETS // 8), axis=1).astype(bool)
-    return fit(found, table.column("lang").to_pylist())
+    made = rows.mapInArrow(bits, "key string, lang string, rank int, bits binary")
+    return fit(saved(made.groupBy("key", "lang", "rank").agg(F.min("bits").alias("bits"))))
 
 
 def identified(docs: DataFrame, classifier: Classifier, text: str = "text", carry: list[str] | None = None) -> DataFrame:

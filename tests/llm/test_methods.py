@@ -560,3 +560,53 @@ def test_clauses_of_common_licences_are_labelled():
             words[10::25] = ["changed"] * len(words[10::25])
             assert name in label(prose + " ".join(words) + prose), text
     assert label(prose) == set() and label("permission is hereby granted to nobody at all, free of charge or not") == set()
+
+
+def _language(rng, n):
+    parts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüéèñß", k=rng.randint(2, 4))) for _ in range(12)]
+    return lambda: " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(n))
+
+
+def test_ridge_weights_are_brute_force(spark):
+    """The regression from sums made in tasks equals kernel ridge regression on all features at once."""
+    rng = random.Random(4)
+    made = {name: _language(rng, 40) for name in ("aa", "bb", "cc")}
+    rows = [(i, made[name](), name) for i, name in enumerate(["aa", "bb", "aa", "cc"] * 12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = stringkernel.learn(frame)
+    ids = {r.doc_id: r.h for r in frame.selectExpr("doc_id", "xxhash64(doc_id) h").collect()}
+    rows.sort(key=lambda r: (r[2], ids[r[0]]))
+    found = np.concatenate([f for _, f in stringkernel.presence(pa.array([r[1] for r in rows]))]).astype(float)
+    unit = found / np.sqrt(found.sum(axis=1, keepdims=True))
+    number = np.array([own.languages.index(r[2]) for r in rows])
+    marks = np.concatenate([np.flatnonzero(number == k)[: stringkernel.LANDMARKS] for k in range(3)])
+    kernel = unit @ unit.T  # shared n-grams over the root of both numbers
+    shared = len(set(np.flatnonzero(found[0])) & set(np.flatnonzero(found[5])))
+    assert kernel[0, 5] == pytest.approx(shared / np.sqrt(found[0].sum() * found[5].sum()))
+    assert np.allclose(own.landmarks, unit[marks].T, atol=1e-6)
+    values, vectors = np.linalg.eigh(kernel[np.ix_(marks, marks)])
+    real = values > 1e-6 * values.max()
+    features = kernel[:, marks] @ (vectors[:, real] / np.sqrt(values[real]))
+    assert np.allclose(features[marks] @ features[marks].T, kernel[np.ix_(marks, marks)], atol=1e-5)  # Nyström is exact among landmarks
+    share = np.diag(1 / np.bincount(number)[number])
+    aims = np.where(number[:, None] == np.arange(3), 1.0, -1.0)
+    ridge = np.linalg.solve(features.T @ share @ features + stringkernel.RIDGE * np.eye(features.shape[1]), features.T @ share @ aims)
+    assert np.allclose(unit @ own.landmarks @ own.weights, features @ ridge, atol=1e-3)
+    again = stringkernel.learn(frame.repartition(5))
+    assert (again.weights == own.weights).all() and (again.landmarks == own.landmarks).all()
+
+
+def test_many_languages_stay_small(spark):
+    import tracemalloc
+
+    rng = random.Random(9)
+    made = {f"l{k:03d}": _language(rng, 30) for k in range(200)}
+    rows = [(i, made[name](), name) for i, name in enumerate(list(made) * 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    tracemalloc.start()
+    own = stringkernel.learn(frame)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(own.languages) == 200 and own.landmarks.shape[1] <= stringkernel.ALL_LANDMARKS and peak < 300e6
+    found = stringkernel.identified(frame, own, carry=["lang"]).selectExpr("avg(int(doc.lang = lang_pred))").first()[0]
+    assert found > 0.95
