@@ -3,19 +3,21 @@
 A byte-level vocabulary splits a text into pre-tokens and encodes each by itself, so a text's count is the sum of its
 pre-tokens' counts. Tier one is a broadcast table of the corpus's most frequent pre-tokens with their counts, of fixed
 size. To fill it, every task counts the words of all its texts with array operations and hands in only its most frequent
-ones, so what Spark adds up is a summary of fixed size for each task. Tier two is a cache in each worker: what the table
+ones, so what Spark adds up is a summary of fixed size for each task. Tier two is a cache in each worker process, which lasts from task to task: what the table
 lacks is encoded by the tokenizer itself and remembered, up to a bound, after which the cache starts anew. Neither tier
 changes a count.
 
-The strings of special tokens are cut out first and count as one, as the library does. Texts with characters outside
-well-known blocks, whose classes could differ between Unicode versions, and vocabularies of other kinds are encoded whole by
-the library. Null texts are empty and have no tokens; repeated rows are counted one by one. Other columns are kept.
+The strings of special tokens are cut out first and count as one, as the library does. Characters outside well-known
+blocks, whose classes could differ between Unicode versions, are left to the library with what stands around them: a text is
+cut before single spaces between ASCII characters, where a pre-token begins in any version, and only the stretches with such
+characters are encoded by it, through the cache. Vocabularies of other kinds are encoded whole by the library. Null texts are empty and have no tokens; repeated rows are counted one by one. Other columns are kept.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -38,7 +40,10 @@ LIMIT = 1024
 # How a byte-level vocabulary of this family cuts text; part of the format, a fixed value.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Characters whose classes every Unicode version in use agrees on.
-UNCOMMON = r"[^\t\n\r\x20-\x7e¡-ɏΑ-ΡΣ-ωА-я‐-‧€ぁ-ゖァ-ヺ一-龥가-힣]"
+UNCOMMON = r"[^\t\n\r\x20-\x7e\u00a0-ɏΑ-ΡΣ-ωЀ-ѿא-תء-غف-يก-ะ‐-‧€ぁ-ゖァ-ヺ一-龥가-힣\U0001f300-\U0001faff]"
+
+#: Where a pre-token begins whatever the classes of other characters: at a space between a visible ASCII character and a letter.
+BORDER = r"(?V1)(?<=[!-~])(?= [A-Za-z])"
 
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -89,18 +94,41 @@ def counter(model: str, table: dict[str, int]) -> Callable[[list[str]], list[int
     special = [t["content"] for t in json.loads(model)["added_tokens"]]
     cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
     find, odd, length = regex.compile(PRE_TOKEN).findall, regex.compile(UNCOMMON).search, _Lengths(table, tokenizer).__getitem__
+    stretches = regex.compile(BORDER).split
+
+    def plain(part: str) -> int:
+        return sum(map(length, find(part)))
+
+    def mixed(part: str) -> int:
+        total, usual = 0, []
+        for stretch in stretches(part):
+            if odd(stretch):
+                total += plain("".join(usual)) + length(stretch)
+                usual = []
+            else:
+                usual.append(stretch)
+        return total + plain("".join(usual))
 
     def count(text: str) -> int:
-        if odd(text):
-            return whole([text])[0]
         parts = cut.split(text) if cut and "<" in text else [text]
-        return len(parts) - 1 + sum(sum(map(length, find(part))) for part in parts)
+        return len(parts) - 1 + sum(map(mixed if odd(text) else plain, parts))
 
     if cut and not all("<" in s for s in special):
         return whole
     return lambda texts: [count(t) for t in texts]
 
 
+_kept: dict[str, Callable[[list[str]], list[int]]] = {}  # of this process: the counter of the last run, with its cache
+
+
+def kept_counter(run: str, model: str, table: dict[str, int]) -> Callable[[list[str]], list[int]]:
+    """The run's counter: tasks of one worker process share it."""
+    if run not in _kept:
+        _kept.clear()
+        _kept[run] = counter(model, table)
+    return _kept[run]
+
+
 def frequent(docs: DataFrame, text: str) -> list[str]:
     """The most frequent words after a space, with the space, over all texts."""
 
@@ -146,13 +174,13 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text", carry: li
             table = {t: len(e.ids) for t, e in zip(tokens, lengths)}
     else:
         table = {}
-    sent, kind = spark.sparkContext.broadcast((model, table)), model_path.rsplit(".", 1)[1]
+    sent, kind, run = spark.sparkContext.broadcast((model, table)), model_path.rsplit(".", 1)[1], uuid.uuid4().hex
     rows = docs.select(*carried(docs, text, docs.columns if carry is None else carry))
 
     def of(batches):
         model, table = sent.value
         if kind == "json":
-            count = counter(model.decode(), table)
+            count = kept_counter(run, model.decode(), table)
         else:
             from sentencepiece import SentencePieceProcessor
 

@@ -610,3 +610,45 @@ def test_many_languages_stay_small(spark):
     assert len(own.languages) == 200 and own.landmarks.shape[1] <= stringkernel.ALL_LANDMARKS and peak < 300e6
     found = stringkernel.identified(frame, own, carry=["lang"]).selectExpr("avg(int(doc.lang = lang_pred))").first()[0]
     assert found > 0.95
+
+
+def test_odd_characters_take_only_their_stretch_to_the_library():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as file:
+        model = file.read()
+    rng = random.Random(3)
+    parts = ["plain words", "it's", "ё", "naïve", "🙂", "\u00a0", "  two", "\n\n", "\t", "العربية", "ไทย", "x", "12", "3.4", "…", " <|endoftext|> ", "日本", "і", "don't", "\u2009", "A", "'s", " ", "\u0345"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 25))) + rng.choice(["", " ", " tail of words "]) for _ in range(3000)]
+    texts += ["", "🙂", " 🙂", "a 🙂 b", "plain " * 500 + "ё" + " plain" * 500]
+    library = tokencount._tokenizer(model)
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert tokencount.counter(model, {" words": 1})(texts) == want
+    # Of a long text with one such character, the library gets a few words.
+    asked = []
+
+    class Listening(tokencount._Lengths):
+        def __missing__(self, token):
+            asked.append(token)
+            return super().__missing__(token)
+
+    own, tokencount._Lengths = tokencount._Lengths, Listening
+    try:
+        assert tokencount.counter(model, {})(texts[-1:]) == want[-1:]
+    finally:
+        tokencount._Lengths = own
+    assert max(map(len, asked)) < 20
+    assert tokencount.kept_counter("run", model, {}) is tokencount.kept_counter("run", model, {}) is not tokencount.kept_counter("other", model, {})
+
+
+def test_common_characters_have_the_librarys_classes():
+    """Every character that the lookup cuts by itself, among letters, digits and spaces."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as file:
+        model = file.read()
+    odd, count, library = re.compile(tokencount.UNCOMMON).match, tokencount.counter(model, {}), tokencount._tokenizer(model)
+    common = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000 and not odd(chr(c))]
+    assert len(common) > 34_000
+    texts = [f"a{c}b {c} 1{c}{c}.{c}\n {c}a" for c in common]
+    assert count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
