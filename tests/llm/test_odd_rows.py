@@ -29,6 +29,43 @@ def test_one_row_per_document(spark, folder, name):
     assert sorted(map(str, again)) == sorted(map(str, found))
 
 
+PAGES = [*range(12), 20, 21, 22, 23, None, 0, 30]
+
+
+@pytest.mark.parametrize("name", ["op4_warc", "op13_html_extraction"])
+def test_one_row_per_page(spark, folder, name):
+    found = registry.queries()[name](spark, folder).collect()
+    assert sorted(str(r.page_id) for r in found) == sorted(map(str, PAGES))
+    again = registry.queries()[name](spark, folder).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+    of = {str(r.page_id): r for r in found}
+    if name == "op4_warc":
+        assert (of["20"].payload_bytes, of["20"].record_type, of["20"].refers_to) == (0, "response", None)
+        assert of["30"].payload_bytes == 600_000 and (of["3"].record_type, of["3"].refers_to) == ("revisit", 0)
+        assert of["22"].record_type == of["23"].record_type == "response"  # too short to be revisited
+    else:
+        assert of["20"].text == of["21"].text == "" and of["30"].n_chars == len(of["30"].text)
+
+
+def test_items_are_found_in_odd_documents(spark, folder):
+    found = registry.queries()["op1_benchmark_decontamination"](spark, folder).collect()
+    pairs = {(r.doc_id, r.item_id) for r in found}
+    texts = {r[0]: r[1] for r in odd.documents()}
+    assert {(5, 1), (6, 2)} <= pairs and {i for _, i in pairs} == {1, 2}  # neither the null item nor the short one
+    assert all(texts[d] for d, _ in pairs)
+    again = registry.queries()["op1_benchmark_decontamination"](spark, folder).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+
+
+def test_odd_vectors(spark, folder):
+    found = registry.queries()["op11_centroid_clustering"](spark, folder).collect()
+    assert sorted(str(r.vec_id) for r in found) == sorted(map(str, [*range(120), 0, None, 200]))
+    assert len({r.inertia for r in found}) == 1 and found[0].inertia == sum(r.distance for r in found)
+    mined = registry.queries()["op12_hard_negatives"](spark, folder).collect()
+    assert mined and {r.anchor_id for r in mined} <= {0, 100} and all(1 <= r.rank <= 5 for r in mined)
+    assert sorted(map(str, registry.queries()["op12_hard_negatives"](spark, folder).collect())) == sorted(map(str, mined))
+
+
 @pytest.mark.parametrize("name", list(registry.queries()))
 def test_empty_tables(spark, empty, name):
     assert registry.queries()[name](spark, empty).collect() == []
