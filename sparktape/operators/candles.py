@@ -80,7 +80,7 @@ def ohlcv_runs(
     edges = edges.select(
         "symbol", "_chunk", (earlier - F.sum("_goes_on").over(chunks.rowsBetween(Window.unboundedPreceding, 0))).alias("_shift")
     )
-    runs = join_on(runs, saved(edges), ["symbol", "_chunk"]).withColumn("run", F.col("_run") + F.col("_shift"))
+    runs = join_on(runs, edges, ["symbol", "_chunk"]).withColumn("run", F.col("_run") + F.col("_shift"))
     return runs.groupBy("symbol", "run", "epoch_ms").agg(
         F.round(F.min_by("_open", "_chunk"), 8).alias("open"),
         F.round(F.max("_high"), 8).alias("high"),
