@@ -1,4 +1,10 @@
-"""Corpus pipeline: stages that filter, deduplicate, decontaminate and mix ``documents``, each written and read again."""
+"""Corpus pipeline: stages that filter, deduplicate, decontaminate and mix ``documents``, each written and read again.
+
+Every stage takes all rows of the one before and returns rows with the columns of ``documents``, others among them unchanged.
+Null and empty texts fail the base rules and go in the second stage; null languages and sources are ones of their own; a row
+with a null id takes part like any other and is kept or dropped by its text. Repeated rows are judged alike; of rows that
+repeat an id in a near-duplicate class one stays. Very long texts are read whole. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays: the one with the smallest id."""
+    """One document of each SimHash class stays: the one with the smallest id. Near copies beyond the class's few bits stay."""
     return simhash.keep_one(docs)
 
 
