@@ -14,6 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from sparktape.lineage import saved  # noqa: E402
 from sparktape.operators.screening import derive, screen  # noqa: E402
 from sparktape.operators.trades import trade_log  # noqa: E402
 from sparktape.plans.bindings import DEFAULTS, candles  # noqa: E402
@@ -59,7 +60,7 @@ MINUTE_GRID = replace(
 
 
 def screening_minute_grid(spark, sf_dir):
-    log = trade_log(candles(spark, sf_dir, 60_000), MINUTE_GRID)
+    log = trade_log(saved(candles(spark, sf_dir, 60_000)), MINUTE_GRID)
     return derive(screen(log, ["symbol", "combo_id"], MINUTE_GRID.direction), MINUTE_GRID.capital)
 
 
