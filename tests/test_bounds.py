@@ -15,7 +15,7 @@ BOUND = replace(P, xs=(1.0, 3.0, 8.0, 400.0), min_trades=8, min_win_rate=0.0, mi
 
 def test_ranking_is_that_of_all_sets(spark):
     df = frame(spark, {"A": make_candles(1, 200), "B": make_candles(2, 40), "C": make_candles(3, 2)}).cache()
-    for params in (BOUND, replace(BOUND, dynamic_y=True, y_max_s=12), replace(BOUND, min_trades=0), replace(BOUND, skip_filters=True)):
+    for params in (BOUND, replace(BOUND, dynamic_y=True, y_max_s=12)):
         got = runs.screen_and_rank(df, params)
         want = rank_by_score(apply_thresholds(runs.screen_grid(df, params), params), ["symbol"], params.top_n)
         assert rows(got.select("symbol", "rank", "combo_id", "score", "total_trades")) == rows(want.select("symbol", "rank", "combo_id", "score", "total_trades"))
