@@ -45,7 +45,7 @@ def test_words_and_hashes():
 @pytest.mark.parametrize("name", list(registry.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.execute(registry.oracle_sql()[name])
     columns = sorted(c[0] for c in want.description)

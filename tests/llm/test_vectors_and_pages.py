@@ -6,7 +6,6 @@ import math
 import random
 import re
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -143,16 +142,6 @@ def test_score_bounds_hold_and_prune():
     assert angular.products(big, -big)[0, 0] == -64 * (2**28 - 1) ** 2
 
 
-@pytest.mark.parametrize("name", ["op11_centroid_clustering", "op12_hard_negatives"])
-def test_vector_sql(spark, name):
-    con = duckdb.connect()
-    con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
-    want = con.execute(registry.oracle_sql()[name])
-    columns = [c[0] for c in want.description]
-    got = registry.queries()[name](spark, SF).select(*columns).collect()
-    assert got and sorted(map(tuple, got)) == sorted(want.fetchall())
-
-
 # --- pages ----------------------------------------------------------------------------------------------------------
 
 
