@@ -33,6 +33,7 @@ DEEP = 64
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<([/]?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*>""", re.S)
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKENS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
 _CLOSE = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in UNREAD}
 
 
@@ -82,6 +83,8 @@ class Block:
 def blocks(page: str | None, root: Path) -> list[Block]:
     """Leaf blocks in page order: character references decoded, white space reduced to single spaces, none empty."""
     page = page or ""
+    cut = _OPEN.search(page, page.rfind(">") + 1)  # a tag or comment that the page's end breaks off is no text
+    page = page[: cut.start()] if cut else page
     out: list[Block] = []
     stack: list[tuple[str, Path]] = []
     path, at, links, linked, size = root.below("body", (), ""), 0, 0, 0, 0
